@@ -296,10 +296,16 @@ _DISK = """
 
 _DAILY = "SELECT date, dataset_id, CAST(allOpsSize AS DOUBLE) AS allOpsSize FROM daily"
 
+_INPUT_CAMPAIGN = (
+    r"regexp_extract(d_dataset, "
+    r"'^/[^/]*/((?:HI|PA|PN|XeXe|)Run201\d\w-[^-]+|CMSSW_\d+|[^-]+)[^/]*/', 1)"
+)
+
+_TAPE_CAMPAIGN = "regexp_replace(pieces[1] || '-' || pieces[len(pieces) - 1], '_ext1$', '')"
+
 _TAPE = """
     SELECT split_part(dataset_name, '/', 4) AS tier,
-           regexp_replace(pieces[1] || '-' || pieces[len(pieces) - 1], '_ext1$', '')
-             AS input_campaign,
+           """ + _TAPE_CAMPAIGN + """ AS input_campaign,
            CAST(SUM(rep_size) AS DOUBLE) AS size
     FROM (SELECT *, string_split(split_part(dataset_name, '/', 3), '-') AS pieces FROM replicas)
     WHERE node_name LIKE '%MSS' {active} GROUP BY 1, 2"""
@@ -340,49 +346,57 @@ _BY_CAMPAIGN = f"""
     SELECT {_UNUSED_CAMPAIGN} AS campaign, CAST(SUM(allSize365) AS DOUBLE) / 1e12 AS tb
     FROM unused GROUP BY 1"""
 
+_SIZE_CHECK = f"""
+    SELECT CAST(SUM(rep_size) AS DOUBLE) AS rep_size,
+           CAST(SUM(CASE WHEN br_user_group_id IN (42, 18, 19) THEN rep_size ELSE 0 END)
+                AS DOUBLE) AS allOpsSize,
+           CAST(SUM(CASE WHEN br_user_group_id = 42 THEN rep_size ELSE 0 END)
+                AS DOUBLE) AS anaOpsSize
+    FROM disk WHERE max_time = {END_DATE}"""
+
 _TOTALS = "SELECT d_dataset, d_dataset_id, dsize, nfiles, devts FROM totals"
 
 _CASES = {
-    "dataset_totals_all": _TOTALS,
+    "dataset_totals": _TOTALS,
     "daily_access": _DAILY_ACCESS,
     "daily_access_domains": _DOMAINS,
     "daily_access_events": _EVENTS,
     "daily_access_from_json": _DAILY_ACCESS,
     "dataset_totals_from_csv": _TOTALS,
-    "replica_spans_all": _SPANS,
+    "replica_spans": _SPANS,
     "replica_spans_from_csv": _SPANS,
-    "disk_replicas_all": _DISK,
+    "disk_replicas": _DISK,
     "daily_size_sweep": _DAILY,
-    "daily_size_explode": _DAILY,
+    "daily_size": _DAILY,
     "daily_size_sorted": _DAILY,
     "replica_windows": f"SELECT dataset_id, tier, {', '.join(SIZE_COLUMNS)} FROM sizes",
     "replica_windows_young": f"SELECT dataset_id, tier, {', '.join(SIZE_COLUMNS)} FROM young_sizes",
-    "tape_usage_all": _TAPE.format(active=""),
+    "tape_usage": _TAPE.format(active=""),
     "tape_usage_active": _TAPE.format(active=f"AND max_time > {END_DATE}"),
-    "catalog_replicas": _CATALOG_REPLICAS.format(
+    "catalog_replicas_daily": _CATALOG_REPLICAS.format(
         site=SITE, name=LOGGED_NAME, tally="CAST(l_shipdate AS DATE)"
     ),
     "catalog_replicas_from_files": _CATALOG_REPLICAS.format(
         site=SITE, name=LOGGED_NAME, tally="date_trunc('month', CAST(l_shipdate AS DATE))"
     ),
-    "merge_reads_all": _MERGED,
+    "merge_reads": _MERGED,
     "merged_reads_by_month": _MERGED,
-    "read_windows_all": f"SELECT d_dataset_id, {', '.join(READ_COLUMNS)} FROM bins",
+    "read_windows": f"SELECT d_dataset_id, {', '.join(READ_COLUMNS)} FROM bins",
     "quantize": f"""
         SELECT amount, {_bin('amount')} AS bin, COUNT(*) AS n
         FROM (SELECT (l_quantity - 10) / 2.0 AS amount FROM lineitem) GROUP BY 1, 2""",
     "overrides_resolved": "SELECT d_dataset_id, value FROM overrides",
-    "popularity_all": _POPULARITY.format(more="", table="popularity"),
+    "popularity_joined": _POPULARITY.format(more="", table="popularity"),
     "overrides_applied": _POPULARITY.format(more="value, ", table="overridden"),
-    "override_daily_all": _OVERRIDE_DAILY,
+    "override_daily": _OVERRIDE_DAILY,
     "override_daily_csv": _OVERRIDE_DAILY,
-    "top_unused_default": _UNUSED.format(table="unused"),
+    "top_unused": _UNUSED.format(table="unused"),
     "top_unused_25": _UNUSED.format(
         table="""(SELECT * FROM overridden WHERE fract_read90 < 1
                   ORDER BY allSize90 DESC NULLS LAST, dataset_id LIMIT 25)
                  JOIN catalog ON dataset_id = d_dataset_id"""
     ),
-    "unused_by_campaign_all": _BY_CAMPAIGN,
+    "unused_by_campaign": _BY_CAMPAIGN,
     "unused_by_campaign_csv": _BY_CAMPAIGN,
     "popularity_histogram_wide": "SELECT * FROM histogram",
     "popularity_histogram_json": "SELECT * FROM histogram",
@@ -396,16 +410,18 @@ _CASES = {
     "rolling_popularity_windows": " UNION ALL ".join(
         f'SELECT CAST({w} AS INTEGER) AS "window", * FROM ({_rolling(w)})' for w in (30, 90, 180)
     ),
-    "dataset_names": rf"""
+    "dataset_names": f"""
         SELECT d_dataset_id, split_part(d_dataset, '/', 4) AS tier,
-               regexp_extract(d_dataset,
-                 '^/[^/]*/((?:HI|PA|PN|XeXe|)Run201\d\w-[^-]+|CMSSW_\d+|[^-]+)[^/]*/', 1)
-                 AS input_campaign,
-               regexp_replace(pieces[1] || '-' || pieces[len(pieces) - 1], '_ext1$', '')
-                 AS tape_campaign,
+               {_INPUT_CAMPAIGN} AS input_campaign, {_TAPE_CAMPAIGN} AS tape_campaign,
                {_UNUSED_CAMPAIGN} AS unused_campaign
         FROM (SELECT *, string_split(split_part(d_dataset, '/', 3), '-') AS pieces FROM catalog)""",
-    "tier_categories_all": """
+    "input_campaign": f"""
+        SELECT {_INPUT_CAMPAIGN} AS input_campaign, COUNT(*) AS n FROM catalog GROUP BY 1""",
+    "tape_campaign": f"""
+        SELECT {_TAPE_CAMPAIGN} AS tape_campaign, COUNT(*) AS n
+        FROM (SELECT string_split(split_part(d_dataset, '/', 3), '-') AS pieces FROM catalog)
+        GROUP BY 1""",
+    "tier_categories": """
         SELECT d_dataset_id, TRUE AS "All", tier LIKE '%aod%' AS "sAODs",
                tier LIKE '%miniaod%' AS "sMINIAODs", tier LIKE 'aod%' AS "AODs",
                tier NOT LIKE '%aod%' AS "notsAODs"
@@ -417,17 +433,12 @@ _CASES = {
         SELECT CAST(unnest(generate_series(first, last, INTERVAL 1 DAY)) AS DATE) AS date
         FROM (SELECT MIN(CAST(o_orderdate AS DATE)) AS first, MAX(CAST(o_orderdate AS DATE)) AS last
               FROM orders)""",
-    "size_check": f"""
-        SELECT CAST(SUM(rep_size) AS DOUBLE) AS rep_size,
-               CAST(SUM(CASE WHEN br_user_group_id IN (42, 18, 19) THEN rep_size ELSE 0 END)
-                    AS DOUBLE) AS allOpsSize,
-               CAST(SUM(CASE WHEN br_user_group_id = 42 THEN rep_size ELSE 0 END)
-                    AS DOUBLE) AS anaOpsSize
-        FROM disk WHERE max_time = {END_DATE}""",
-    "window_totals_all": (
+    "size_check": _SIZE_CHECK,
+    "size_check_catalogued": _SIZE_CHECK,
+    "window_totals": (
         "SELECT " + _columns(SIZE_COLUMNS, "CAST(SUM({0}) AS DOUBLE)") + " FROM exact_sizes"
     ),
-    "null_counts_merged": "SELECT "
+    "null_counts": "SELECT "
     + _columns(["d_dataset_id", "day", *READS], "COUNT(*) - COUNT({0})")
     + " FROM merged",
     "compaction_roundtrip": _DISK,

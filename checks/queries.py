@@ -8,28 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.fixtures import END_DATE, SPINE, YOUNG_END_DATE, Fixtures
+from tidemark.functions import names
 from tidemark.functions.days import day_key, epoch_day
 from tidemark.functions.metrics import READ_METRICS, SIZE_METRICS, read_bin, windowed
-from tidemark.functions.names import (
-    input_campaign,
-    tape_campaign,
-    tier,
-    tier_categories,
-    unused_campaign,
+from tidemark.operators import (
+    access,
+    compaction,
+    histogram,
+    popularity,
+    quality,
+    replicas,
+    rolling,
 )
-from tidemark.operators.access import dataset_totals, file_read_tally, job_tally, transfer_tally
-from tidemark.operators.compaction import compact
-from tidemark.operators.histogram import (
-    histogram_arrays,
-    histogram_from_arrays,
-    histogram_long,
-    popularity_histogram,
-)
-from tidemark.operators.occupancy import daily_size
-from tidemark.operators.popularity import override_daily, top_unused, unused_by_campaign
-from tidemark.operators.quality import dataset_sizes_check, null_counts, window_totals
-from tidemark.operators.replicas import catalog_replicas_daily, replica_spans, tape_usage
-from tidemark.operators.rolling import rolling_popularity
 from tidemark.plans.session import shared_dir
 from tidemark.sinks.writers import (
     write_by_month,
@@ -82,11 +72,11 @@ def _file_tally(df: DataFrame, dim: str) -> DataFrame:
 
 
 def _totals(fx: Fixtures) -> DataFrame:
-    return dataset_totals(fx.files(), fx.catalog())
+    return access.dataset_totals(fx.files(), fx.catalog())
 
 
 @query
-def dataset_totals_all(fx: Fixtures) -> DataFrame:
+def dataset_totals(fx: Fixtures) -> DataFrame:
     return typed(
         _totals(fx),
         d_dataset="string",
@@ -99,18 +89,18 @@ def dataset_totals_all(fx: Fixtures) -> DataFrame:
 
 @query
 def daily_access(fx: Fixtures) -> DataFrame:
-    return _file_tally(file_read_tally(fx.file_read_log(), fx.files(), _totals(fx)), "site_name")
+    return _file_tally(access.file_read_tally(fx.file_read_log(), fx.files(), _totals(fx)), "site_name")
 
 
 @query
 def daily_access_domains(fx: Fixtures) -> DataFrame:
-    return _file_tally(transfer_tally(fx.transfer_log(), fx.files(), _totals(fx)), "client_domain")
+    return _file_tally(access.transfer_tally(fx.transfer_log(), fx.files(), _totals(fx)), "client_domain")
 
 
 @query
 def daily_access_events(fx: Fixtures) -> DataFrame:
     return typed(
-        job_tally(fx.job_log(), _totals(fx)),
+        access.job_tally(fx.job_log(), _totals(fx)),
         d_dataset_id="bigint",
         day="string",
         sum_evts="double",
@@ -127,7 +117,7 @@ def daily_access_from_json(fx: Fixtures) -> DataFrame:
     log = fx.file_read_log()
     log.select(F.struct(*log.columns).alias("data")).write.json(path, compression="gzip")
     log = read_log(fx.spark, "cmssw", f"{path}/*.json.gz")
-    return _file_tally(file_read_tally(log, fx.files(), _totals(fx)), "site_name")
+    return _file_tally(access.file_read_tally(log, fx.files(), _totals(fx)), "site_name")
 
 
 @query
@@ -141,7 +131,7 @@ def dataset_totals_from_csv(fx: Fixtures) -> DataFrame:
         ]
         df.select(*fields).write.csv(f"{root}/{name}", nullValue="null")
     files = read_csv(fx.spark, f"{root}/files", "files")
-    totals = dataset_totals(files, read_csv(fx.spark, f"{root}/datasets", "datasets"))
+    totals = access.dataset_totals(files, read_csv(fx.spark, f"{root}/datasets", "datasets"))
     return typed(
         totals.withColumn("dsize", F.round("dsize", 2)),
         d_dataset="string",
@@ -170,8 +160,8 @@ def _spans(df: DataFrame) -> DataFrame:
 
 
 @query
-def replica_spans_all(fx: Fixtures) -> DataFrame:
-    return _spans(replica_spans(fx.snapshots()))
+def replica_spans(fx: Fixtures) -> DataFrame:
+    return _spans(replicas.replica_spans(fx.snapshots()))
 
 
 @query
@@ -187,11 +177,11 @@ def replica_spans_from_csv(fx: Fixtures) -> DataFrame:
     ]
     day = epoch_day(F.col("now_sec")).alias("time")
     snapshots.select(*fields, day).write.partitionBy("time").csv(root, nullValue="null")
-    return _spans(replica_spans(read_snapshots(fx.spark, root, "2024-01-01", "2024-12-31")))
+    return _spans(replicas.replica_spans(read_snapshots(fx.spark, root, "2024-01-01", "2024-12-31")))
 
 
 @query
-def disk_replicas_all(fx: Fixtures) -> DataFrame:
+def disk_replicas(fx: Fixtures) -> DataFrame:
     return typed(
         fx.disk(),
         dataset_name="string",
@@ -214,7 +204,7 @@ def daily_size_sweep(fx: Fixtures) -> DataFrame:
 
 
 @query
-def daily_size_explode(fx: Fixtures) -> DataFrame:
+def daily_size(fx: Fixtures) -> DataFrame:
     return _daily(fx.daily("explode"))
 
 
@@ -247,13 +237,13 @@ def replica_windows_young(fx: Fixtures) -> DataFrame:
 
 
 @query
-def tape_usage_all(fx: Fixtures) -> DataFrame:
-    return typed(tape_usage(fx.replicas()), tier="string", input_campaign="string", size="double")
+def tape_usage(fx: Fixtures) -> DataFrame:
+    return typed(replicas.tape_usage(fx.replicas()), tier="string", input_campaign="string", size="double")
 
 
 @query
 def tape_usage_active(fx: Fixtures) -> DataFrame:
-    usage = tape_usage(fx.replicas(), active_since=END_DATE)
+    usage = replicas.tape_usage(fx.replicas(), active_since=END_DATE)
     return typed(usage, tier="string", input_campaign="string", size="double")
 
 
@@ -270,8 +260,8 @@ def _catalog_replicas(df: DataFrame) -> DataFrame:
 
 
 @query
-def catalog_replicas(fx: Fixtures) -> DataFrame:
-    return _catalog_replicas(catalog_replicas_daily(fx.catalog_replicas(), fx.files()))
+def catalog_replicas_daily(fx: Fixtures) -> DataFrame:
+    return _catalog_replicas(replicas.catalog_replicas_daily(fx.catalog_replicas(), fx.files()))
 
 
 @query
@@ -291,14 +281,14 @@ def catalog_replicas_from_files(fx: Fixtures) -> DataFrame:
     files = read_catalog_replicas(fx.spark, f"{root}/rucio", "parquet")
     # a partition directory reads part=<day>; the tally looks for the bare day
     files = files.withColumn("filename", F.replace("filename", F.lit("part="), F.lit("")))
-    return _catalog_replicas(catalog_replicas_daily(files, fx.files()))
+    return _catalog_replicas(replicas.catalog_replicas_daily(files, fx.files()))
 
 
 # ---- reads -----------------------------------------------------------------------------------
 
 
 @query
-def merge_reads_all(fx: Fixtures) -> DataFrame:
+def merge_reads(fx: Fixtures) -> DataFrame:
     return typed(
         fx.merged_reads(),
         d_dataset_id="bigint",
@@ -308,7 +298,7 @@ def merge_reads_all(fx: Fixtures) -> DataFrame:
 
 
 @query
-def read_windows_all(fx: Fixtures) -> DataFrame:
+def read_windows(fx: Fixtures) -> DataFrame:
     return typed(
         fx.read_bins(),
         d_dataset_id="bigint",
@@ -336,7 +326,7 @@ def overrides_resolved(fx: Fixtures) -> DataFrame:
 
 
 @query
-def popularity_all(fx: Fixtures) -> DataFrame:
+def popularity_joined(fx: Fixtures) -> DataFrame:
     return _popularity(fx.popularity())
 
 
@@ -357,15 +347,15 @@ def _popularity(df: DataFrame, **more: str) -> DataFrame:
 
 
 @query
-def override_daily_all(fx: Fixtures) -> DataFrame:
-    return typed(override_daily(fx.daily(), fx.overrides()), date="date", size="double")
+def override_daily(fx: Fixtures) -> DataFrame:
+    return typed(popularity.override_daily(fx.daily(), fx.overrides()), date="date", size="double")
 
 
 @query
 def override_daily_csv(fx: Fixtures) -> DataFrame:
     """The same report exported as one CSV file and read back."""
     path = shared_dir(fx.spark, "report")
-    write_single_csv(override_daily_all(fx), path)
+    write_single_csv(override_daily(fx), path)
     return read_csv(fx.spark, path, "date DATE, size DOUBLE", header=True)
 
 
@@ -374,30 +364,30 @@ def _unused(df: DataFrame) -> DataFrame:
 
 
 @query
-def top_unused_default(fx: Fixtures) -> DataFrame:
-    return _unused(top_unused(fx.overridden(), fx.catalog()))
+def top_unused(fx: Fixtures) -> DataFrame:
+    return _unused(popularity.top_unused(fx.overridden(), fx.catalog()))
 
 
 @query
 def top_unused_25(fx: Fixtures) -> DataFrame:
-    return _unused(top_unused(fx.overridden(), fx.catalog(), window=90, k=25))
+    return _unused(popularity.top_unused(fx.overridden(), fx.catalog(), window=90, k=25))
 
 
 @query
-def unused_by_campaign_all(fx: Fixtures) -> DataFrame:
-    unused = top_unused(fx.overridden(), fx.catalog())
-    return typed(unused_by_campaign(unused), campaign="string", tb="double")
+def unused_by_campaign(fx: Fixtures) -> DataFrame:
+    unused = popularity.top_unused(fx.overridden(), fx.catalog())
+    return typed(popularity.unused_by_campaign(unused), campaign="string", tb="double")
 
 
 @query
 def unused_by_campaign_csv(fx: Fixtures) -> DataFrame:
     """The same from the exported unused report."""
     path = shared_dir(fx.spark, "unused")
-    write_csv(top_unused(fx.overridden(), fx.catalog()), path)
+    write_csv(popularity.top_unused(fx.overridden(), fx.catalog()), path)
     size = "decimal(28,6)"
     columns = f"d_dataset STRING, allSize90 {size}, allSize180 {size}, allSize365 {size}"
     unused = read_csv(fx.spark, path, columns, header=True)
-    return typed(unused_by_campaign(unused), campaign="string", tb="double")
+    return typed(popularity.unused_by_campaign(unused), campaign="string", tb="double")
 
 
 # ---- histogram -------------------------------------------------------------------------------
@@ -409,12 +399,12 @@ def _histogram(df: DataFrame) -> DataFrame:
 
 @query
 def popularity_histogram_wide(fx: Fixtures) -> DataFrame:
-    return _histogram(popularity_histogram(fx.overridden()))
+    return _histogram(histogram.popularity_histogram(fx.overridden()))
 
 
 @query
 def popularity_histogram_long(fx: Fixtures) -> DataFrame:
-    long = histogram_long(popularity_histogram(fx.overridden()))
+    long = histogram.histogram_long(histogram.popularity_histogram(fx.overridden()))
     return typed(long, name="string", bin="int", bytes="double")
 
 
@@ -422,16 +412,16 @@ def popularity_histogram_long(fx: Fixtures) -> DataFrame:
 def popularity_histogram_json(fx: Fixtures) -> DataFrame:
     """The histogram stored as JSON arrays, re-read and turned back into rows."""
     path = shared_dir(fx.spark, "arrays")
-    write_json(histogram_arrays(popularity_histogram(fx.overridden())), path)
-    return _histogram(histogram_from_arrays(read_json(fx.spark, path)))
+    write_json(histogram.histogram_arrays(histogram.popularity_histogram(fx.overridden())), path)
+    return _histogram(histogram.histogram_from_arrays(read_json(fx.spark, path)))
 
 
 # ---- rolling ---------------------------------------------------------------------------------
 
 
 def _rolling(fx: Fixtures, window: int) -> DataFrame:
-    rolling = rolling_popularity(fx.merged_reads(), fx.daily(), (window,), *SPINE)
-    return typed(rolling, date="date", fraction="double", size="double")
+    popular = rolling.rolling_popularity(fx.merged_reads(), fx.daily(), (window,), *SPINE)
+    return typed(popular, date="date", fraction="double", size="double")
 
 
 @query
@@ -452,8 +442,10 @@ def rolling_popularity_180(fx: Fixtures) -> DataFrame:
 @query
 def rolling_popularity_windows(fx: Fixtures) -> DataFrame:
     """All three windows in one pass."""
-    rolling = rolling_popularity(fx.merged_reads(), fx.daily(), start=SPINE[0], end=SPINE[1])
-    return typed(rolling, window="int", date="date", fraction="double", size="double")
+    popular = rolling.rolling_popularity(
+        fx.merged_reads(), fx.daily(), start=SPINE[0], end=SPINE[1]
+    )
+    return typed(popular, window="int", date="date", fraction="double", size="double")
 
 
 # ---- names and days --------------------------------------------------------------------------
@@ -465,18 +457,32 @@ def dataset_names(fx: Fixtures) -> DataFrame:
     name = F.col("d_dataset")
     return fx.catalog().select(
         "d_dataset_id",
-        tier(name).alias("tier"),
-        input_campaign(name).alias("input_campaign"),
-        tape_campaign(name).alias("tape_campaign"),
-        unused_campaign(name).alias("unused_campaign"),
+        names.tier(name).alias("tier"),
+        names.input_campaign(name).alias("input_campaign"),
+        names.tape_campaign(name).alias("tape_campaign"),
+        names.unused_campaign(name).alias("unused_campaign"),
     )
 
 
 @query
-def tier_categories_all(fx: Fixtures) -> DataFrame:
-    tiers = fx.catalog().select("d_dataset_id", tier(F.col("d_dataset")).alias("tier"))
+def input_campaign(fx: Fixtures) -> DataFrame:
+    """Datasets per input campaign."""
+    campaign = names.input_campaign(F.col("d_dataset")).alias("input_campaign")
+    return fx.catalog().groupBy(campaign).agg(F.count("*").alias("n"))
+
+
+@query
+def tape_campaign(fx: Fixtures) -> DataFrame:
+    """Datasets per tape campaign."""
+    campaign = names.tape_campaign(F.col("d_dataset")).alias("tape_campaign")
+    return fx.catalog().groupBy(campaign).agg(F.count("*").alias("n"))
+
+
+@query
+def tier_categories(fx: Fixtures) -> DataFrame:
+    tiers = fx.catalog().select("d_dataset_id", names.tier(F.col("d_dataset")).alias("tier"))
     return tiers.select(
-        "d_dataset_id", *[test.alias(name) for name, test in tier_categories().items()]
+        "d_dataset_id", *[test.alias(name) for name, test in names.tier_categories().items()]
     )
 
 
@@ -508,7 +514,19 @@ def date_spine(fx: Fixtures) -> DataFrame:
 @query
 def size_check(fx: Fixtures) -> DataFrame:
     return typed(
-        dataset_sizes_check(fx.disk(), END_DATE),
+        quality.dataset_sizes_check(fx.disk(), END_DATE),
+        rep_size="double",
+        allOpsSize="double",
+        anaOpsSize="double",
+    )
+
+
+@query
+def size_check_catalogued(fx: Fixtures) -> DataFrame:
+    """The same totals over replicas of catalogued datasets only."""
+    known = replicas.catalogued(fx.disk(), fx.catalog())
+    return typed(
+        quality.dataset_sizes_check(known, END_DATE),
         rep_size="double",
         allOpsSize="double",
         anaOpsSize="double",
@@ -516,15 +534,15 @@ def size_check(fx: Fixtures) -> DataFrame:
 
 
 @query
-def window_totals_all(fx: Fixtures) -> DataFrame:
-    totals = window_totals(fx.exact_sizes())
+def window_totals(fx: Fixtures) -> DataFrame:
+    totals = quality.window_totals(fx.exact_sizes())
     return typed(totals, **{name: "double" for name in windowed(SIZE_METRICS)})
 
 
 @query
-def null_counts_merged(fx: Fixtures) -> DataFrame:
+def null_counts(fx: Fixtures) -> DataFrame:
     merged = fx.merged_reads().select("d_dataset_id", "day", *READ_METRICS)
-    return typed(null_counts(merged), **{name: "bigint" for name in merged.columns})
+    return typed(quality.null_counts(merged), **{name: "bigint" for name in merged.columns})
 
 
 @query
@@ -532,7 +550,7 @@ def compaction_roundtrip(fx: Fixtures) -> DataFrame:
     path = f"{shared_dir(fx.spark, 'compact')}/disk"
     write_parquet(fx.disk(), path)
     return typed(
-        read_parquet(fx.spark, compact(fx.spark, path, files=2)),
+        read_parquet(fx.spark, compaction.compact(fx.spark, path, files=2)),
         dataset_name="string",
         node_name="string",
         br_user_group_id="int",

@@ -1,0 +1,148 @@
+from conftest import as_set
+
+from tidemark.operators.access import (
+    clean_file_reads,
+    clean_jobs,
+    clean_transfers,
+    daily_file_access,
+    dataset_totals,
+    file_read_tally,
+    job_tally,
+    transfer_tally,
+)
+
+DAY = 86400
+FILES = "f_logical_file_name string, f_dataset_id int, f_file_size double, f_event_count int"
+CATALOG = "d_dataset_id int, d_dataset string"
+
+
+def catalogue(rows):
+    files = rows(
+        FILES,
+        ("/store/a1", 1, 10.0, 100),
+        ("/store/a2", 1, 30.0, 300),
+        ("/store/b1", 2, 0.0, None),
+        ("/store/x1", 9, 5.0, 5),
+    )
+    return files, rows(CATALOG, (1, "/A/a-v1/RAW"), (2, "/B/b-v1/AOD"), (3, "/C/c-v1/AOD"))
+
+
+def test_dataset_totals(rows):
+    files, catalog = catalogue(rows)
+    assert as_set(dataset_totals(files, catalog)) == [
+        ("/A/a-v1/RAW", 1, 40.0, 2, 400),
+        ("/B/b-v1/AOD", 2, 0.0, 1, None),
+    ]
+
+
+def test_file_read_tally(rows):
+    files, catalog = catalogue(rows)
+    log = rows(
+        "file_lfn string, end_time bigint, app_info string, site_name string",
+        ("/store/a1", 10, "x:crab:y", "S"),
+        ("/store/a1", DAY - 1, None, "S"),
+        ("/store/a1", 20, "other", "S"),
+        ("/store/a2", 30, None, "S"),
+        ("/store/a1", DAY, None, None),
+        ("/store/b1", 5, None, "S"),
+        ("/store/x1", 5, None, "S"),
+        ("/store/unknown", 5, None, "S"),
+        ("/user/a1", 5, None, "S"),
+        (None, 5, None, "S"),
+    )
+    tally = file_read_tally(log, files, dataset_totals(files, catalog))
+    assert tally.columns == ["d_dataset_id", "day", "site_name", "nfiles_read", "size_read", "fract_read"]
+    assert as_set(tally) == [
+        (1, "19700101", "S", 1, 10.0, 0.25),
+        (1, "19700101", "S", 3, 50.0, 1.25),
+        (1, "19700102", None, 1, 10.0, 0.25),
+        (2, "19700101", "S", 1, 0.0, None),
+    ]
+
+
+def test_file_listed_twice_counts_twice(rows):
+    files = rows(FILES, ("/store/a", 1, 10.0, 1), ("/store/a", 2, 20.0, 1))
+    catalog = rows(CATALOG, (1, "a"), (2, "b"))
+    log = rows("file_lfn string, day date, site_name string", *[("/store/a", None, "S")] * 3)
+    got = as_set(daily_file_access(log, files, dataset_totals(files, catalog)))
+    assert got == [(1, None, "S", 3, 30.0, 3.0), (2, None, "S", 3, 60.0, 3.0)]
+
+
+def test_clean_transfers(rows):
+    log = rows(
+        "file_lfn string, end_time bigint, client_domain string, vo string",
+        ("/store/a1", DAY * 1000 - 1, "cern.ch", "cms"),
+        ("/store/a1", DAY * 1000, "[::1]", "cms"),
+        ("/store/a1", 0, None, "cms"),
+        ("/store/a1", 0, "cern.ch", "atlas"),
+        ("/store/a1", 0, "cern.ch", None),
+        ("/user/a1", 0, "cern.ch", "cms"),
+    )
+    assert [(str(d), c) for _, d, c in as_set(clean_transfers(log))] == [
+        ("1970-01-01", None),
+        ("1970-01-01", "cern.ch"),
+        ("1970-01-02", None),
+    ]
+    files, catalog = catalogue(rows)
+    assert as_set(transfer_tally(log, files, dataset_totals(files, catalog))) == [
+        (1, "19700101", None, 1, 10.0, 0.25),
+        (1, "19700101", "cern.ch", 1, 10.0, 0.25),
+        (1, "19700102", None, 1, 10.0, 0.25),
+    ]
+
+
+JOBS = (
+    "DESIRED_CMSDataset string, RecordTime bigint, KEvents float, Site string, "
+    "InputData string, CMS_SubmissionTool string, Status string"
+)
+
+
+def test_job_tally(rows):
+    files, catalog = catalogue(rows)
+    log = rows(
+        JOBS,
+        ("/A/a-v1/RAW", 0, 0.5, "S", "Onsite", "t", "Completed"),
+        ("/A/a-v1/RAW", 1, 0.25, "S", "Onsite", "t", "Completed"),
+        ("/A/a-v1/RAW", 1, 1.0, "S", "Offsite", "t", "Completed"),
+        ("/A/a-v1/RAW", 1, 1.0, "S", None, "t", "Completed"),
+        ("/A/a-v1/RAW", 1, None, "S", "Onsite", "t", "Completed"),
+        ("/A/a-v1/RAW", 1, 1.0, "S", "Onsite", "t", "Removed"),
+        ("/A/a-v1/RAW", 1, 1.0, "S", "Onsite", "t", None),
+        ("/B/b-v1/AOD", 1, 1.0, "S", "Onsite", "t", "Completed"),
+        ("/unknown", 1, 1.0, "S", "Onsite", "t", "Completed"),
+        (None, 1, 1.0, "S", "Onsite", "t", "Completed"),
+    )
+    got = as_set(job_tally(log, dataset_totals(files, catalog)))
+    assert got == [
+        (1, "19700101", 0.75, 3, "S", 750.0 / 401),
+        (1, "19700101", 2.0, 2, "Remote", 2000.0 / 401),
+        (2, "19700101", 1.0, 1, "S", None),
+    ]
+    assert set(clean_jobs(log).columns) == {
+        "dataset_name", "day", "site_name", "KEvents", "CMS_SubmissionTool", "InputData"
+    }
+
+
+def test_hot_file_reaches_the_join_once_per_group(spark, rows):
+    """A third of all records on one file: counted before the join, and whole."""
+    log = spark.range(90_000).selectExpr(
+        "if(id % 3 = 0, '/store/hot', concat('/store/f', id % 500)) AS file_lfn",
+        "id % 5 * 86400 AS end_time",
+        "CAST(NULL AS string) AS app_info",
+        "concat('S', id % 7) AS site_name",
+    )
+    files = spark.range(500).selectExpr(
+        "concat('/store/f', id) AS f_logical_file_name",
+        "CAST(id % 20 AS int) AS f_dataset_id",
+        "CAST(1 AS double) AS f_file_size",
+        "1 AS f_event_count",
+    ).union(rows("a string, b int, c double, d int", ("/store/hot", 99, 2.0, 1)))
+    catalog = files.selectExpr("f_dataset_id AS d_dataset_id", "CAST(f_dataset_id AS string) AS d_dataset").distinct()
+    tally = file_read_tally(log, files, dataset_totals(files, catalog))
+    hot = tally.where("d_dataset_id = 99")
+    assert hot.count() == 35
+    assert hot.agg({"nfiles_read": "sum", "size_read": "sum"}).first()[:] == (30_000, 60_000.0)
+    assert tally.agg({"nfiles_read": "sum"}).first()[0] == 90_000
+    assert clean_file_reads(log).groupBy("file_lfn", "day", "site_name", "is_crab").count().where(
+        "file_lfn = '/store/hot'"
+    ).count() == 35

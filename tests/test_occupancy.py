@@ -1,0 +1,209 @@
+import random
+from collections import defaultdict
+from datetime import date, timedelta
+from decimal import Decimal
+
+import pytest
+from conftest import as_set
+
+from tidemark.functions.metrics import OPS_GROUPS, SIZE_METRICS, WINDOWS
+from tidemark.operators.occupancy import daily_size, replica_window_sizes
+
+REPLICAS = (
+    "dataset_name string, dataset_id int, replica_time_create string, node_name string, "
+    "rep_size {size}, min_time date, max_time date, br_user_group_id int"
+)
+CATALOG = "d_dataset_id int, d_dataset string"
+METHODS = ("sweep", "explode")
+START, END = date(2020, 1, 1), date(2020, 3, 31)
+
+
+def day(n):
+    return START + timedelta(days=n)
+
+
+def replica(name, size, lo, hi, group=42, created="20190101"):
+    return (name, -1, created, "T2", size, lo, hi, group)
+
+
+def random_replicas(seed, count, sizes):
+    rng = random.Random(seed)
+    made = []
+    for _ in range(count):
+        lo = rng.randint(-40, 110)
+        hi = lo + rng.choice([0, 0, 1, 3, 20, 90])
+        name = "hot" if rng.random() < 0.34 else f"d{rng.randint(0, 9)}"
+        made.append(
+            replica(
+                name,
+                rng.choice(sizes),
+                day(lo) if rng.random() > 0.03 else None,
+                day(hi) if rng.random() > 0.03 else None,
+                rng.choice([42, 18, 19, 7, None]),
+                f"2019{rng.randint(10, 12)}{rng.randint(10, 28)}",
+            )
+        )
+    return made
+
+
+def brute_daily(replicas, ids):
+    found = defaultdict(list)
+    for name, _, _, _, size, lo, hi, group in replicas:
+        if lo is None or hi is None or name not in ids:
+            continue
+        ops = size if group in OPS_GROUPS else 0
+        d = max(lo, START)
+        while d <= min(hi, END):
+            found[d, ids[name]].append(ops)
+            d += timedelta(days=1)
+    summed = {}
+    for key, values in found.items():
+        known = [v for v in values if v is not None]
+        summed[key] = sum(known) if known else None
+    return sorted((d, i, None if s is None else float(s)) for (d, i), s in summed.items())
+
+
+@pytest.fixture(scope="module")
+def ids():
+    return {"hot": 100, **{f"d{i}": i for i in range(9)}}  # d9 is not catalogued
+
+
+@pytest.mark.parametrize("method", METHODS)
+@pytest.mark.parametrize("kind", ["double", "decimal(18,2)", "bigint"])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_daily_size_matches_brute_force(rows, ids, method, kind, seed):
+    sizes = {"double": [0.5, 1.25, 1e15, None, 0.0], "bigint": [1, 7, 10**15, None, 0]}.get(
+        kind, [Decimal("0.10"), Decimal("123456.78"), None]
+    )
+    replicas = random_replicas(seed, 300, sizes)
+    df = rows(REPLICAS.format(size=kind), *replicas)
+    catalog = rows(CATALOG, *[(i, name) for name, i in ids.items()])
+    got = daily_size(df, catalog, START, END, method)
+    assert got.columns == ["date", "dataset_id", "allOpsSize"]
+    as_float = [(d, i, None if s is None else float(s)) for d, i, s in as_set(got)]
+    assert sorted(as_float, key=lambda r: r[:2]) == brute_daily(replicas, ids)
+
+
+@pytest.mark.parametrize("method", METHODS)
+def test_daily_size_edges(rows, method):
+    df = rows(
+        REPLICAS.format(size="double"),
+        replica("a", 5.0, day(3), day(3)),
+        replica("a", 7.0, day(3), day(4), group=7),
+        replica("a", None, day(6), day(6)),
+        replica("a", 1.0, day(9), day(8)),
+        replica("a", 2.0, date(2019, 12, 1), START),
+        replica("a", 3.0, END, date(2021, 1, 1)),
+    )
+    assert as_set(daily_size(df, rows(CATALOG, (1, "a")), START, END, method)) == [
+        (START, 1, 2.0),
+        (day(3), 1, 5.0),
+        (day(4), 1, 0.0),
+        (day(6), 1, None),
+        (END, 1, 3.0),
+    ]
+
+
+def brute_windows(replicas, ids, end):
+    sums = defaultdict(lambda: defaultdict(list))
+    created = {}
+    for name, _, made, _, _, _, _, _ in replicas:
+        made = date(int(made[:4]), int(made[4:6]), int(made[6:]))
+        created[name] = min(created.get(name, made), made)
+    for name, _, _, _, size, lo, hi, group in replicas:
+        if name not in ids or hi is None:
+            continue
+        min_age, max_age = (None if lo is None else (end - lo).days), (end - hi).days
+        if max_age > max(WINDOWS):
+            continue
+        age = (end - created[name]).days
+        by_metric = {
+            "allSize": size,
+            "allOpsSize": size if group in OPS_GROUPS else 0.0,
+            "anaOpsSize": size if group == 42 else 0.0,
+        }
+        for w in WINDOWS:
+            for metric, value in by_metric.items():
+                if max_age > w or (min_age is not None and min_age < 0):
+                    got = 0.0
+                elif value is None:
+                    got = None
+                else:
+                    held = (w if min_age is None else min(w, min_age)) - max(0, max_age)
+                    got = held / w * value
+                old = f"old{metric[0].upper()}{metric[1:]}"
+                sums[name][f"{metric}{w}"].append(got)
+                sums[name][f"{old}{w}"].append(got if age > w else 0.0)
+    result = {}
+    for name, columns in sums.items():
+        result[ids[name]] = {
+            column: sum(known) if (known := [v for v in values if v is not None]) else None
+            for column, values in columns.items()
+        }
+    return result
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_window_sizes_match_brute_force(rows, ids, seed):
+    replicas = random_replicas(seed, 400, [0.5, 1.25, 1e6, None])
+    df = rows(REPLICAS.format(size="double"), *replicas)
+    catalog = rows(CATALOG, *[(i, name) for name, i in ids.items()])
+    end = date(2020, 3, 1)
+    got = {
+        r["dataset_id"]: r.asDict() for r in replica_window_sizes(df, catalog, end).collect()
+    }
+    expected = brute_windows(replicas, ids, end)
+    assert got.keys() == expected.keys()
+    for dataset, columns in expected.items():
+        for column, value in columns.items():
+            assert got[dataset][column] == pytest.approx(value, rel=1e-12), (dataset, column)
+
+
+def one_window(rows, *replicas, end="2020-03-31"):
+    df = rows(REPLICAS.format(size="double"), *replicas)
+    got = replica_window_sizes(df, rows(CATALOG, (1, "/A/a-v1/RAW")), end).collect()
+    return got[0].asDict() if got else None
+
+
+def test_window_size_columns(rows):
+    row = one_window(rows, replica("/A/a-v1/RAW", 9.0, day(0), END))
+    assert list(row)[:2] == ["dataset_id", "tier"]
+    assert set(list(row)[2:]) == {f"{m}{w}" for m in SIZE_METRICS for w in WINDOWS}
+    assert row["tier"] == "RAW"
+    # 2020-01-01 .. 2020-03-31 is 90 midnights: all of the shortest window
+    assert row["allSize90"] == row["oldAnaOpsSize90"] == 9.0
+    assert row["allSize180"] == 4.5
+
+
+def test_window_size_edges(rows):
+    name = "/A/a-v1/RAW"
+    assert one_window(rows, replica(name, 9.0, day(5), day(5)))["allSize90"] == 0.0
+    assert one_window(rows, replica(name, 9.0, day(95), day(99)))["allSize90"] == 0.0
+    assert one_window(rows, replica(name, 9.0, date(2018, 1, 1), date(2018, 2, 1))) is None
+    assert one_window(rows, replica("/unknown", 9.0, day(0), END)) is None
+    young = one_window(rows, replica(name, 9.0, day(0), END, created="20200101"))
+    assert (young["allSize90"], young["oldAllSize90"]) == (9.0, 0.0)
+    # created is taken over all replicas, also those long gone
+    old = one_window(
+        rows,
+        replica(name, 9.0, day(0), END, created="20200101"),
+        replica(name, 9.0, date(2018, 1, 1), date(2018, 2, 1), created="20180101"),
+    )
+    assert (old["allSize90"], old["oldAllSize90"], old["oldAllSize365"]) == (9.0, 9.0, old["allSize365"])
+    groups = one_window(rows, *[replica(name, 1.0, day(0), END, group=g) for g in (42, 18, 19, 7, None)])
+    assert (groups["allSize90"], groups["allOpsSize90"], groups["anaOpsSize90"]) == (5.0, 3.0, 1.0)
+    sizeless = one_window(rows, replica(name, None, day(0), END))
+    assert (sizeless["allSize90"], sizeless["oldAllSize90"]) == (None, None)
+
+
+def test_shares_stay_within_the_window(rows, ids):
+    replicas = [(*r[:4], 1.0, *r[5:]) for r in random_replicas(7, 300, [1.0])]
+    df = rows(REPLICAS.format(size="double"), *replicas)
+    catalog = rows(CATALOG, *[(i, name) for name, i in ids.items()])
+    counts = defaultdict(int)
+    for r in replicas:
+        counts[ids.get(r[0])] += 1
+    for row in replica_window_sizes(df, catalog, date(2020, 3, 1)).collect():
+        for w in WINDOWS:
+            assert 0 <= row[f"anaOpsSize{w}"] <= row[f"allOpsSize{w}"] <= row[f"allSize{w}"]
+            assert row[f"allSize{w}"] <= counts[row["dataset_id"]]
