@@ -1,0 +1,216 @@
+"""All jobs, from raw files to reports, on a small hand-made world."""
+
+import csv
+import gzip
+import json
+from datetime import datetime, timedelta, timezone
+
+import pytest
+from conftest import as_set
+
+from tidemark.plans import jobs
+from tidemark.plans.jobs import Stages
+from tidemark.sources.layouts import layout
+from tidemark.sources.readers import read_parquet
+
+A, B, C = "/A/camp_v1-x-v2/AODSIM", "/B/old-y-v1/RAW", "/C/big-z_ext1-v1/MINIAODSIM"
+FIRST = datetime(2020, 1, 1, tzinfo=timezone.utc)
+
+
+def seconds(day):
+    return int((FIRST + timedelta(days=day)).timestamp())
+
+
+def dump(path, name, *records):
+    fields = [f.name for f in layout(name).fields]
+    path.parent.mkdir(parents=True, exist_ok=True)
+    with path.open("a", newline="") as out:
+        for record in records:
+            csv.writer(out).writerow([record.get(f, "null") for f in fields])
+
+
+def log(root, source, day, *records):
+    folder = root / source / (FIRST + timedelta(days=day)).strftime("%Y/%m/%d")
+    folder.mkdir(parents=True, exist_ok=True)
+    with gzip.open(folder / "part.json.gz", "wt") as out:
+        out.writelines(json.dumps({"data": r}) + "\n" for r in records)
+
+
+@pytest.fixture(scope="module")
+def world(tmp_path_factory):
+    root = tmp_path_factory.mktemp("world")
+    dump(
+        root / "datasets",
+        "datasets",
+        *[{"d_dataset_id": i, "d_dataset": n} for i, n in ((1, A), (2, B), (3, C))],
+    )
+    dump(
+        root / "files",
+        "files",
+        *[
+            {
+                "f_logical_file_name": f"/store/{n}{j}",
+                "f_dataset_id": i,
+                "f_event_count": 500,
+                "f_file_size": 10.0,
+            }
+            for i, n in ((1, "a"), (2, "b"), (3, "c"))
+            for j in (0, 1)
+        ],
+    )
+    for day in range(10):
+        name = (FIRST + timedelta(days=day)).strftime("time=%Y-%m-%d")
+        for dataset, size, last in ((A, 100, 9), (B, 40, 4), (C, 1000, 9)):
+            for node in ("T2_X", "T1_Y_MSS"):
+                if day <= last:
+                    dump(
+                        root / "snapshots" / name / "part-0",
+                        "block_replicas",
+                        {
+                            "now_sec": float(seconds(day) + 60),
+                            "dataset_name": dataset,
+                            "dataset_id": 77,
+                            "block_id": hash(dataset) % 1000,
+                            "block_bytes": size,
+                            "node_name": node,
+                            "br_user_group_id": 42 if dataset != B else 7,
+                            "replica_time_create": float(seconds(-400)),
+                        },
+                    )
+    read = {"file_lfn": "/store/a0", "app_info": "x:crab:y", "site_name": "S"}
+    log(root, "cmssw", 2, *[{**read, "end_time": seconds(2) + i} for i in range(6)])
+    log(
+        root,
+        "xrootd",
+        3,
+        {"file_lfn": "/store/b0", "end_time": seconds(3) * 1000, "client_domain": "d", "vo": "cms"},
+    )
+    log(
+        root,
+        "classads",
+        3,
+        {
+            "DESIRED_CMSDataset": A,
+            "RecordTime": seconds(3) * 1000,
+            "KEvents": 2.0,
+            "Site": "S",
+            "InputData": "Onsite",
+            "Status": "Completed",
+        },
+    )
+    (root / "overrides.json").write_text(json.dumps({B: 7, "/no/such/RAW": 1}))
+    return root
+
+
+def test_every_job(spark, world):
+    stages = Stages(f"{world}/out")
+    catalog = str(world / "datasets")
+    bounds = {"start": "2020-01-01", "end": "2020-01-10"}
+
+    for source in jobs.SOURCES:
+        path = jobs.tally_access(
+            spark, source, str(world / source), "2020/01/*", str(world / "files"), catalog, stages
+        )
+        assert path == stages.path(source, "2020/01")
+    tally = read_parquet(spark, stages.path("cmssw", "2020/01"))
+    assert as_set(tally.select("d_dataset_id", "day", "site_name", "nfiles_read", "fract_read")) == [
+        (1, "20200103", "S", 6, 3.0)
+    ]
+
+    jobs.tally_replicas(spark, str(world / "snapshots"), stages)
+    spans = read_parquet(spark, stages.path("replica_spans"))
+    assert spans.count() == 6
+    disk = read_parquet(spark, stages.path("disk_replicas"))
+    assert as_set(disk.select("dataset_name", "rep_size")) == [(A, 100.0), (B, 40.0), (C, 1000.0)]
+
+    jobs.tally_occupancy(spark, catalog, stages, "2020-01-10", **bounds)
+    daily = read_parquet(spark, stages.path("replica_daily"))
+    assert daily.count() == 10 + 5 + 10
+    assert as_set(daily.groupBy("dataset_id").sum("allOpsSize")) == [
+        (1, 1000.0),
+        (2, 0.0),
+        (3, 10000.0),
+    ]
+    sizes = {r["dataset_id"]: r for r in read_parquet(spark, stages.path("replica_windows")).collect()}
+    assert sizes[3]["allSize90"] == pytest.approx(1000 * 9 / 90)
+    assert sizes[2]["anaOpsSize90"] == 0.0
+
+    jobs.report_tape(spark, stages)
+    tape = spark.read.csv(stages.path("tape_usage"), header=True)
+    assert as_set(tape) == [
+        ("AODSIM", "camp_v1-x", "100.0"),
+        ("MINIAODSIM", "big-z", "1000.0"),
+        ("RAW", "old-y", "40.0"),
+    ]
+
+    jobs.tally_overrides(spark, str(world / "overrides.json"), catalog, stages)
+    jobs.merge_access(spark, stages, "2020/*", "2020-01-10")
+    merged = read_parquet(spark, stages.path("merged_reads"))
+    assert as_set(merged.select("d_dataset_id", "day", "fract_read")) == [
+        (1, "20200103", 3.0),
+        (1, "20200104", 2000.0 / 1001),
+        (2, "20200104", 0.5),
+    ]
+
+    jobs.report_popularity(spark, catalog, stages)
+    unused = spark.read.csv(stages.path("top_unused"), header=True)
+    assert [r["d_dataset"] for r in unused.collect()] == [C]
+    histogram = {
+        r["name"]: [float(v) for v in r[1:]]
+        for r in spark.read.csv(stages.path("popularity_histogram"), header=True).collect()
+    }
+    assert len(histogram) == 360
+    row = histogram["sums_allSize_fract_read_All_90"]
+    assert row[0] == pytest.approx(100.0)
+    assert row[4] == pytest.approx(10.0)  # 3 + 2000/1001 reads of A
+    assert row[7] == pytest.approx(40 * 4 / 90)  # overridden B
+
+    campaigns = jobs.report_unused_campaigns(spark, stages)
+    ((campaign, terabytes),) = map(tuple, campaigns.collect())
+    assert (campaign, terabytes) == ("big-z_ext1", pytest.approx(1000 * 9 / 365 / 1e12))
+
+    jobs.report_rolling(spark, stages, (2, 30), **bounds)
+    short = spark.read.csv(stages.path("rolling_popularity", "2"), header=True)
+    assert [tuple(r) for r in short.orderBy("date").collect()] == [
+        (f"2020-01-0{d}", str(100 / 1100), "1100.0") for d in (3, 4, 5, 6)
+    ]
+    assert spark.read.csv(stages.path("rolling_popularity", "30"), header=True).count() == 8
+
+    jobs.report_override_daily(spark, stages)
+    overridden = spark.read.csv(stages.path("overrides_daily"), header=True)
+    assert {tuple(r)[1] for r in overridden.collect()} == {"0.0"}
+    assert overridden.count() == 5
+
+
+def test_unknown_source(spark, world):
+    with pytest.raises((ValueError, KeyError)):
+        jobs.tally_access(
+            spark,
+            "other",
+            str(world / "cmssw"),
+            "2020/01/*",
+            str(world / "files"),
+            str(world / "datasets"),
+            Stages(f"{world}/none"),
+        )
+
+
+def test_catalog_replicas_job(spark, rows, world):
+    replicas = rows(
+        "RSE_ID string, BYTES bigint, NAME string, SCOPE string, CREATED_AT bigint",
+        ("r", 5, "/store/a0", "cms", seconds(0) * 1000),
+        ("r", 6, "/store/a1", "cms", seconds(0) * 1000),
+    )
+    replicas.write.parquet(f"{world}/rucio/2020-12-11/replicas")
+    stages = Stages(f"{world}/out2")
+    path = jobs.tally_catalog_replicas(
+        spark,
+        f"{world}/rucio",
+        "2020-12-11",
+        str(world / "files"),
+        stages,
+        "replicas/*.parquet",
+        "parquet",
+    )
+    assert path.endswith("catalog_replicas/2020/12/11")
+    assert as_set(read_parquet(spark, path)) == [("r", 1, "cms", "20201211", "20200101", 11)]
