@@ -114,6 +114,8 @@ def test_read_overrides(spark, tmp_path):
     path = tmp_path / "overrides.json"
     path.write_text('{\n  "/A/a/RAW": 3,\n  "/B/b/AOD": 0,\n  "/A/a/RAW": 5\n}\n')
     assert as_set(read_overrides(spark, str(path))) == [("/A/a/RAW", 5), ("/B/b/AOD", 0)]
+    (tmp_path / "z.json").write_text('{"/B/b/AOD": 9}')
+    assert as_set(read_overrides(spark, f"{tmp_path}/*.json"))[1] == ("/B/b/AOD", 9)
     path.write_text("{}")
     assert read_overrides(spark, str(path)).count() == 0
 

@@ -70,7 +70,11 @@ def disk_replicas(spans: DataFrame) -> DataFrame:
 
 
 def catalogued(replicas: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Replicas of catalogued datasets, with the catalogue's id in place of the snapshot's own."""
+    """Replicas of catalogued datasets, with the catalogue's id in place of the snapshot's own.
+
+    For replica-level checks. Operators that aggregate look the id up after grouping instead, so
+    that a dataset with very many replicas reaches the join as few rows.
+    """
     ids = catalog.select(F.col("d_dataset"), F.col("d_dataset_id").alias("dataset_id"))
     return (
         replicas.drop("dataset_id")

@@ -76,12 +76,16 @@ def read_catalog_replicas(spark: SparkSession, path: str, format: str = "avro")
 
 
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (dataset_name, value) of a hand-kept JSON object ``{dataset_name: value}``.
+    """Rows (dataset_name, value) of hand-kept JSON objects ``{dataset_name: value}``.
 
-    A name given twice keeps its last value, as JSON objects do.
+    ``path`` may hold several files, each one object. A name given twice keeps its last value, as
+    JSON objects do; of two files the later by name wins.
     """
-    text = spark.read.text(path, wholetext=True)
-    entries = text.select(F.posexplode(F.from_json("value", "map<string,int>")))
+    files = spark.read.text(path, wholetext=True)
+    entries = files.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.posexplode(F.from_json("value", "map<string,int>")),
+    )
     return entries.groupBy(F.col("key").alias("dataset_name")).agg(
-        F.max_by("value", "pos").alias("value")
+        F.max_by("value", F.struct("file", "pos")).alias("value")
     )
