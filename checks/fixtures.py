@@ -29,37 +29,25 @@ class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self.tables:
+            self.tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.tables[name]
 
     # catalogue
 
     def catalog(self) -> DataFrame:
-        campaign = F.element_at(
-            F.array(
-                *map(
-                    F.lit,
-                    (
-                        "Run2018A-12Nov2019",
-                        "RunIIAutumn18-102X_v15_ext1",
-                        "RunIISummer16-94X_v3",
-                        "CMSSW_10-102X",
-                    ),
-                )
-            ),
-            F.col("p_size") % 4 + 1,
+        campaign = F.expr(
+            """CASE p_size % 4 WHEN 0 THEN 'Run2018A-12Nov2019' WHEN 1 THEN 'RunIIAutumn18-102X_v15_ext1'
+                               WHEN 2 THEN 'RunIISummer16-94X_v3' ELSE 'CMSSW_10-102X' END"""
+        )
+        tier = F.expr(
+            """CASE p_type WHEN 'ECONOMY' THEN 'AODSIM' WHEN 'SMALL' THEN 'MINIAODSIM'
+                           WHEN 'MEDIUM' THEN 'GEN-SIM' WHEN 'LARGE' THEN 'AOD'
+                           WHEN 'STANDARD' THEN 'NANOAOD' ELSE 'RAW' END"""
         )
-        tiers = {
-            "ECONOMY": "AODSIM",
-            "SMALL": "MINIAODSIM",
-            "MEDIUM": "GEN-SIM",
-            "LARGE": "AOD",
-            "STANDARD": "NANOAOD",
-        }
-        tier = F.lit("RAW")
-        for kind, name in tiers.items():
-            tier = F.when(F.col("p_type") == kind, name).otherwise(tier)
         path = F.concat(
             F.lit("/"),
             F.replace("p_name", F.lit(" "), F.lit("_")),
@@ -156,11 +144,12 @@ class Fixtures:
     # replicas
 
     def replicas(self) -> DataFrame:
-        kinds = ("T3_US_A", "X_TEST", "T1_DE_B_Buffer", "T1_US_C_MSS", "T0_CH_D_Export")
-        node = F.concat(F.lit("T2_CH_"), F.col("l_suppkey").cast("string"))
-        for i, name in enumerate(kinds):
-            node = F.when(F.col("l_suppkey") % 8 == i, name).otherwise(node)
-        group = F.element_at(F.array(*map(F.lit, (42, 18, 19, 7))), F.col("l_linenumber") % 4 + 1)
+        node = F.expr(
+            """CASE l_suppkey % 8 WHEN 0 THEN 'T3_US_A' WHEN 1 THEN 'X_TEST' WHEN 2 THEN 'T1_DE_B_Buffer'
+                                  WHEN 3 THEN 'T1_US_C_MSS' WHEN 4 THEN 'T0_CH_D_Export'
+                                  ELSE 'T2_CH_' || l_suppkey END"""
+        )
+        group = F.expr("element_at(array(42, 18, 19, 7), l_linenumber % 4 + 1)")
         shipped = F.col("l_shipdate").cast("date")
         return (
             self.table("lineitem")
@@ -183,9 +172,7 @@ class Fixtures:
 
     def snapshots(self) -> DataFrame:
         """Snapshots of blocks; the events' user stands for the block."""
-        group = F.element_at(
-            F.array(*map(F.lit, (42, 18, 19, 7))), (F.col("user_id") % 4 + 1).cast("int")
-        )
+        group = F.expr("element_at(array(42, 18, 19, 7), CAST(user_id % 4 + 1 AS int))")
         dataset = (F.col("user_id") % 20).cast("int")
         return self.table("events").select(
             (F.unix_date(F.col("ts").cast("date")) * 86400.0).alias("now_sec"),
@@ -236,7 +223,7 @@ class Fixtures:
         """Window sizes as decimals: their sums then come out the same in any order."""
         sizes = self.window_sizes()
         return sizes.withColumns(
-            {name: F.round(name, 6).cast(PRECISE) for name in windowed(SIZE_METRICS)}
+            {n: F.expr(f"CAST(round({n}, 6) AS {PRECISE})") for n in windowed(SIZE_METRICS)}
         )
 
     def popularity(self) -> DataFrame:

@@ -53,7 +53,7 @@ def query(build: Callable[[Fixtures], DataFrame]) -> Callable[[Fixtures], DataFr
 
 def typed(df: DataFrame, **types: str) -> DataFrame:
     """The named columns in order, each cast: both engines then agree on result types."""
-    return df.select(*[F.col(name).cast(kind).alias(name) for name, kind in types.items()])
+    return df.selectExpr(*[f"CAST(`{name}` AS {kind}) AS `{name}`" for name, kind in types.items()])
 
 
 # ---- access ----------------------------------------------------------------------------------

@@ -37,10 +37,10 @@ def read_bin(reads: Column) -> Column:
     """
     top = READ_BINS - 1
     return (
-        F.when(reads.isNull() | (reads == 0), F.lit(0))
-        .when((reads > 0) & (reads < 1.5), F.lit(1))
-        .when(reads > top, F.lit(top))
-        .otherwise(reads.cast("bigint"))
+        F.when(reads > top, top)
+        .when((reads < 0) | (reads >= 1.5), reads.cast("bigint"))
+        .when(reads > 0, 1)
+        .otherwise(0)
         .cast("bigint")
     )
 

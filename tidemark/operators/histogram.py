@@ -32,20 +32,17 @@ def popularity_histogram(pop: DataFrame, windows: Sequence[int] = WINDOWS) -> Da
     """
     categories = tier_categories()
     member = {name: F.coalesce(test, F.lit(False)) for name, test in categories.items()}
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(window).alias("window"),
-                F.lit(read).alias("read"),
-                F.col(f"{read}{window}").alias("bin"),
-                *[F.col(f"{size}{window}").alias(size) for size in SIZE_METRICS],
-            )
-            for window in windows
-            for read in READ_METRICS
-        ]
+    # generated as SQL text: hundreds of column objects would take longer to build than to run
+    pairs = ", ".join(
+        _named_struct(
+            {"window": str(window), "read": f"'{read}'", "bin": f"{read}{window}"}
+            | {size: f"{size}{window}" for size in SIZE_METRICS}
+        )
+        for window in windows
+        for read in READ_METRICS
     )
     classes = (
-        pop.select(*[test.alias(name) for name, test in member.items()], F.inline(pairs))
+        pop.select(*[test.alias(name) for name, test in member.items()], F.expr(f"inline(array({pairs}))"))
         .where(F.col("bin").isin(*range(READ_BINS)))
         .groupBy("window", "read", "bin", *member)
         .agg(*[F.sum(size).alias(size) for size in SIZE_METRICS])
@@ -60,8 +57,9 @@ def popularity_histogram(pop: DataFrame, windows: Sequence[int] = WINDOWS) -> Da
         *SIZE_METRICS,
     ).unpivot(["window", "read", "bin", "category"], list(SIZE_METRICS), "size", "bytes")
     name = F.concat_ws("_", F.lit("sums"), "size", "read", "category", "window")
+    names = F.split(F.lit(" ".join(histogram_names(windows))), " ")
     every_name = pop.sparkSession.range(1).select(
-        F.explode(F.array(*[F.lit(n) for n in histogram_names(windows)])).alias("name"),
+        F.explode(names).alias("name"),
         F.lit(None).alias("bin"),
         F.lit(None).alias("bytes"),
     )
@@ -69,9 +67,13 @@ def popularity_histogram(pop: DataFrame, windows: Sequence[int] = WINDOWS) -> Da
     return filled.groupBy("name").agg(*[_bin_total(i).alias(str(i)) for i in range(READ_BINS)])
 
 
+def _named_struct(fields: dict[str, str]) -> str:
+    pairs = [f"'{name}', {value}" for name, value in fields.items()]
+    return f"named_struct({', '.join(pairs)})"
+
+
 def _bin_total(i: int) -> Column:
-    total = F.sum(F.when(F.col("bin") == i, F.col("bytes"))).cast("double")
-    return F.coalesce(total, F.lit(0.0))
+    return F.expr(f"coalesce(CAST(sum(CASE WHEN bin = {i} THEN bytes END) AS double), 0D)")
 
 
 def histogram_long(histogram: DataFrame) -> DataFrame:

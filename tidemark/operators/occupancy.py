@@ -145,40 +145,40 @@ def replica_window_sizes(
         size.alias("allSize"),
         ops_size(size, group).alias("allOpsSize"),
         analysis_size(size, group).alias("anaOpsSize"),
-    )
-    in_scope = F.col("max_age") <= max(windows)
+    ).withColumn("in_scope", F.col("max_age") <= max(windows))
     base_metrics = SIZE_METRICS[:3]
     sums = [
-        F.sum(F.when(in_scope, _size_days(F.col(metric), window))).alias(f"{metric}{window}")
+        F.expr(f"sum(CASE WHEN in_scope THEN {_size_days(metric, window)} END) AS {metric}{window}")
         for window in windows
         for metric in base_metrics
     ]
     grouped = (
         aged.groupBy("dataset_name")
-        .agg(F.min("created").alias("created"), F.count_if(in_scope).alias("in_scope"), *sums)
+        .agg(F.min("created").alias("created"), F.count_if("in_scope").alias("in_scope"), *sums)
         .where(F.col("in_scope") > 0)
     )
-    age = F.datediff(end, F.col("created"))
     sizes = {}
     for window in windows:
         for metric in base_metrics:
-            mean = F.col(f"{metric}{window}").cast("double") / F.lit(window)
+            mean = f"CAST({metric}{window} AS double) / {window}"
             sizes[f"{metric}{window}"] = mean
-            sizes[f"old{metric[0].upper()}{metric[1:]}{window}"] = F.when(
-                age > window, mean
-            ).otherwise(F.lit(0.0))
+            sizes[f"old{metric[0].upper()}{metric[1:]}{window}"] = (
+                f"CASE WHEN age > {window} THEN {mean} ELSE 0D END"
+            )
     ids = catalog.where(F.col("d_dataset_id").isNotNull()).select(
         "d_dataset", F.col("d_dataset_id").alias("dataset_id")
     )
-    return grouped.join(ids, F.col("dataset_name") == F.col("d_dataset")).select(
+    named = grouped.withColumn("age", F.datediff(end, "created")).join(
+        ids, F.col("dataset_name") == F.col("d_dataset")
+    )
+    return named.select(
         "dataset_id",
         tier(F.col("dataset_name")).alias("tier"),
-        *[sizes[name].alias(name) for name in windowed(SIZE_METRICS, windows)],
+        *[F.expr(f"{sizes[name]} AS {name}") for name in windowed(SIZE_METRICS, windows)],
     )
 
 
-def _size_days(size: Column, window: int) -> Column:
-    """Size times the days of the window it was held; 0 outside the window or from the future."""
-    outside = (F.col("max_age") > window) | (F.col("min_age") < 0)
-    days = F.least(F.lit(window), F.col("min_age")) - F.greatest(F.lit(0), F.col("max_age"))
-    return F.when(outside, F.lit(0)).otherwise(days * size)
+def _size_days(metric: str, window: int) -> str:
+    """SQL: size times the days of the window it was held; 0 outside it or from the future."""
+    days = f"(least({window}, min_age) - greatest(0, max_age))"
+    return f"CASE WHEN max_age > {window} OR min_age < 0 THEN 0 ELSE {days} * {metric} END"

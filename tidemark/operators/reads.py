@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.days import as_date, date_literal
@@ -52,17 +52,21 @@ def read_windows(
 
     Days after ``end_date`` count in every window unless ``include_future`` is off.
     """
-    days_prior = F.datediff(date_literal(end_date), as_date(merged, "day"))
-
-    def summed(metric: str, window: int) -> Column:
-        recent = days_prior < window
-        if not include_future:
-            recent = recent & (days_prior >= 0)
-        reads = F.sum(F.when(recent, F.col(metric)).otherwise(F.lit(0.0)))
-        return reads.alias(f"{metric}{window}")
-
-    sums = merged.groupBy("d_dataset_id").agg(
-        *[summed(metric, window) for window in windows for metric in READ_METRICS]
+    prior = F.datediff(date_literal(end_date), as_date(merged, "day"))
+    since = "" if include_future else "AND days_prior >= 0"
+    sums = (
+        merged.withColumn("days_prior", prior)
+        .groupBy("d_dataset_id")
+        .agg(
+            *[
+                F.expr(
+                    f"sum(CASE WHEN days_prior < {window} {since} THEN {metric} ELSE 0 END) "
+                    f"AS {metric}{window}"
+                )
+                for window in windows
+                for metric in READ_METRICS
+            ]
+        )
     )
     return sums.select(
         "d_dataset_id",

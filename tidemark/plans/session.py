@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # spares a stack trace per column expression; wide reports build hundreds of them
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
