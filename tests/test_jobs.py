@@ -107,9 +107,10 @@ def test_every_job(spark, world):
     catalog = str(world / "datasets")
     bounds = {"start": "2020-01-01", "end": "2020-01-10"}
 
+    jobs.tally_totals(spark, str(world / "files"), catalog, stages)
     for source in jobs.SOURCES:
         path = jobs.tally_access(
-            spark, source, str(world / source), "2020/01/*", str(world / "files"), catalog, stages
+            spark, source, str(world / source), "2020/01/*", str(world / "files"), stages
         )
         assert path == stages.path(source, "2020/01")
     tally = read_parquet(spark, stages.path("cmssw", "2020/01"))
@@ -183,15 +184,11 @@ def test_every_job(spark, world):
 
 
 def test_unknown_source(spark, world):
-    with pytest.raises((ValueError, KeyError)):
+    stages = Stages(f"{world}/none")
+    jobs.tally_totals(spark, str(world / "files"), str(world / "datasets"), stages)
+    with pytest.raises(ValueError, match="other"):
         jobs.tally_access(
-            spark,
-            "other",
-            str(world / "cmssw"),
-            "2020/01/*",
-            str(world / "files"),
-            str(world / "datasets"),
-            Stages(f"{world}/none"),
+            spark, "other", str(world / "cmssw"), "2020/01/*", str(world / "files"), stages
         )
 
 

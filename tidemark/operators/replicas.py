@@ -16,7 +16,7 @@ def replica_spans(snapshots: DataFrame) -> DataFrame:
     """First and last snapshot day and mean size of every block replica, summed per dataset.
 
     Days on which a replica was missing between its first and last snapshot are ignored. Snapshots
-    collapse per block on the map side before anything is shuffled.
+    collapse per block, on the map side as far as a task reads several days.
     """
     blocks = snapshots.groupBy(
         "block_id",

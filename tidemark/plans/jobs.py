@@ -80,29 +80,35 @@ def load_catalog(spark: SparkSession, path: str, header: bool = False) -> DataFr
     return catalog.withColumn("input_campaign", input_campaign(catalog["d_dataset"]))
 
 
+def tally_totals(spark: SparkSession, files_path: str, catalog_path: str, stages: Stages) -> None:
+    """Dataset totals, once for all sources and months: they need the whole file catalogue."""
+    totals = dataset_totals(
+        read_csv(spark, files_path, "files"), load_catalog(spark, catalog_path)
+    )
+    write_parquet(totals, stages.path("dataset_totals"))
+
+
 def tally_access(
     spark: SparkSession,
     source: str,
     log_root: str,
     dates: str,
     files_path: str,
-    catalog_path: str,
     stages: Stages,
     log_glob: str = "*.json.gz",
 ) -> str:
     """Daily access of one source for the log directories ``log_root/dates``."""
+    if source not in SOURCES:
+        raise ValueError(f"unknown access source {source!r}, not one of {SOURCES}")
+    totals = read_parquet(spark, stages.path("dataset_totals"))
     files = read_csv(spark, files_path, "files")
-    catalog = load_catalog(spark, catalog_path)
-    totals = dataset_totals(files, catalog)
     log = read_log(spark, source, f"{log_root}/{dates}/{log_glob}")
     if source == "cmssw":
         tally = file_read_tally(log, files, totals)
     elif source == "xrootd":
         tally = transfer_tally(log, files, totals)
-    elif source == "classads":
-        tally = job_tally(log, totals)
     else:
-        raise ValueError(f"unknown access source {source!r}, not one of {SOURCES}")
+        tally = job_tally(log, totals)
     path = stages.path(source, stage_label(dates))
     write_parquet(tally, path)
     return path
