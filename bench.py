@@ -27,7 +27,6 @@ HEADLINE = (
     "daily_access_events",
     "replica_spans",
     "replica_windows",
-    "daily_size_sweep",
     "daily_size",
     "tape_usage",
     "catalog_replicas_daily",

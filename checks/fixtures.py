@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.popularity import apply_overrides, popularity, resolve_overrides
+from tidemark.functions.metrics import SIZE_METRICS, windowed
 from tidemark.operators.occupancy import daily_size, replica_window_sizes
+from tidemark.operators.popularity import apply_overrides, popularity, resolve_overrides
 from tidemark.operators.reads import merge_reads, read_windows
 from tidemark.operators.replicas import disk_replicas
-from tidemark.functions.metrics import SIZE_METRICS, windowed
 
 MONEY = "decimal(18,2)"
 PRECISE = "decimal(28,6)"
@@ -40,7 +40,8 @@ class Fixtures:
 
     def catalog(self) -> DataFrame:
         campaign = F.expr(
-            """CASE p_size % 4 WHEN 0 THEN 'Run2018A-12Nov2019' WHEN 1 THEN 'RunIIAutumn18-102X_v15_ext1'
+            """CASE p_size % 4 WHEN 0 THEN 'Run2018A-12Nov2019'
+                               WHEN 1 THEN 'RunIIAutumn18-102X_v15_ext1'
                                WHEN 2 THEN 'RunIISummer16-94X_v3' ELSE 'CMSSW_10-102X' END"""
         )
         tier = F.expr(
@@ -145,8 +146,8 @@ class Fixtures:
 
     def replicas(self) -> DataFrame:
         node = F.expr(
-            """CASE l_suppkey % 8 WHEN 0 THEN 'T3_US_A' WHEN 1 THEN 'X_TEST' WHEN 2 THEN 'T1_DE_B_Buffer'
-                                  WHEN 3 THEN 'T1_US_C_MSS' WHEN 4 THEN 'T0_CH_D_Export'
+            """CASE l_suppkey % 8 WHEN 0 THEN 'T3_US_A' WHEN 1 THEN 'X_TEST'
+                                  WHEN 2 THEN 'T1_DE_B_Buffer' WHEN 3 THEN 'T1_US_C_MSS' WHEN 4 THEN 'T0_CH_D_Export'
                                   ELSE 'T2_CH_' || l_suppkey END"""
         )
         group = F.expr("element_at(array(42, 18, 19, 7), l_linenumber % 4 + 1)")
@@ -187,13 +188,14 @@ class Fixtures:
 
     def catalog_replicas(self) -> DataFrame:
         day = F.col("l_shipdate").cast("date").cast("string")
+        path = F.concat(F.lit("hdfs://store/rucio/"), day, F.lit("/replicas/part-0.avro"))
         return self.table("lineitem").select(
             _site().alias("RSE_ID"),
             F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("BYTES"),
             _logged_name().alias("NAME"),
             F.col("l_linestatus").alias("SCOPE"),
             ((_ship_day() - 5) * 86_400_000 + 1234).alias("CREATED_AT"),
-            F.concat(F.lit("hdfs://store/rucio/"), day, F.lit("/replicas/part-0.avro")).alias("filename"),
+            path.alias("filename"),
         )
 
     def daily(self, method: str = "sweep") -> DataFrame:
@@ -240,7 +242,8 @@ def _file_name(prefix: Column | None = None) -> Column:
 
 def _logged_name() -> Column:
     """File name as logged; some reads are of files outside the store."""
-    return _file_name(F.when(F.col("l_discount") == 0.1, F.lit("/user/")).otherwise(F.lit("/store/")))
+    outside = F.col("l_discount") == 0.1
+    return _file_name(F.when(outside, F.lit("/user/")).otherwise(F.lit("/store/")))
 
 
 def _ship_day() -> Column:

@@ -89,12 +89,14 @@ def dataset_totals(fx: Fixtures) -> DataFrame:
 
 @query
 def daily_access(fx: Fixtures) -> DataFrame:
-    return _file_tally(access.file_read_tally(fx.file_read_log(), fx.files(), _totals(fx)), "site_name")
+    tally = access.file_read_tally(fx.file_read_log(), fx.files(), _totals(fx))
+    return _file_tally(tally, "site_name")
 
 
 @query
 def daily_access_domains(fx: Fixtures) -> DataFrame:
-    return _file_tally(access.transfer_tally(fx.transfer_log(), fx.files(), _totals(fx)), "client_domain")
+    tally = access.transfer_tally(fx.transfer_log(), fx.files(), _totals(fx))
+    return _file_tally(tally, "client_domain")
 
 
 @query
@@ -177,7 +179,8 @@ def replica_spans_from_csv(fx: Fixtures) -> DataFrame:
     ]
     day = epoch_day(F.col("now_sec")).alias("time")
     snapshots.select(*fields, day).write.partitionBy("time").csv(root, nullValue="null")
-    return _spans(replicas.replica_spans(read_snapshots(fx.spark, root, "2024-01-01", "2024-12-31")))
+    stored = read_snapshots(fx.spark, root, "2024-01-01", "2024-12-31")
+    return _spans(replicas.replica_spans(stored))
 
 
 @query
@@ -199,12 +202,17 @@ def _daily(df: DataFrame) -> DataFrame:
 
 
 @query
-def daily_size_sweep(fx: Fixtures) -> DataFrame:
+def daily_size(fx: Fixtures) -> DataFrame:
     return _daily(fx.daily())
 
 
 @query
-def daily_size(fx: Fixtures) -> DataFrame:
+def daily_size_sweep(fx: Fixtures) -> DataFrame:
+    return _daily(fx.daily("sweep"))
+
+
+@query
+def daily_size_explode(fx: Fixtures) -> DataFrame:
     return _daily(fx.daily("explode"))
 
 
@@ -238,7 +246,8 @@ def replica_windows_young(fx: Fixtures) -> DataFrame:
 
 @query
 def tape_usage(fx: Fixtures) -> DataFrame:
-    return typed(replicas.tape_usage(fx.replicas()), tier="string", input_campaign="string", size="double")
+    usage = replicas.tape_usage(fx.replicas())
+    return typed(usage, tier="string", input_campaign="string", size="double")
 
 
 @query
@@ -360,7 +369,9 @@ def override_daily_csv(fx: Fixtures) -> DataFrame:
 
 
 def _unused(df: DataFrame) -> DataFrame:
-    return typed(df, d_dataset="string", allSize90="double", allSize180="double", allSize365="double")
+    return typed(
+        df, d_dataset="string", allSize90="double", allSize180="double", allSize365="double"
+    )
 
 
 @query

@@ -42,7 +42,10 @@ def popularity_histogram(pop: DataFrame, windows: Sequence[int] = WINDOWS) -> Da
         for read in READ_METRICS
     )
     classes = (
-        pop.select(*[test.alias(name) for name, test in member.items()], F.expr(f"inline(array({pairs}))"))
+        pop.select(
+            *[test.alias(name) for name, test in member.items()],
+            F.expr(f"inline(array({pairs}))"),
+        )
         .where(F.col("bin").isin(*range(READ_BINS)))
         .groupBy("window", "read", "bin", *member)
         .agg(*[F.sum(size).alias(size) for size in SIZE_METRICS])

@@ -33,7 +33,10 @@ def rolling_popularity(
     """
     first, last = date_literal(start), date_literal(end)
     on_disk = daily.where(F.col("date").between(first, last)).select(
-        "dataset_id", "date", F.col("allOpsSize").alias("bytes"), F.lit(None).cast("date").alias("read_day")
+        "dataset_id",
+        "date",
+        F.col("allOpsSize").alias("bytes"),
+        F.lit(None).cast("date").alias("read_day"),
     )
     read_days = (
         reads.select(F.col("d_dataset_id").alias("dataset_id"), as_date(reads, "day").alias("date"))

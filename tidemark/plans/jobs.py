@@ -153,7 +153,9 @@ def tally_occupancy(
     )
 
 
-def report_tape(spark: SparkSession, stages: Stages, active_since: str | date | None = None) -> None:
+def report_tape(
+    spark: SparkSession, stages: Stages, active_since: str | date | None = None
+) -> None:
     spans = read_parquet(spark, stages.path("replica_spans"))
     write_csv(tape_usage(spans, active_since), stages.path("tape_usage"))
 

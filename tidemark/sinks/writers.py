@@ -1,4 +1,4 @@
-"""Writers. Every writer replaces what was at its path; ``write_by_month`` only the months it writes."""
+"""Writers. Each replaces what was at its path; ``write_by_month`` only the months it writes."""
 
 from __future__ import annotations
 

@@ -41,7 +41,9 @@ def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
-def read_json(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+def read_json(
+    spark: SparkSession, path: str, schema: str | T.StructType | None = None
+) -> DataFrame:
     """JSON lines; the schema is inferred unless given."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.json(path)

@@ -15,10 +15,9 @@ SPINE_END = "2021-01-01"
 
 
 def days_between(first: Column, last: Column) -> Column:
-    """Array of the days ``first..last``, both included; no day where ``last`` is before ``first``."""
-    return F.when(
-        first <= last, F.sequence(first, last, F.expr("interval 1 day"))
-    ).otherwise(F.array().cast("array<date>"))
+    """Array of the days ``first..last``, both included; empty where ``last`` is before ``first``."""
+    days = F.sequence(first, last, F.expr("interval 1 day"))
+    return F.when(first <= last, days).otherwise(F.array().cast("array<date>"))
 
 
 def date_spine(
