@@ -1,8 +1,12 @@
-from conftest import as_set
+from datetime import date
+
 import pytest
+from conftest import as_set
 
 from tidemark.functions.metrics import READ_METRICS, SIZE_METRICS, windowed
 from tidemark.operators import popularity as module
+from tidemark.operators.histogram import popularity_histogram
+from tidemark.operators.occupancy import daily_size, replica_window_sizes
 from tidemark.operators.popularity import (
     apply_overrides,
     override_daily,
@@ -11,6 +15,7 @@ from tidemark.operators.popularity import (
     top_unused,
     unused_by_campaign,
 )
+from tidemark.operators.reads import read_windows
 
 SIZES = "dataset_id int, tier string, " + ", ".join(f"{n} double" for n in windowed(SIZE_METRICS))
 BINS = "d_dataset_id int, " + ", ".join(f"{n} bigint" for n in windowed(READ_METRICS))
@@ -94,3 +99,38 @@ def test_unused_by_campaign(rows):
         ("/D/other/AOD", 5e11),
     )
     assert as_set(unused_by_campaign(unused)) == [("camp", 3.0), ("other", 0.5)]
+
+
+def test_other_windows_run_through_every_step(rows):
+    windows = (30, 60)
+    replicas = rows(
+        "dataset_name string, replica_time_create string, min_time string, max_time string, "
+        "rep_size double, br_user_group_id int",
+        ("/A/a-v1/AOD", "20190101", "20201101", "20201201", 6.0, 42),
+        ("/B/b-v1/RAW", "20190101", "20201002", "20201201", 3.0, 7),
+    )
+    catalog = rows(CATALOG, (1, "/A/a-v1/AOD"), (2, "/B/b-v1/RAW"))
+    merged = rows(
+        "d_dataset_id int, day string, fract_read double, cmssw_read double, xroot_read double, "
+        "classad_read double",
+        (1, "20201015", 2.0, 2.0, None, None),
+    )
+    pop = popularity(
+        replica_window_sizes(replicas, catalog, "2020-12-01", windows),
+        read_windows(merged, "2020-12-01", windows),
+        windows,
+    )
+    pop = apply_overrides(pop, rows("d_dataset_id int, value int"), windows)
+    assert as_set(
+        pop.select("dataset_id", "allSize30", "allSize60", "anaOpsSize60", "fract_read30", "fract_read60")
+    ) == [(1, 6.0, 3.0, 3.0, 0, 2), (2, 3.0, 3.0, 0.0, 0, 0)]
+    unused = top_unused(pop, catalog, window=60, windows=windows)
+    assert as_set(unused) == [("/B/b-v1/RAW", 3.0, 3.0)]
+    assert as_set(unused_by_campaign(unused, "allSize60")) == [("b", 3e-12)]
+    cells = {r[0]: r[1:] for r in as_set(popularity_histogram(pop, windows))}
+    assert len(cells) == 240
+    assert cells["sums_allSize_cmssw_read_AODs_60"][2] == 3.0
+    assert as_set(daily_size(replicas, catalog, "2020-12-01", "2020-12-31")) == [
+        (date(2020, 12, 1), 1, 6.0),
+        (date(2020, 12, 1), 2, 0.0),
+    ]
