@@ -207,3 +207,9 @@ def test_shares_stay_within_the_window(rows, ids):
         for w in WINDOWS:
             assert 0 <= row[f"anaOpsSize{w}"] <= row[f"allOpsSize{w}"] <= row[f"allSize{w}"]
             assert row[f"allSize{w}"] <= counts[row["dataset_id"]]
+
+
+def test_window_sizes_of_huge_whole_bytes(rows):
+    df = rows(REPLICAS.format(size="bigint"), *[replica("a", 10**17, day(0), END)] * 4)
+    row = replica_window_sizes(df, rows(CATALOG, (1, "a")), "2020-03-31").first()
+    assert (row["allSize90"], row["allOpsSize180"]) == (4e17, 2e17)

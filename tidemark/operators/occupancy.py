@@ -137,6 +137,8 @@ def replica_window_sizes(
     """
     end = date_literal(end_date)
     size, group = F.col("rep_size"), F.col("br_user_group_id")
+    if isinstance(replicas.schema["rep_size"].dataType, T.IntegralType):
+        size = size.cast("decimal(20,0)")  # bytes times days outgrow a long
     aged = replicas.select(
         "dataset_name",
         as_date(replicas, "replica_time_create").alias("created"),
