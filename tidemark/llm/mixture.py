@@ -13,7 +13,7 @@ from tidemark.llm.shared import staged, word_count
 WEIGHTS = (5, 2, 1)
 CEILING = 3
 #: Documents in one key range of the range sort, on average.
-RANGE_ROWS = 8192
+RANGE_ROWS = 2048
 
 
 def _ranked(groups: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import blocks, mixture
+from tidemark.llm import blocks, languages, mixture, packing, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,11 +19,29 @@ def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture_digest(_documents(spark, sf_dir))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(_documents(spark, sf_dir), str(path))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.exact_copies(_documents(spark, sf_dir))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.languages(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixture": op1_mixture,
+    "op3_packing": op3_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_quality": op9_quality,
+    "op10_language": op10_language,
 }
