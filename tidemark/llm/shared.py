@@ -88,3 +88,43 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word: the sum of a random number for each byte at each place."""
+    words = words.cast(pa.large_binary())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    starts = ends[:-1] - ends[0]
+    out = np.zeros(len(words), np.uint64)
+    if len(data):
+        place = np.arange(len(data)) - np.repeat(starts, np.diff(ends))
+        values = mixed((place.astype(np.uint64) << np.uint64(8)) + data + np.uint64(1))
+        full = np.diff(ends) > 0
+        out[full] = np.add.reduceat(values, starts[full])
+    return mixed(out)
+
+
+def window_hashes(
+    starts: np.ndarray, words: np.ndarray, size: int, short: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of ``size`` words inside one document, and each window's document.
+
+    ``words`` are the hashes of all documents' words. With ``short``, a document of fewer words than
+    that, but one at least, counts as one window.
+    """
+    lengths = np.diff(starts)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    ahead = np.arange(len(words)) - np.repeat(starts[:-1], lengths)
+    left = np.repeat(lengths, lengths) - ahead
+    wanted = left >= size
+    if short:
+        wanted |= (ahead == 0) & (left < size)
+    total = np.zeros(len(words), np.uint64)
+    for k in range(size):
+        total *= np.uint64(0x9E3779B97F4A7C15)
+        there = words[k:] if k else words
+        if short:
+            there = np.where(left[: len(there)] > k, there, np.uint64(0))
+        total[: len(there)] += there
+    return mixed(total[wanted]), doc[wanted]
