@@ -49,7 +49,31 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM n WINDOW same AS (PARTITION BY text)
 """
 
+REPEATS = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, list_aggregate(w[i : i + 12], 'string_agg', ' ') AS win
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words)
+), firsts AS (
+    SELECT win, min(doc_id) AS first_id FROM windows GROUP BY win HAVING min(doc_id) < max(doc_id)
+), gone AS (
+    SELECT doc_id, list(DISTINCT k) AS ks
+    FROM (SELECT doc_id, unnest(range(i, i + 13)) AS k
+          FROM windows JOIN firsts USING (win) WHERE doc_id > first_id)
+    GROUP BY doc_id
+), kept AS (
+    SELECT d.doc_id, d.w, coalesce(len(ks), 0) AS n_removed,
+           list_filter(d.w, lambda x, k: ks IS NULL OR NOT list_contains(ks, k)) AS kept
+    FROM words d LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+       sha256(coalesce(list_aggregate(kept, 'string_agg', ' '), '')) AS kept_sha256
+FROM kept
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_mixture": MIXTURE,
     "op7_exact_dedup": EXACT_DEDUP,
+    "op8_repeats": REPEATS,
 }

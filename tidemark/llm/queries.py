@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import blocks, languages, mixture, near, packing, rules
+from tidemark.llm import blocks, languages, mixture, near, packing, repeats, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.exact_copies(_documents(spark, sf_dir))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats_digest(_documents(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_repeats": op8_repeats,
     "op9_quality": op9_quality,
     "op10_language": op10_language,
 }
