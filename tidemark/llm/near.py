@@ -13,9 +13,17 @@ from pyspark.sql.window import Window
 from tidemark.llm.shared import coded_words, mixed, slices, staged, window_hashes, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: A pair at the threshold shares none of the bands with probability (1 - 0.8 ** 5) ** 32 = 3e-6.
-BANDS, BAND_ROWS = 32, 5
+#: A pair at the threshold shares none of the bands with probability (1 - 0.8 ** 8) ** 64 = 8e-6.
+BANDS, BAND_ROWS = 64, 8
+#: Times as many documents as before lead in a bucket in each turn.
+LEADERS_GROW = 64
+#: Agreement of two signatures, of 512 places, below which a pair is not compared word by word: five
+#: standard deviations under the threshold, so a link is missed with probability 3e-7.
+LEAST_AGREEMENT = 0.71
+#: Members of a bucket that one task compares with its leaders.
+CHUNK = 1000
 _LOW48 = np.uint64((1 << 48) - 1)
+_STEP = 0x9E3779B97F4A7C15
 
 
 def weighted_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +74,7 @@ def signatures(
         end, time, turn = until[of], np.zeros(len(live)), 0
         while len(key):
             turn += 1
-            drawn = mixed(key + np.uint64(turn) * np.uint64(0x9E3779B97F4A7C15))
+            drawn = mixed(key + np.uint64(turn * _STEP % 2**64))
             time = time - np.log(((drawn >> np.uint64(32)) + 0.5) / 2.0**32) * step
             on = time <= end
             key, of, step, share, end, time = (a[on] for a in (key, of, step, share, end, time))
@@ -81,7 +89,7 @@ def signatures(
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text_key, n (shingles), key (of the multiset) and bands of every document."""
+    """doc_id, text_key, n (shingles), key and key2 (of the multiset), bands and sketch of each document."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -99,21 +107,29 @@ def _signed(docs: DataFrame) -> DataFrame:
             found = found.reshape(len(some), BANDS, BAND_ROWS)
             band = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(some), BANDS))
             for k in range(BAND_ROWS):
-                band = mixed(band * np.uint64(0x9E3779B97F4A7C15) + found[:, :, k])
+                band = mixed(band * np.uint64(_STEP) + found[:, :, k])
             sizes = np.zeros(n, np.int64)
             sizes[some] = BANDS
             bands = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
                 pa.array(band.reshape(-1).view(np.int64)),
             )
+            width = BANDS * BAND_ROWS
+            sketch = np.zeros((n, width), np.uint8)
+            sketch[some] = (mixed(found) & np.uint64(255)).astype(np.uint8).reshape(-1, width)
+            sketches = pa.FixedSizeBinaryArray.from_buffers(
+                pa.binary(width), n, [None, pa.py_buffer(sketch)]
+            ).cast(pa.binary())
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(total), *map(pa.array, keys), bands],
-                names=["doc_id", "text_key", "n", "key", "key2", "bands"],
+                [batch.column(0), batch.column(1), pa.array(total), *map(pa.array, keys), bands, sketches],
+                names=["doc_id", "text_key", "n", "key", "key2", "bands", "sketch"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", _text_key(), "text").mapInArrow(
-        sign, f"doc_id {kind}, text_key bigint, n bigint, key bigint, key2 bigint, bands array<bigint>"
+        sign,
+        f"doc_id {kind}, text_key bigint, n bigint, key bigint, key2 bigint, bands array<bigint>, "
+        "sketch binary",
     )
 
 
@@ -122,7 +138,7 @@ def _text_key():
 
 
 def _overlap(pairs: DataFrame) -> DataFrame:
-    """(a, b) of the pairs of texts whose weighted Jaccard reaches the threshold."""
+    """(label_a, label_b) of the pairs of texts whose weighted Jaccard reaches the threshold."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -139,7 +155,46 @@ def _overlap(pairs: DataFrame) -> DataFrame:
             linked = least >= SIMILARITY * (both - least) - 1e-9
             yield batch.select([0, 1]).filter(pa.array(linked & (least > 0)))
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a bigint, b bigint")
+    return pairs.select("label_a", "label_b", "text_a", "text_b").mapInArrow(
+        verify, "label_a bigint, label_b bigint"
+    )
+
+
+def _agreeing(members: DataFrame, leaders: DataFrame) -> DataFrame:
+    """(a, b, label_a, label_b) of members and leaders of a bucket whose signatures agree well enough.
+
+    Both have bucket, row, n, label, size and sketch. A bucket's members are compared in chunks.
+    """
+    chunks = F.ceil(F.col("size") / CHUNK)
+    width = BANDS * BAND_ROWS
+
+    def compare(members: pa.Table, leaders: pa.Table) -> pa.Table:
+        def columns(table: pa.Table) -> list[np.ndarray]:
+            sketches = b"".join(table["sketch"].to_pylist())
+            return [*(table[c].to_numpy() for c in ("row", "n", "label")), np.frombuffer(sketches, np.uint8).reshape(-1, width)]
+
+        row, n, label, sketch = columns(members)
+        found = [np.empty((0, 4), np.int64)]
+        for one, size, name, own in zip(*columns(leaders), strict=True):
+            near = (label != name) & (np.minimum(n, size) >= SIMILARITY * np.maximum(n, size))
+            rows = np.flatnonzero(near)
+            rows = rows[(sketch[rows] == own).sum(axis=1) >= LEAST_AGREEMENT * width]
+            less = row[rows] < one
+            columns_ = [
+                np.where(less, row[rows], one), np.where(less, one, row[rows]),
+                np.where(less, label[rows], name), np.where(less, name, label[rows]),
+            ]
+            found.append(np.stack(columns_, axis=1))
+        return pa.table(list(np.concatenate(found).T), names=["a", "b", "label_a", "label_b"])
+
+    dealt = members.withColumn("chunk", F.pmod(F.xxhash64("row"), chunks))
+    copied = leaders.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
+    columns = ["bucket", "chunk", "row", "n", "label", "sketch"]
+    return (
+        dealt.select(columns).toDF(*columns).groupBy("bucket", "chunk")
+        .cogroup(copied.select(columns).toDF(*columns).groupBy("bucket", "chunk"))
+        .applyInArrow(compare, "a bigint, b bigint, label_a bigint, label_b bigint")
+    )
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -173,10 +228,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
     Two documents are linked if the multisets of their shingles, runs of five words, have a weighted
     Jaccard similarity of 0.8 or more. Documents with equal multisets are one class from the start
     and go on as one. In a band, documents with equal signature rows form a bucket. A bucket compares
-    its best connected document with all others; then, as long as its documents are not all
-    connected, one after another of those that are outside its largest class with all that are not in
-    their own. So no two documents of a bucket stay apart that were not compared or connected, and none
-    makes all pairs.
+    its best connected document with all others. As long as its documents are not all connected, some
+    of those outside its largest class then lead in turn, each compared with all that are not in its
+    own class; eight times as many in each turn. So no two documents of a bucket stay apart that were
+    neither compared nor connected, and a large group of copies is done after its first turn.
 
     Documents without words are one class; a null doc_id counts as less than any other; repeated rows
     are copies of each other; an empty table gives an empty one.
@@ -195,7 +250,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     members = staged(banded.join(sizes, "bucket"), "buckets")
     degree = members.groupBy("row").agg(F.sum("size").alias("degree"))
     members = staged(
-        members.join(degree, "row").select("bucket", "row", "n", "degree", F.col("row").alias("label")),
+        members.join(degree, "row").select("bucket", "row", "n", "size", "degree", F.col("row").alias("label")),
         "members",
     )
     texts = docs.select(F.col("doc_id"), _text_key(), "text")
@@ -203,10 +258,12 @@ def near_classes(docs: DataFrame) -> DataFrame:
     same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.text_key") == F.col("w.text_key"))
     texts = texts.alias("t").join(wanted.alias("w"), same).select("w.row", "t.text")
 
-    led = members.sparkSession.createDataFrame([], "bucket bigint, leader bigint")
-    links = members.sparkSession.createDataFrame([], "a bigint, b bigint")
+    sketches = signed.join(members.select("row").distinct(), "row", "left_semi").select("row", "sketch")
+    tested = members.sparkSession.createDataFrame([], "a bigint, b bigint")
+    led = members.sparkSession.createDataFrame([], "bucket bigint, row bigint")
+    at_once = 1
     while True:
-        # documents still to lead in a bucket: those outside its largest class, at first all
+        # documents still to lead in a bucket: those outside its largest class, at first any
         shares = members.groupBy("bucket", "label").agg(F.count("*").alias("rows"))
         largest = (
             shares.groupBy("bucket")
@@ -214,41 +271,46 @@ def near_classes(docs: DataFrame) -> DataFrame:
             .filter("labels > 1")
             .select("bucket", F.col("most.rows").alias("rows"), F.col("most.label").alias("main"))
         )
-        open_ = members.join(largest, "bucket")
-        free = open_.filter((F.col("label") != F.col("main")) | (F.col("rows") == 1))
-        free = free.join(led.withColumnRenamed("leader", "row"), ["bucket", "row"], "left_anti")
-        leaders = free.groupBy("bucket").agg(
-            F.max(F.struct("degree", -F.col("row"), "n", "label")).alias("l")
-        )
-        leaders = staged(
-            leaders.select(
-                "bucket", (-F.col("l.col2")).alias("leader"), F.col("l.n").alias("leader_n"),
-                F.col("l.label").alias("leader_label"),
-            ),
-            "leaders",
-        )
+        free = members.join(largest, "bucket").filter("label != main OR rows = 1")
+        free = free.join(led, ["bucket", "row"], "left_anti")
+        best = Window.partitionBy("bucket").orderBy(F.desc("degree"), "row")
+        leaders = free.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= at_once)
+        leaders = staged(leaders.select("bucket", "row", "n", "label", "size"), "leaders")
         if leaders.isEmpty():
             break
-        near = F.least("n", "leader_n") >= SIMILARITY * F.greatest("n", "leader_n")
-        pairs = (
-            members.join(leaders, "bucket")
-            .filter((F.col("label") != F.col("leader_label")) & near)
-            .select(F.least("row", "leader").alias("a"), F.greatest("row", "leader").alias("b"))
-            .distinct()
-        )
+        if at_once == 1:
+            one, two = (F.struct(f"{x}.row", f"{x}.label") for x in "ml")
+            near = F.least("m.n", "l.n") >= SIMILARITY * F.greatest("m.n", "l.n")
+            pairs = (
+                members.alias("m")
+                .join(leaders.alias("l"), F.col("m.bucket") == F.col("l.bucket"))
+                .filter(near & (F.col("m.label") != F.col("l.label")))
+                .select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
+                .select("a.row", "b.row", "a.label", "b.label")
+                .toDF("a", "b", "label_a", "label_b")
+            )
+        else:
+            led_buckets = leaders.select("bucket").distinct()
+            pairs = _agreeing(
+                members.join(led_buckets, "bucket", "left_semi").join(sketches, "row"),
+                leaders.join(sketches.toDF("row", "sketch"), "row"),
+            )
+        pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = staged(pairs, "pairs")
         first, second = (texts.select(F.col("row").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
         found = staged(_overlap(pairs.join(second, "b").join(first, "a")), "verified")
-        led = staged(led.unionByName(leaders.select("bucket", "leader")), "led")
+        tested = tested.unionByName(pairs.select("a", "b"))
+        led = led.unionByName(leaders.select("bucket", "row"))
+        at_once *= LEADERS_GROW
         if found.isEmpty():
             continue
-        links = links.unionByName(found)
-        labels = staged(components(links), "labels")
-        links = labels.select(F.col("row").alias("a"), F.col("label").alias("b"))
-        members = members.drop("label").join(labels, "row", "left").withColumn(
-            "label", F.coalesce("label", "row")
+        renamed = components(found.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+        renamed = renamed.select(F.col("row").alias("label"), F.col("label").alias("renamed"))
+        members = members.join(renamed, "label", "left").withColumn(
+            "label", F.coalesce("renamed", "label")
         )
-        members = staged(members.select("bucket", "row", "n", "degree", "label"), "members")
-    labels = links.select(F.col("a").alias("rep"), F.col("b").alias("label"))
+        members = staged(members.select("bucket", "row", "n", "size", "degree", "label"), "members")
+    labels = members.select(F.col("row").alias("rep"), "label").distinct()
     classed = staged(
         member.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "classes"
     )
