@@ -1,27 +1,56 @@
-"""A training corpus from raw documents: filtered, deduplicated, mixed and packed."""
+"""A training corpus from raw documents: filtered, deduplicated, mixed and packed.
+
+``run`` applies ``STAGES`` in turn to the documents of a table directory. All stages but the last return
+the columns of documents; the last returns pieces of documents with their places in sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.blocks import without_copies
 from tidemark.llm.mixture import mixed_documents
+from tidemark.llm.near import without_near_copies
+from tidemark.llm.packing import pack
+from tidemark.llm.rules import good_documents
 from tidemark.llm.shared import staged
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble does not reject go on."""
+    return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts, but for the case of A-Z, the one with the largest doc_id stays."""
     return without_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the least doc_id stays."""
+    return without_near_copies(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents appear as often as the mixture takes them."""
     return mixed_documents(docs)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens; one that appears n times is packed n times."""
+    return pack(docs, str(public_tokenizers.path("word_bpe_49k.json")))
+
+
 STAGES = [
+    ("quality", quality),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
     ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
 ]
 
+#: SQL expresses neither the classifier nor the signatures; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

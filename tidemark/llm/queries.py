@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import blocks, languages, mixture, near, packing, repeats, rules
+from tidemark.llm import blocks, languages, mixture, near, packing, private, repeats, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), str(path))
 
 
+def op4_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.private_digest(_documents(spark, sf_dir))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(_documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_mixture": op1_mixture,
     "op3_packing": op3_packing,
+    "op4_private": op4_private,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_repeats": op8_repeats,

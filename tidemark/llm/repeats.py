@@ -14,6 +14,8 @@ from tidemark.llm.shared import coded_words, slices, split_words, staged, window
 WINDOW = 13
 #: Suffixes that one group should hold, about; a task sorts a group in memory.
 GROUP_SUFFIXES = 3_000_000
+#: Documents of one bucket, about; a task holds the texts of a bucket.
+BUCKET_DOCS = 4096
 #: Lengths of a prefix, in words, before it is the whole window.
 PREFIXES = (1, 2, 3)
 _LAST = np.int64(2**63 - 1)
@@ -91,20 +93,26 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return np.concatenate([first, first + np.cumsum(steps.astype(np.int64))])
 
 
-def _blobs(doc: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Different documents, in order, and the codes of each."""
-    order = np.argsort(doc, kind="stable")
-    doc, code = doc[order], code[order]
-    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])[: len(doc)])
-    ends = np.append(first[1:], len(doc)) if len(doc) else first
-    return doc[first], [code[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
+def _cells(doc: np.ndarray, code: np.ndarray, buckets: int) -> list[tuple[int, bytes, bytes]]:
+    """Bucket of documents, its documents in ascending order, packed, and the code that goes with each."""
+    bucket = doc % buckets
+    order = np.lexsort((doc, bucket))
+    doc, code, bucket = doc[order], code[order], bucket[order]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+    ends = [*first[1:], len(doc)]
+    return [
+        (int(bucket[a]), _packed(doc[a:b]), code[a:b].tobytes())
+        for a, b in zip(first, ends if len(first) else [], strict=True)
+    ]
 
 
-def _suffixes(docs: DataFrame, groups: int, frequent: list[np.ndarray]) -> DataFrame:
+def _suffixes(
+    docs: DataFrame, groups: int, buckets: int, frequent: list[np.ndarray]
+) -> DataFrame:
     """Rows for the groups: the suffixes' codes, and their documents in ascending order, packed.
 
     Of equal windows in a batch only the one of the least doc_id goes to its group. The others repeat it
-    already: rows with a doc_id carry the codes of those.
+    already: rows with a bucket of documents carry the codes of those.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,94 +128,100 @@ def _suffixes(docs: DataFrame, groups: int, frequent: list[np.ndarray]) -> DataF
             code, doc, prefix = code[order], doc[order], prefix[order]
             first = np.append(True, code[1:] != code[:-1])[: len(code)]
             later = doc > doc[np.maximum.accumulate(np.where(first, np.arange(len(code)), 0))]
-            out = []
-            for d, c in zip(*_blobs(doc[later], code[later]), strict=True):
-                out.append((int(d) % groups, int(d), c, None, None))
+            out = [(b % groups, b, d, c) for b, d, c in _cells(doc[later], code[later], buckets)]
             code, doc, prefix = code[first], doc[first], prefix[first]
             group = (prefix % np.uint64(groups)).astype(np.int64)
             order = np.lexsort((doc, group))
             code, doc, group = code[order], doc[order], group[order]
             at = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else []
             for a, b in zip(at, [*at[1:], len(group)], strict=True):
-                out.append((int(group[a]), None, None, _packed(doc[a:b]), code[a:b].tobytes()))
+                out.append((int(group[a]), None, _packed(doc[a:b]), code[a:b].tobytes()))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.record_batch(
                     [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
-                    names=["part", "doc", "repeated", "docs", "codes"],
+                    names=["part", "bucket", "docs", "codes"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(
-        cut, "part bigint, doc bigint, repeated binary, docs binary, codes binary"
+        cut, "part bigint, bucket bigint, docs binary, codes binary"
+    )
+
+
+def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    docs = [_unpacked(d.as_py()) for d in table["docs"]]
+    codes = [np.frombuffer(c.as_py(), np.uint64) for c in table["codes"]]
+    return (
+        np.concatenate([np.empty(0, np.int64), *docs]),
+        np.concatenate([np.empty(0, np.uint64), *codes]),
     )
 
 
-def _deep_nodes(suffixes: DataFrame) -> DataFrame:
-    """(doc, repeated): codes of a document's windows that a smaller doc_id has too.
+def _deep_nodes(suffixes: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, docs, codes): documents, by buckets, and their windows that a smaller doc_id has too.
 
     A group holds all suffixes under its prefixes. Sorted, those below one node of depth 13 stand together;
     the node's least document keeps the window.
     """
 
     def grow(group: pa.Table) -> pa.Table:
-        known = group.filter(group["doc"].is_valid())
-        rest = group.filter(group["doc"].is_null())
-        code = np.concatenate(
-            [np.empty(0, np.uint64), *(np.frombuffer(c.as_py(), np.uint64) for c in rest["codes"])]
-        )
-        doc = np.concatenate([np.empty(0, np.int64), *(_unpacked(d.as_py()) for d in rest["docs"])])
+        known = group.filter(group["bucket"].is_valid()).select(["bucket", "docs", "codes"])
+        doc, code = _unpack(group.filter(group["bucket"].is_null()))
         order = np.argsort(code, kind="stable")
         code, doc = code[order], doc[order]
         first = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
         least = np.minimum.reduceat(doc, first) if len(first) else doc
         later = doc > np.repeat(least, np.diff(np.append(first, len(code))))
-        docs, blobs = _blobs(doc[later], code[later])
+        cells = _cells(doc[later], code[later], buckets)
+        found = [pa.array([c[i] for c in cells], known.schema.types[i]) for i in range(3)]
+        return pa.concat_tables([pa.table(found, names=known.column_names), known])
+
+    return suffixes.groupBy("part").applyInArrow(grow, "bucket bigint, docs binary, codes binary")
+
+
+def _kept_words(docs: DataFrame, repeated: DataFrame, buckets: int) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_text of each row of ``docs``."""
+
+    def strip(texts: pa.Table, marks: pa.Table) -> pa.Table:
+        doc, code = _unpack(marks)
+        order = np.argsort(doc, kind="stable")
+        doc, code = doc[order], code[order]
+        text, removed, sizes = [], [], []
+        for own, value in zip(_doc_ids(texts["doc_id"].combine_chunks()), texts["text"], strict=True):
+            words = value.as_py().encode().split() if value.is_valid else []
+            there = code[np.searchsorted(doc, own) : np.searchsorted(doc, own, "right")]
+            sizes.append(len(words))
+            if len(there) and words:
+                starts, flat = split_words(pa.array([value.as_py()]))
+                hit = _in(window_hashes(starts, word_hashes(flat), WINDOW)[0], np.sort(there))
+                edge = np.zeros(len(words) + 1, np.int64)
+                edge[: len(hit)] += hit
+                edge[WINDOW : WINDOW + len(hit)] -= hit
+                words = [w for w, n in zip(words, np.cumsum(edge[:-1]), strict=True) if not n]
+            removed.append(sizes[-1] - len(words))
+            text.append(b" ".join(words).decode())
         return pa.table(
             {
-                "doc": pa.concat_arrays([pa.array(docs, pa.int64()), *known["doc"].chunks]),
-                "repeated": pa.concat_arrays([pa.array(blobs, pa.binary()), *known["repeated"].chunks]),
+                "doc_id": texts["doc_id"],
+                "n_words": pa.array(sizes, pa.int64()),
+                "n_removed": pa.array(removed, pa.int64()),
+                "kept_text": pa.array(text, pa.string()),
             }
         )
 
-    return suffixes.groupBy("part").applyInArrow(grow, "doc bigint, repeated binary")
-
-
-def _kept_words(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (row, doc_id, text) with kept_text, n_words and n_removed."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(_LAST)))
+    rows = docs.select("doc_id", "text", F.pmod(doc, F.lit(buckets)).alias("bucket"))
+    return (
+        rows.groupBy("bucket").cogroup(repeated.groupBy("bucket"))
+        .applyInArrow(strip, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string")
+    )
 
-    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            text, removed, sizes = [], [], []
-            for value, blobs in zip(batch.column(1), batch.column(2), strict=True):
-                one = pa.array([value.as_py() or ""])
-                words = value.as_py().encode().split() if value.is_valid else []
-                gone = 0
-                if blobs.is_valid:
-                    starts, flat = split_words(one)
-                    code = window_hashes(starts, word_hashes(flat), WINDOW)[0]
-                    there = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in blobs.as_py()]))
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    hit = np.flatnonzero(_in(code, there))
-                    edge[hit] += 1
-                    edge[hit + WINDOW] -= 1
-                    keep = np.cumsum(edge[:-1]) == 0
-                    gone = int((~keep).sum())
-                    kept = [w for w, k in zip(words, keep, strict=True) if k]
-                else:
-                    kept = words
-                text.append(b" ".join(kept).decode())
-                removed.append(gone)
-                sizes.append(len(words))
-            yield pa.record_batch(
-                [batch.column(0), pa.array(text), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())],
-                names=["row", "kept_text", "n_words", "n_removed"],
-            )
 
-    marks = repeated.groupBy("doc").agg(F.collect_list("repeated").alias("marks"))
-    doc = F.coalesce(F.col("row.doc_id").cast("bigint"), F.lit(int(_LAST)))
-    joined = docs.join(marks, doc == F.col("doc"), "left").select("row", "text", "marks")
-    kind = docs.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(strip, f"row {kind}, kept_text string, n_words bigint, n_removed bigint")
+def _prime_from(least: int) -> int:
+    while any(least % k == 0 for k in range(2, int(least**0.5) + 1)):
+        least += 1
+    return least
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -226,13 +240,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Null and empty texts have no words; rows with the same doc_id count as one document and keep what they share;
     a null doc_id comes after all others. An empty table gives an empty one.
     """
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    groups = int(max(6, chars // (6 * GROUP_SUFFIXES)))
+    chars, count = docs.agg(F.sum(F.length("text")), F.count("*")).first()
+    groups = int(max(6, (chars or 0) // (6 * GROUP_SUFFIXES)))
+    buckets = _prime_from(max(7, count // BUCKET_DOCS))  # a prime deals out ids in steps, too
     frequent = _frequent_prefixes(docs, groups)
-    repeated = staged(_deep_nodes(_suffixes(docs, groups, frequent)), "repeated")
-    rows = docs.select(F.struct("doc_id").alias("row"), "text")
-    kept = _kept_words(rows, repeated)
-    return kept.select("row.doc_id", "n_words", "n_removed", "kept_text")
+    suffixes = _suffixes(docs, groups, buckets, frequent)
+    repeated = staged(_deep_nodes(suffixes, buckets), "repeated")
+    return _kept_words(docs.select("doc_id", "text"), repeated, buckets)
 
 
 def repeats_digest(docs: DataFrame) -> DataFrame:
