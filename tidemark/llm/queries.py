@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import blocks, languages, mixture, near, packing, private, repeats, rules
+from tidemark.llm import blocks, languages, mixture, near, neighbours, packing, private, repeats, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(_documents(spark, sf_dir))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.exact_copies(_documents(spark, sf_dir))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op4_private": op4_private,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_neighbours": op6_neighbours,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_repeats": op8_repeats,
     "op9_quality": op9_quality,
