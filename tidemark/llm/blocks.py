@@ -15,8 +15,12 @@ BLOCK = 4096
 
 
 def normalised(text: Column) -> Column:
-    """Null as empty; only A-Z in lower case."""
-    return F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase)
+    """Null as empty; only A-Z in lower case. ``lower`` does that for ASCII texts, and faster."""
+    text = F.coalesce(text, F.lit(""))
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(
+        F.translate(text, ascii_uppercase, ascii_lowercase)
+    )
 
 
 def _numbered(keys: DataFrame, order: list[str], name: Column) -> DataFrame:
@@ -55,8 +59,8 @@ def _block_names(blocks: DataFrame) -> DataFrame:
 
 def identities(
     docs: DataFrame, block: int = BLOCK, route: Callable[[Column], Column] = F.xxhash64
-) -> DataFrame:
-    """(row_id, sha, n, name) of each different pair of doc_id and normalised text.
+) -> tuple[DataFrame, DataFrame]:
+    """(row_id, sha) of every document, and (row_id, sha, n, name) of each different such pair.
 
     Texts are cut into blocks of ``block`` characters. Different blocks are sorted into integer
     names; then adjacent names pair up, different pairs are sorted into names, and so on until each
@@ -74,6 +78,7 @@ def identities(
         .withColumn("route", route(F.col("block")))
     )
     named = staged(_block_names(blocks), "level-0")
+    rows = named.filter("pos = 0").select("row_id", "sha")
     done = [named.filter("n = 1").select("row_id", "sha", "n", "name").distinct()]
     open_ = named.filter("n > 1")
     longest = named.agg(F.max("n")).first()[0] or 1
@@ -98,7 +103,7 @@ def identities(
         open_ = named.filter(F.col("n") > span)
     for more in done[1:]:
         done[0] = done[0].unionByName(more)
-    return done[0]
+    return rows, done[0]
 
 
 def exact_copies(docs: DataFrame, **options) -> DataFrame:
@@ -108,10 +113,8 @@ def exact_copies(docs: DataFrame, **options) -> DataFrame:
     texts the row with the largest doc_id stays; a null doc_id is smaller than any. Of repeated rows
     of one doc_id and text one stays. An empty table gives an empty one.
     """
-    found = identities(docs, **options).alias("i")
-    rows = docs.select(
-        F.col("doc_id").alias("row_id"), F.sha2(normalised(F.col("text")), 256).alias("sha")
-    ).alias("d")
+    rows, found = identities(docs, **options)
+    rows, found = rows.alias("d"), found.alias("i")
     same = F.col("d.row_id").eqNullSafe(F.col("i.row_id")) & (F.col("d.sha") == F.col("i.sha"))
     nth = F.row_number().over(Window.partitionBy("row_id", "sha").orderBy(F.lit(0)))
     rows = staged(

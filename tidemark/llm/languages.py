@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import coded_words, held_out, slices
+from tidemark.llm.shared import coded_words, held_out, slices, staged
 from tidemark.llm.tokens import spread
 
 #: Documents of each language to learn from, about.
@@ -196,8 +196,12 @@ def learn_languages(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> CodeModel
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").filter(~held_out(F.col("doc_id"), 5))
     sizes = known.groupBy("lang").agg(F.count("*").alias("size"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = known.join(sizes, "lang").filter(draw < F.lit(float(train_docs)) / F.col("size"))
-    rows = _slot_counts(some.select("lang", "text")).toArrow().to_pydict()
+    ids = known.select("doc_id", "lang").join(sizes, "lang")
+    ids = staged(
+        ids.filter(draw < F.lit(float(train_docs)) / F.col("size")).select("doc_id").distinct(), "drawn"
+    )
+    some = known.join(ids, "doc_id", "left_semi").select("lang", "text")
+    rows = _slot_counts(some).toArrow().to_pydict()
     order = sorted(range(len(rows["lang"])), key=lambda i: (rows["lang"][i], rows["slots"][i], rows["counts"][i]))
     order = [i for i in order if rows["slots"][i]]
     if not order:

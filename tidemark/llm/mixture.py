@@ -85,6 +85,7 @@ def mix(
     ceiling: float = CEILING,
     seed: str = "mix",
     into: str = "mix",
+    size: Column | None = None,
 ) -> DataFrame:
     """How many words of each document a mixture of the sources takes.
 
@@ -94,6 +95,8 @@ def mix(
     documents in key order until the budget is spent, the last one in part. So the words taken from
     a source are its budget exactly.
 
+    A document's size is its number of words, or else the column ``size``.
+
     Result: the columns of ``docs`` and a struct ``into`` (replacing a column of that name) of size,
     source_size, target, passes and taken. Null or empty texts have size 0 and give nothing; a null source
     is a source; repeated rows count each; an empty table gives an empty one.
@@ -104,7 +107,7 @@ def mix(
     keyed = docs.drop(into).select(
         F.struct("*").alias("row"),
         F.col("source").alias("source"),
-        word_count(F.col("text")).alias("size"),
+        (word_count(F.col("text")) if size is None else size).alias("size"),
         key.alias("key"),
         F.floor(first * ranges / F.lit(2.0**32)).cast("long").alias("range"),
     )
@@ -155,7 +158,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 def mixture_digest(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
-    mixture: Column = F.col("mix")
-    return mix(docs.select("doc_id", "text", "source"), **options).select(
-        "doc_id", *[mixture[c].alias(c) for c in ("size", "source_size", "target", "taken")]
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return mix(sized, size=F.col("size"), **options).select(
+        "doc_id",
+        *[F.col(f"mix.{c}").alias(c) for c in ("size", "source_size", "target", "taken")],
     )

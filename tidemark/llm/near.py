@@ -73,16 +73,21 @@ def signatures(
         key, of, step, share = seed[live], whose[live], mean[live], part[live]
         end, time, turn = until[of], np.zeros(len(live)), 0
         while len(key):
-            turn += 1
-            drawn = mixed(key + np.uint64(turn * _STEP % 2**64))
-            time = time - np.log(((drawn >> np.uint64(32)) + 0.5) / 2.0**32) * step
+            # few processes draw many points at once; the sums are the same as one by one
+            turns = turn + 1 + np.arange(max(1, min(128, 65536 // len(key))), dtype=np.uint64)
+            turn += len(turns)
+            drawn = mixed(key[:, None] + turns * np.uint64(_STEP))
+            waits = -np.log(((drawn >> np.uint64(32)) + 0.5) / 2.0**32) * step[:, None]
+            waits[:, 0] += time
+            times = np.cumsum(waits, axis=1)
+            rows, columns = np.nonzero(times <= end[:, None])
+            drawn, at = drawn[rows, columns], of[rows] * size
+            at += (((drawn & np.uint64(0xFFFF)) * np.uint64(size)) >> np.uint64(16)).astype(np.int64)
+            inside = ((drawn >> np.uint64(16)) & np.uint64(0xFFFF)) < share[rows] * 65536
+            np.minimum.at(first.reshape(-1), at[inside], times[rows, columns][inside])
+            time = times[:, -1]
             on = time <= end
             key, of, step, share, end, time = (a[on] for a in (key, of, step, share, end, time))
-            drawn = drawn[on]
-            place = ((drawn & np.uint64(0xFFFF)) * np.uint64(size)) >> np.uint64(16)
-            inside = ((drawn >> np.uint64(16)) & np.uint64(0xFFFF)) < share * 65536
-            at = of * size + place.astype(np.int64)
-            np.minimum.at(first.reshape(-1), at[inside], time[inside])
         wanted &= np.isinf(first).any(axis=1)
         until[wanted] *= 2
     return first[docs]
@@ -92,7 +97,7 @@ def _signed(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n (shingles), key and key2 (of the multiset), bands and sketch of each document."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 4 << 20):
             n = batch.num_rows
             doc, element, weight = weighted_shingles(batch.column(2))
             total = np.bincount(doc, weight, n).astype(np.int64)
@@ -141,7 +146,7 @@ def _overlap(pairs: DataFrame) -> DataFrame:
     """(label_a, label_b) of the pairs of texts whose weighted Jaccard reaches the threshold."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 4 << 20):
             n = batch.num_rows
             counts = []
             for side in (2, 3):

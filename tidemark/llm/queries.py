@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import blocks, languages, mixture, near, neighbours, packing, private, repeats, rules
+from tidemark.llm import blocks, languages, mixture, near, neighbours, packing, private, repeats, rules, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,13 @@ def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture_digest(_documents(spark, sf_dir))
 
 
+def op2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    ranks = str(tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return scoring.score(_documents(spark, sf_dir), ranks, tokenizers.PATTERN)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +63,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_mixture": op1_mixture,
+    "op2_scores": op2_scores,
     "op3_packing": op3_packing,
     "op4_private": op4_private,
     "op5_near_duplicates": op5_near_duplicates,

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from tidemark.llm.shared import coded_words
 
-#: Ids of the words of a list: all in turn, and how many each word has.
-WordIds = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+#: Ids of the words of an array: all in turn, and how many each word has.
+WordIds = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -31,7 +31,7 @@ def encode(texts: pa.Array, ids_of: WordIds, last: int) -> tuple[np.ndarray, np.
     The ids of a text must be those of its words in turn.
     """
     at, codes, words = coded_words(texts)
-    pool, lengths = ids_of(words.to_pylist())
+    pool, lengths = ids_of(words)
     begin = np.cumsum(lengths) - lengths
     of_word = lengths[codes]
     before = np.concatenate([[0], np.cumsum(of_word, dtype=np.int64)])
@@ -51,9 +51,9 @@ class WordEndTokenizer:
     and told apart again by their word ends. Words with anything else in them are encoded alone.
     """
 
-    _PLAIN = re.compile(r"[!-~À-ÿ]+")
+    _PLAIN = "^[!-~À-ÿ]+$"
     # fixed values: the file's own pattern, for lower-case Latin-1
-    _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    _PIECES = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+)"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -85,31 +85,21 @@ class WordEndTokenizer:
             lengths.append(np.diff(ends, prepend=0))
         return np.concatenate(ids), np.concatenate(lengths)
 
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        number: dict[str, int] = {}
-        parts: list[int] = []
-        counts = np.zeros(len(words), np.int64)
-        odd: list[int] = []
-        for i, word in enumerate(words):
-            if not self._PLAIN.fullmatch(word) or any(token in word for token in self.special):
-                odd.append(i)
-                continue
-            word = word.lower()
-            if word.isalpha():
-                parts.append(number.setdefault(word, len(number)))
-                counts[i] = 1
-            else:
-                found = self._PIECES.findall(word)
-                counts[i] = len(found)
-                parts += [number.setdefault(piece, len(number)) for piece in found]
-        pool, sizes = self._pieces(list(number)) if number else (np.empty(0, np.uint32), np.empty(0, np.int64))
-        begin, part = np.cumsum(sizes) - sizes, np.array(parts, np.int64)
-        before = np.concatenate([[0], np.cumsum(sizes[part], dtype=np.int64)])
-        word_ends = before[np.cumsum(counts)]
-        lengths = np.diff(word_ends, prepend=0)
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        plain = pc.match_substring_regex(words, self._PLAIN)
+        for token in self.special:
+            plain = pc.and_not(plain, pc.match_substring(words, token))
+        odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        lower = pc.utf8_lower(pc.if_else(plain, words, ""))
+        starts, part, pieces = coded_words(pc.replace_substring_regex(lower, self._PIECES, r"\1 "))
+        pool, sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
+        if len(pieces):
+            pool, sizes = self._pieces(pieces.to_pylist())
+        begin = np.cumsum(sizes) - sizes
+        lengths = np.diff(np.concatenate([[0], np.cumsum(sizes[part], dtype=np.int64)])[starts])
         ids = pool[spread(begin[part], sizes[part])]
-        if odd:
-            lists = self._alone([words[i] for i in odd])
+        if len(odd):
+            lists = self._alone(words.take(pa.array(odd)).to_pylist())
             lengths[odd] = [len(x) for x in lists]
             out = np.empty(int(lengths.sum()), np.uint32)
             alone = np.zeros(len(words), bool)
