@@ -54,7 +54,9 @@ def main() -> None:
     spark = session(
         "bench",
         f"local[{CPUS}]",
+        partitions=int(CPUS),
         **{
+            "spark.checkpoint.dir": os.environ.get("SHARED_DIR", "/tmp/tidemark-shared"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "16g",

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 
@@ -61,7 +62,9 @@ def main(sf_dir: str, names: list[str]) -> int:
     spark = session(
         "compare",
         "local[8]",
+        partitions=8,
         **{
+            "spark.checkpoint.dir": os.environ.get("SHARED_DIR", "/tmp/tidemark-shared"),
             "spark.ui.enabled": "false",
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "12g",

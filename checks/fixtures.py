@@ -10,10 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.metrics import SIZE_METRICS, windowed
+from tidemark.operators.access import (
+    dataset_totals,
+    file_read_tally,
+    job_tally,
+    transfer_tally,
+)
 from tidemark.operators.occupancy import daily_size, replica_window_sizes
 from tidemark.operators.popularity import apply_overrides, popularity, resolve_overrides
 from tidemark.operators.reads import merge_reads, read_windows
-from tidemark.operators.replicas import disk_replicas
+from tidemark.operators.replicas import disk_replicas, replica_spans
 
 MONEY = "decimal(18,2)"
 PRECISE = "decimal(28,6)"
@@ -22,6 +28,9 @@ PRECISE = "decimal(28,6)"
 SPINE = ("1995-01-01", "2001-12-31")
 END_DATE = "2001-08-01"
 YOUNG_END_DATE = "1996-05-01"
+# The events are of one year.
+EVENT_SPINE = ("2024-01-01", "2024-12-31")
+EVENT_END_DATE = "2024-12-01"
 OVERRIDDEN_BRAND = "Brand#11"
 
 
@@ -186,6 +195,31 @@ class Fixtures:
             (F.col("user_id") % 7 * 86400 + 1546300800).cast("double").alias("replica_time_create"),
         )
 
+    def catalog_snapshots(self) -> DataFrame:
+        """The same snapshots of catalogued datasets, a fifth of them on tape."""
+        names = self.catalog().select(F.col("d_dataset_id").alias("known"), "d_dataset")
+        node = F.when(F.col("block_id") % 5 == 0, F.concat("node_name", F.lit("_MSS")))
+        joined = self.snapshots().join(names, F.col("known") == F.col("dataset_id") + 1)
+        return joined.withColumns(
+            {"dataset_name": F.col("d_dataset"), "node_name": F.coalesce(node, "node_name")}
+        ).drop("known", "d_dataset")
+
+    def tallied_reads(self) -> DataFrame:
+        """Merged reads of the three tallies: string days, several rows of a key, fractions as decimals
+        so that sums of them are exact.
+        """
+        totals = dataset_totals(self.files(), self.catalog())
+        tallies = [
+            file_read_tally(self.file_read_log(), self.files(), totals),
+            transfer_tally(self.transfer_log(), self.files(), totals),
+            job_tally(self.job_log(), totals),
+        ]
+        fraction = F.expr("CAST(round(fract_read, 9) AS decimal(18,9))")
+        return merge_reads(*[tally.withColumn("fract_read", fraction) for tally in tallies])
+
+    def spans(self) -> DataFrame:
+        return replica_spans(self.catalog_snapshots())
+
     def catalog_replicas(self) -> DataFrame:
         day = F.col("l_shipdate").cast("date").cast("string")
         path = F.concat(F.lit("hdfs://store/rucio/"), day, F.lit("/replicas/part-0.avro"))

@@ -27,7 +27,7 @@ def _columns(names: list[str], expression: str) -> str:
     return ", ".join(f"{expression.format(name)} AS {name}" for name in names)
 
 
-def _age_sizes(end: str) -> str:
+def _age_sizes(end: str, disk: str = "disk") -> str:
     sums = []
     for w in WINDOWS:
         for size in BASE_SIZES:
@@ -53,8 +53,8 @@ def _age_sizes(end: str) -> str:
                    date_diff('day', min_time, {end}) AS min_age,
                    date_diff('day', max_time, {end}) AS max_age,
                    date_diff('day', created, {end}) AS age
-            FROM disk r JOIN (SELECT dataset_id AS created_id, MIN(replica_time_create) AS created
-                              FROM disk GROUP BY dataset_id) ON dataset_id = created_id
+            FROM {disk} r JOIN (SELECT dataset_id AS created_id, MIN(replica_time_create) AS created
+                                FROM {disk} GROUP BY dataset_id) ON dataset_id = created_id
           ) WHERE max_age <= {max(WINDOWS)}
           GROUP BY dataset_id, tier, age)"""
 
@@ -67,14 +67,14 @@ def _bin(value: str) -> str:
     )
 
 
-def _read_windows() -> str:
+def _read_windows(merged: str = "merged") -> str:
     sums = ", ".join(
         f"SUM(CASE WHEN date_diff('day', day, {END_DATE}) < {w} THEN {read} ELSE 0 END) AS {read}{w}"
         for w in WINDOWS
         for read in READS
     )
     bins = ", ".join(f"{_bin(name)} AS {name}" for name in READ_COLUMNS)
-    return f"SELECT d_dataset_id, {bins} FROM (SELECT d_dataset_id, {sums} FROM merged GROUP BY 1)"
+    return f"SELECT d_dataset_id, {bins} FROM (SELECT d_dataset_id, {sums} FROM {merged} GROUP BY 1)"
 
 
 def _daily_reads(name: str, flag: str) -> str:
@@ -220,6 +220,30 @@ STEPS: dict[str, str] = {
 }
 
 
+STEPS |= {
+    "spans": """
+        SELECT d_dataset AS dataset_name, d_dataset_id AS dataset_id, replica_time_create, node_name,
+               SUM(block_size) AS rep_size, min_time, max_time, br_user_group_id
+        FROM (SELECT user_id % 20 + 1 AS known,
+                     DATE '2019-01-01' + CAST(user_id % 7 AS INTEGER) AS replica_time_create,
+                     'T2_' || event_type || CASE WHEN user_id % 5 = 0 THEN '_MSS' ELSE '' END
+                       AS node_name,
+                     CASE user_id % 4 WHEN 0 THEN 42 WHEN 1 THEN 18 WHEN 2 THEN 19 ELSE 7 END
+                       AS br_user_group_id,
+                     MIN(CAST(ts AS DATE)) AS min_time, MAX(CAST(ts AS DATE)) AS max_time,
+                     CAST(SUM(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / COUNT(*) AS block_size
+              FROM events GROUP BY user_id, event_type)
+        JOIN catalog ON known = d_dataset_id
+        GROUP BY d_dataset, d_dataset_id, replica_time_create, node_name, min_time, max_time,
+                 br_user_group_id""",
+    "spans_disk": "SELECT * FROM spans WHERE node_name NOT LIKE '%MSS'",
+    "event_spine": """
+        SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31',
+                                           INTERVAL 1 DAY)) AS DATE) AS date""",
+    "spans_sizes": _age_sizes("DATE '2024-12-01'", "spans_disk"),
+}
+
+
 def _with(select: str) -> str:
     """``select`` after the steps it needs, directly or through other steps."""
     needed: set[str] = set()
@@ -354,6 +378,27 @@ _SIZE_CHECK = f"""
                 AS DOUBLE) AS anaOpsSize
     FROM disk WHERE max_time = {END_DATE}"""
 
+def _tallied(name: str, tally: str) -> str:
+    return (
+        f"SELECT d_dataset_id, day, SUM(CAST(round(fract_read, 9) AS DECIMAL(18,9))) AS {name} "
+        f"FROM ({tally}) GROUP BY 1, 2"
+    )
+
+
+# Named after the tallies are: each is a step of its own, with the days as dates for the windows.
+STEPS |= {
+    "tally_cmssw": _tallied("cmssw_read", _DAILY_ACCESS),
+    "tally_xroot": _tallied("xroot_read", _DOMAINS),
+    "tally_classad": _tallied("classad_read", _EVENTS),
+    "tally_merged": """
+        SELECT d_dataset_id, day AS day_text, CAST(strptime(day, '%Y%m%d') AS DATE) AS day,
+               cmssw_read, xroot_read, classad_read,
+               GREATEST(cmssw_read, xroot_read, classad_read) AS fract_read
+        FROM tally_cmssw FULL JOIN tally_xroot USING (d_dataset_id, day)
+        FULL JOIN tally_classad USING (d_dataset_id, day)""",
+    "tally_bins": _read_windows("tally_merged"),
+}
+
 _TOTALS = "SELECT d_dataset, d_dataset_id, dsize, nfiles, devts FROM totals"
 
 _CASES = {
@@ -366,6 +411,32 @@ _CASES = {
     "replica_spans": _SPANS,
     "replica_spans_from_csv": _SPANS,
     "disk_replicas": _DISK,
+    "spans_to_disk": """
+        SELECT dataset_name, node_name, br_user_group_id,
+               strftime(replica_time_create, '%Y%m%d') AS replica_time_create, min_time, max_time,
+               round(rep_size, 4) AS rep_size FROM spans_disk""",
+    "spans_to_daily_size": """
+        SELECT date, dataset_id,
+               round(SUM(CASE WHEN br_user_group_id IN (42, 18, 19) THEN rep_size ELSE 0 END), 4)
+                 AS allOpsSize
+        FROM spans_disk JOIN event_spine ON date BETWEEN min_time AND max_time
+        GROUP BY date, dataset_id""",
+    "spans_to_windows": (
+        "SELECT dataset_id, tier, " + _columns(SIZE_COLUMNS, "round({0}, 4)") + " FROM spans_sizes"
+    ),
+    "spans_to_tape": _TAPE.replace("CAST(SUM(rep_size) AS DOUBLE)", "round(SUM(rep_size), 4)")
+    .replace("FROM replicas", "FROM spans")
+    .format(active="AND max_time > DATE '2024-01-02'"),
+    "tape_usage_from_csv": _TAPE.replace(
+        "CAST(SUM(rep_size) AS DOUBLE)", "round(CAST(SUM(rep_size) AS DOUBLE), 2)"
+    ).format(active=""),
+    "tallies_merged": "SELECT d_dataset_id, day_text AS day, "
+    + _columns(["fract_read", "cmssw_read", "xroot_read", "classad_read"], "CAST({0} AS DOUBLE)")
+    + " FROM tally_merged",
+    "tallies_to_windows": f"SELECT d_dataset_id, {', '.join(READ_COLUMNS)} FROM tally_bins",
+    "daily_access_domains_from_json": _DOMAINS,
+    "daily_access_events_from_json": _EVENTS,
+    "overrides_from_json": "SELECT d_dataset_id, value FROM overrides",
     "daily_size_sweep": _DAILY,
     "daily_size": _DAILY,
     "daily_size_explode": _DAILY,
@@ -378,7 +449,7 @@ _CASES = {
         site=SITE, name=LOGGED_NAME, tally="CAST(l_shipdate AS DATE)"
     ),
     "catalog_replicas_from_files": _CATALOG_REPLICAS.format(
-        site=SITE, name=LOGGED_NAME, tally="date_trunc('month', CAST(l_shipdate AS DATE))"
+        site=SITE, name=LOGGED_NAME, tally="CAST(l_shipdate AS DATE)"
     ),
     "merge_reads": _MERGED,
     "merged_reads_by_month": _MERGED,

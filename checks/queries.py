@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.fixtures import END_DATE, SPINE, YOUNG_END_DATE, Fixtures
+from checks.fixtures import (
+    END_DATE,
+    EVENT_END_DATE,
+    EVENT_SPINE,
+    SPINE,
+    YOUNG_END_DATE,
+    Fixtures,
+)
 from tidemark.functions import names
 from tidemark.functions.days import day_key, epoch_day
 from tidemark.functions.metrics import READ_METRICS, SIZE_METRICS, read_bin, windowed
@@ -15,8 +22,10 @@ from tidemark.operators import (
     access,
     compaction,
     histogram,
+    occupancy,
     popularity,
     quality,
+    reads,
     replicas,
     rolling,
 )
@@ -35,6 +44,7 @@ from tidemark.sources.readers import (
     read_csv,
     read_json,
     read_log,
+    read_overrides,
     read_parquet,
     read_snapshots,
 )
@@ -112,16 +122,42 @@ def daily_access_events(fx: Fixtures) -> DataFrame:
     )
 
 
+def _stored_log(fx: Fixtures, source: str, log: DataFrame) -> DataFrame:
+    """The log as compressed nested JSON on disk, read back."""
+    path = shared_dir(fx.spark, "log")
+    log.select(F.struct(*log.columns).alias("data")).write.json(path, compression="gzip")
+    return read_log(fx.spark, source, f"{path}/*.json.gz")
+
+
 @query
 def daily_access_from_json(fx: Fixtures) -> DataFrame:
     """The file-read tally from compressed JSON logs on disk."""
-    path = shared_dir(fx.spark, "log")
-    log = fx.file_read_log()
-    log.select(F.struct(*log.columns).alias("data")).write.json(path, compression="gzip")
-    log = read_log(fx.spark, "cmssw", f"{path}/*.json.gz")
+    log = _stored_log(fx, "cmssw", fx.file_read_log())
     return _file_tally(access.file_read_tally(log, fx.files(), _totals(fx)), "site_name")
 
 
+@query
+def daily_access_domains_from_json(fx: Fixtures) -> DataFrame:
+    """The transfer tally from JSON logs: epochs in milliseconds, missing domains."""
+    log = _stored_log(fx, "xrootd", fx.transfer_log())
+    return _file_tally(access.transfer_tally(log, fx.files(), _totals(fx)), "client_domain")
+
+
+@query
+def daily_access_events_from_json(fx: Fixtures) -> DataFrame:
+    """The job tally from JSON logs: thousands of events as FLOAT."""
+    log = _stored_log(fx, "classads", fx.job_log())
+    return typed(
+        access.job_tally(log, _totals(fx)),
+        d_dataset_id="bigint",
+        day="string",
+        sum_evts="double",
+        nrecs="bigint",
+        site_name="string",
+        fract_read="double",
+    )
+
+
 @query
 def dataset_totals_from_csv(fx: Fixtures) -> DataFrame:
     """Dataset totals from headerless catalogue dumps on disk."""
@@ -256,6 +292,69 @@ def tape_usage_active(fx: Fixtures) -> DataFrame:
     return typed(usage, tier="string", input_campaign="string", size="double")
 
 
+@query
+def tape_usage_from_csv(fx: Fixtures) -> DataFrame:
+    """Tape usage from CSV read as strings only: days and sizes are text."""
+    path = shared_dir(fx.spark, "tape")
+    days = {name: day_key(F.col(name)) for name in ("min_time", "max_time", "replica_time_create")}
+    write_csv(fx.replicas().withColumns(days), path)
+    usage = replicas.tape_usage(read_csv(fx.spark, path, header=True))
+    return typed(
+        usage.withColumn("size", F.round("size", 2)),
+        tier="string",
+        input_campaign="string",
+        size="double",
+    )
+
+
+# Chains: each starts from what the stage before really gives, string days and DOUBLE sizes.
+
+
+@query
+def spans_to_disk(fx: Fixtures) -> DataFrame:
+    """Spans of snapshots, their disk subset."""
+    disk = replicas.disk_replicas(fx.spans())
+    return typed(
+        disk.withColumn("rep_size", F.round("rep_size", 4)),
+        dataset_name="string",
+        node_name="string",
+        br_user_group_id="int",
+        replica_time_create="string",
+        min_time="date",
+        max_time="date",
+        rep_size="double",
+    )
+
+
+@query
+def spans_to_daily_size(fx: Fixtures) -> DataFrame:
+    """Snapshots to spans, disk subset and daily sizes."""
+    disk = replicas.disk_replicas(fx.spans())
+    daily = occupancy.daily_size(disk, fx.catalog(), *EVENT_SPINE)
+    return _daily(daily.withColumn("allOpsSize", F.round("allOpsSize", 4)))
+
+
+@query
+def spans_to_windows(fx: Fixtures) -> DataFrame:
+    """Snapshots to spans, disk subset and window sizes."""
+    disk = replicas.disk_replicas(fx.spans())
+    sizes = occupancy.replica_window_sizes(disk, fx.catalog(), EVENT_END_DATE)
+    rounded = {name: F.round(name, 4) for name in windowed(SIZE_METRICS)}
+    return _window_sizes(sizes.withColumns(rounded))
+
+
+@query
+def spans_to_tape(fx: Fixtures) -> DataFrame:
+    """Snapshots to spans and tape usage."""
+    usage = replicas.tape_usage(fx.spans(), active_since="2024-01-02")
+    return typed(
+        usage.withColumn("size", F.round("size", 4)),
+        tier="string",
+        input_campaign="string",
+        size="double",
+    )
+
+
 def _catalog_replicas(df: DataFrame) -> DataFrame:
     return typed(
         df,
@@ -278,15 +377,9 @@ def catalog_replicas_from_files(fx: Fixtures) -> DataFrame:
     """The tally day taken from the directory each replica row was read from."""
     root = shared_dir(fx.spark, "replicas")
     rows = fx.catalog_replicas()
-    month = F.substring("filename", len("hdfs://store/rucio/") + 1, 7)
-    write_parquet(rows.select(*rows.columns, month.alias("month")), f"{root}/all")
-    months = read_parquet(fx.spark, f"{root}/all")
-    (
-        months.withColumn("part", F.concat(F.col("month"), F.lit("-01")))
-        .drop("month", "filename")
-        .write.partitionBy("part")
-        .parquet(f"{root}/rucio")
-    )
+    day = F.substring("filename", len("hdfs://store/rucio/") + 1, 10)
+    days = rows.withColumn("part", day).drop("filename")
+    days.repartition(8, "part").write.partitionBy("part").parquet(f"{root}/rucio")
     files = read_catalog_replicas(fx.spark, f"{root}/rucio", "parquet")
     # a partition directory reads part=<day>; the tally looks for the bare day
     files = files.withColumn("filename", F.replace("filename", F.lit("part="), F.lit("")))
@@ -315,6 +408,27 @@ def read_windows(fx: Fixtures) -> DataFrame:
     )
 
 
+@query
+def tallies_merged(fx: Fixtures) -> DataFrame:
+    """The three logs to tallies to merged reads, with the days as the tallies write them."""
+    return typed(
+        fx.tallied_reads(),
+        d_dataset_id="bigint",
+        day="string",
+        **{name: "double" for name in READ_METRICS},
+    )
+
+
+@query
+def tallies_to_windows(fx: Fixtures) -> DataFrame:
+    """The three logs to tallies, merged reads and read bins."""
+    return typed(
+        reads.read_windows(fx.tallied_reads(), END_DATE),
+        d_dataset_id="bigint",
+        **{name: "bigint" for name in windowed(READ_METRICS)},
+    )
+
+
 @query
 def quantize(fx: Fixtures) -> DataFrame:
     """Bins of amounts below 0, 0, around 1.5, around 15 and above."""
@@ -334,6 +448,18 @@ def overrides_resolved(fx: Fixtures) -> DataFrame:
     return typed(fx.overrides(), d_dataset_id="bigint", value="int")
 
 
+@query
+def overrides_from_json(fx: Fixtures) -> DataFrame:
+    """Overrides kept by hand as one JSON object, resolved by name."""
+    path = shared_dir(fx.spark, "overrides")
+    entries = F.map_from_entries(F.collect_list(F.struct("dataset_name", "value")))
+    fx.override_list().agg(F.to_json(entries).alias("value")).write.text(path)
+    listed = read_overrides(fx.spark, path)
+    return typed(
+        popularity.resolve_overrides(listed, fx.catalog()), d_dataset_id="bigint", value="int"
+    )
+
+
 @query
 def popularity_joined(fx: Fixtures) -> DataFrame:
     return _popularity(fx.popularity())

@@ -145,3 +145,21 @@ def test_spine(spark, rows):
 def test_days_between_backwards_is_empty(rows):
     df = rows("a date, b date", (date(2020, 1, 3), date(2020, 1, 1)))
     assert df.select(days_between(F.col("a"), F.col("b"))).first()[0] == []
+
+
+@pytest.mark.parametrize("seconds", [1.6e12, 1e13, 2e14, 1.6e18, -1e12, float("nan"), None])
+def test_epoch_day_outside_the_calendar_is_null(rows, seconds):
+    df = rows("s double", (seconds,))
+    assert df.select(day_key(epoch_day(F.col("s")))).first()[0] is None
+    if seconds is not None and seconds == seconds:
+        whole = rows("s bigint", (int(seconds),))
+        assert whole.select(day_key(epoch_day(F.col("s")))).first()[0] is None
+
+
+def test_epoch_day_at_the_calendar_ends(rows):
+    df = rows("s bigint", (-62135596800,), (253402300799,), (253402300800,))
+    assert [r[0] for r in df.select(epoch_day(F.col("s"))).collect()] == [
+        date(1, 1, 1),
+        date(9999, 12, 31),
+        None,
+    ]

@@ -188,7 +188,6 @@ def test_write_by_month_replaces_only_its_months(spark, rows, tmp_path):
         ("2020/1*/*", "/", "2020"),
         ("2020/01/02", "/", "2020/01/02"),
         ("2020-12-11", "-", "2020/12/11"),
-        ("*", "/", ""),
     ],
 )
 def test_stage_label(dates, separator, label):
@@ -238,6 +237,33 @@ def test_quality(rows):
 def test_shared_dir_follows_the_cluster_setting(spark):
     first, second = shared_dir(spark, "x"), shared_dir(spark, "x")
     assert first != second
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is not None:
-        assert first.startswith(root)
+    assert first.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_shared_dir_needs_the_setting():
+    class Unset:
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir is not set"):
+        shared_dir(Unset, "x")
+
+
+def test_stage_label_of_wildcards_only():
+    with pytest.raises(ValueError, match="names no directory"):
+        stage_label("*/*")
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['{"/a/b/C": 3', '{"/a/b/C": 4.5}', '{"/a/b/C": "7"}', '{"/a/b/C": 3} {"/d/e/F": 4}', "", "[1]"],
+)
+def test_overrides_fail_on_what_is_not_one_object(spark, tmp_path, text):
+    (tmp_path / "overrides.json").write_text(text)
+    with pytest.raises(Exception, match="not one JSON object"):
+        read_overrides(spark, str(tmp_path)).collect()
+
+
+def test_overrides_fail_on_too_large_a_number(spark, tmp_path):
+    (tmp_path / "overrides.json").write_text('{"/a/b/C": 99999999999}')
+    with pytest.raises(Exception, match="MALFORMED|CANNOT_PARSE|FAILFAST|malformed"):
+        read_overrides(spark, str(tmp_path)).collect()

@@ -11,6 +11,7 @@ from tidemark.operators.histogram import popularity_histogram
 from tidemark.operators.occupancy import daily_size, replica_window_sizes
 from tidemark.operators.popularity import top_unused
 from tidemark.operators.reads import merge_reads, read_windows
+from tidemark.operators.replicas import catalog_replicas_daily
 from tidemark.operators.rolling import rolling_popularity
 
 SF = "/root/testdata/sf0.001"
@@ -25,6 +26,8 @@ STAGED = {
     "access": "d_dataset_id int, day string, fract_read double, site_name string",
     "merged": "d_dataset_id int, day string, fract_read double, cmssw_read double, "
     "xroot_read double, classad_read double",
+    "replicas": "NAME string, RSE_ID string, SCOPE string, BYTES bigint, CREATED_AT bigint, "
+    "filename string, extra string",
     "daily": "date date, dataset_id int, allOpsSize double",
 }
 
@@ -106,3 +109,8 @@ def test_queries_stay_in_the_jvm(spark, name):
     text = plan(QUERIES[name](spark, SF))
     for operator in ("Python", "Pandas", "Cartesian", "BroadcastNestedLoop", "MapInArrow"):
         assert operator not in text, operator
+
+
+def test_catalog_replicas_shuffle_the_replicas_once(stage):
+    tally = catalog_replicas_daily(stage["replicas"], stage["files"])
+    assert shuffles(tally) == 3

@@ -4,7 +4,6 @@ import pytest
 from conftest import as_set
 
 from tidemark.functions.metrics import READ_METRICS, SIZE_METRICS, windowed
-from tidemark.operators import popularity as module
 from tidemark.operators.histogram import popularity_histogram
 from tidemark.operators.occupancy import daily_size, replica_window_sizes
 from tidemark.operators.popularity import (
@@ -69,9 +68,7 @@ def test_override_daily(rows):
     assert as_set(override_daily(daily, overrides)) == [("x", 3.0), ("y", None)]
 
 
-@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
-def test_top_unused(rows, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(module, "_BROADCAST_ROWS", broadcast_rows)
+def test_top_unused(rows):
     pop = popularity(sizes(rows, 1, 2, 3, 4, 5), bins(rows, d4=1, d6=0))
     catalog = rows(CATALOG, (1, "a"), (2, "b"), (4, "d"), (5, "e"), (6, "f"))
     names = [r["d_dataset"] for r in top_unused(pop, catalog).collect()]

@@ -12,13 +12,19 @@ DAY_FORMAT = "yyyyMMdd"
 
 _UNITS_PER_DAY = {"s": 86_400, "ms": 86_400_000}
 
+# 0001-01-01 and 9999-12-31, counted from 1970-01-01
+_FIRST_DAY, _LAST_DAY = -719_162, 2_932_896
+
 
 def epoch_day(epoch: Column, unit: str = "s") -> Column:
     """UTC day (DATE) of an epoch in seconds or milliseconds.
 
-    Whole-day arithmetic, so the answer does not depend on the session time zone.
+    Whole-day arithmetic, so the answer does not depend on the session time zone. An epoch outside
+    the years 1 to 9999, as of a corrupt record or another unit, gives NULL, and so does NaN.
     """
-    return F.date_from_unix_date(F.floor(epoch / F.lit(_UNITS_PER_DAY[unit])).cast("int"))
+    days = epoch.cast("double") / F.lit(_UNITS_PER_DAY[unit])
+    known = (days >= F.lit(_FIRST_DAY)) & (days < F.lit(_LAST_DAY + 1))
+    return F.date_from_unix_date(F.when(known, F.floor(days).cast("int")))
 
 
 def day_key(day: Column) -> Column:

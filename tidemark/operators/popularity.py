@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.metrics import READ_METRICS, WINDOWS, windowed
 from tidemark.functions.names import unused_campaign
 
-# A report of this many rows is a few MB at most, small enough to send to every executor.
-_BROADCAST_ROWS = 100_000
-
-
 def popularity(
     sizes: DataFrame, reads: DataFrame, windows: Sequence[int] = WINDOWS
 ) -> DataFrame:
@@ -78,8 +74,6 @@ def top_unused(
         .select("dataset_id", *columns)
         .limit(k)
     )
-    if k <= _BROADCAST_ROWS:
-        largest = F.broadcast(largest)
     return (
         catalog.select("d_dataset", "d_dataset_id")
         .join(largest, F.col("dataset_id") == F.col("d_dataset_id"))

@@ -100,21 +100,23 @@ def tape_usage(spans: DataFrame, active_since: str | date | None = None) -> Data
 def catalog_replicas_daily(replicas: DataFrame, files: DataFrame) -> DataFrame:
     """Bytes per (RSE, dataset, scope, tally day, create day) of the newer replica catalogue.
 
-    ``filename`` names the tally day; ``CREATED_AT`` is in milliseconds. Copies of a file that
-    agree on everything but size collapse before the join on the file name.
+    ``filename`` names the tally day; ``CREATED_AT`` is in milliseconds. Replicas go straight into
+    the join on the file name: a file has one row per RSE, scope and day, so that grouping them
+    first would shuffle the largest input once more and merge nothing.
     """
-    by_file = replicas.groupBy(
+    named = replicas.select(
         "NAME",
         "RSE_ID",
         "SCOPE",
         tally_day_of_path(F.col("filename")).alias("tally"),
         epoch_day(F.col("CREATED_AT"), "ms").alias("created"),
-    ).agg(F.sum("BYTES").alias("bytes"))
+        "BYTES",
+    )
     owners = files.select("f_logical_file_name", "f_dataset_id")
     return (
-        by_file.join(owners, F.col("NAME") == F.col("f_logical_file_name"))
+        named.join(owners, F.col("NAME") == F.col("f_logical_file_name"))
         .groupBy("RSE_ID", "f_dataset_id", "SCOPE", "tally", "created")
-        .agg(F.sum("bytes").alias("rep_size"))
+        .agg(F.sum("BYTES").alias("rep_size"))
         .select(
             "RSE_ID",
             "f_dataset_id",

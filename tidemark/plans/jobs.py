@@ -201,23 +201,26 @@ def report_popularity(
         _load_overrides(spark, stages),
         windows,
     )
+    # both reports start from it
+    write_parquet(pop, stages.path("popularity"))
+    pop = read_parquet(spark, stages.path("popularity"))
     unused = top_unused(pop, load_catalog(spark, catalog_path), unused_window, k, windows)
     write_csv(unused, stages.path("top_unused"))
-    write_json(
-        histogram_arrays(popularity_histogram(pop, windows), windows),
-        stages.path("popularity_arrays"),
-    )
-    arrays = read_json(spark, stages.path("popularity_arrays"))
+    arrays = histogram_arrays(popularity_histogram(pop, windows), windows)
+    write_json(arrays, stages.path("popularity_arrays"))
+    arrays = read_json(spark, stages.path("popularity_arrays"), arrays.schema)
     write_csv(histogram_from_arrays(arrays), stages.path("popularity_histogram"))
 
 
 def report_unused_campaigns(
     spark: SparkSession, stages: Stages, windows: Sequence[int] = WINDOWS
 ) -> DataFrame:
-    """Unused terabytes per campaign, over the longest window of the unused report."""
+    """Unused terabytes per campaign, over the longest window of the unused report; also written."""
     sizes = ", ".join(f"allSize{window} DOUBLE" for window in windows)
     unused = read_csv(spark, stages.path("top_unused"), f"d_dataset STRING, {sizes}", header=True)
-    return unused_by_campaign(unused, f"allSize{windows[-1]}")
+    report = unused_by_campaign(unused, f"allSize{max(windows)}")
+    write_csv(report, stages.path("unused_by_campaign"))
+    return read_csv(spark, stages.path("unused_by_campaign"), report.schema, header=True)
 
 
 def report_rolling(

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
-# AQE sizes shuffle partitions at run time and splits those a heavy join key makes large. The
-# initial number of partitions is left to the cluster: AQE merges what turns out small.
+# Shuffle partitions that a session starts with. AQE merges those that turn out small, so this only
+# has to be large enough: 4,000 hold 100 MB each of a shuffle of 400 GB. ``session`` takes another.
+PARTITIONS = 4000
+
+# AQE sizes shuffle partitions at run time and splits those a heavy join key makes large.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -19,12 +21,18 @@ SETTINGS = {
 }
 
 
-def session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with ``SETTINGS`` and any ``conf``; ``master`` only for local runs."""
+def session(
+    app: str = "tidemark", master: str | None = None, partitions: int = PARTITIONS, **conf: str
+) -> SparkSession:
+    """Session with ``SETTINGS`` and any ``conf``; ``master`` only for local runs.
+
+    ``partitions`` is the number of shuffle partitions before small ones are merged.
+    """
     builder = SparkSession.builder.appName(app)
     if master is not None:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **conf}.items():
+    initial = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions)}
+    for key, value in {**SETTINGS, **initial, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -32,10 +40,10 @@ def session(app: str = "tidemark", master: str | None = None, **conf: str) -> Sp
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh directory in the folder that every executor sees.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; where it names none, as in tests, a
-    local one is made.
+    The cluster names that folder in ``spark.checkpoint.dir``. Without it there is none to rely on:
+    a folder of this machine is not the executors', so this raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        return tempfile.mkdtemp(prefix=f"tidemark-{purpose}-")
+        raise ValueError("spark.checkpoint.dir is not set; it must name a folder all executors see")
     return f"{root.rstrip('/')}/tidemark-{purpose}-{uuid4().hex}"
\ No newline at end of file

@@ -55,8 +55,14 @@ def write_bucketed(df: DataFrame, table: str, buckets: int, key: str, path: str)
 
 
 def stage_label(dates: str, separator: str = "/") -> str:
-    """Directory for a date pattern: its parts without wildcards (``2020/01/*`` -> ``2020/01``)."""
-    return "/".join(part for part in dates.split(separator) if "*" not in part)
+    """Directory for a date pattern: its parts without wildcards (``2020/01/*`` -> ``2020/01``).
+
+    A pattern of wildcards only would name the directory above all others, so it is refused.
+    """
+    label = "/".join(part for part in dates.split(separator) if part and "*" not in part)
+    if not label:
+        raise ValueError(f"date pattern {dates!r} names no directory of its own")
+    return label
 
 
 def write_by_month(df: DataFrame, path: str, day: str) -> None:

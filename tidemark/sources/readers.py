@@ -77,16 +77,29 @@ def read_catalog_replicas(spark: SparkSession, path: str, format: str = "avro")
     return spark.read.format(format).load(path).withColumn("filename", F.col("_metadata.file_path"))
 
 
+# One object of strings and whole numbers and nothing after it. Possessive repeats keep a long list
+# from recursing.
+_OVERRIDES = (
+    r'(?s)^\s*+\{\s*+(?:"(?:[^"\\]++|\\.)*+"\s*+:\s*+-?[0-9]++\s*+(?:,\s*+(?=")|(?=\})))*+\}\s*+$'
+)
+
+
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     """Rows (dataset_name, value) of hand-kept JSON objects ``{dataset_name: value}``.
 
     ``path`` may hold several files, each one object. A name given twice keeps its last value, as
-    JSON objects do; of two files the later by name wins.
+    JSON objects do; of two files the later by name wins. A file that is not one whole object of
+    whole numbers fails the read.
     """
-    files = spark.read.text(path, wholetext=True)
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), "value"
+    )
+    wrong = F.concat(F.lit("not one JSON object of whole numbers: "), "file")
+    checked = F.when(F.col("value").rlike(_OVERRIDES), F.col("value")).otherwise(
+        F.raise_error(wrong)
+    )
     entries = files.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.posexplode(F.from_json("value", "map<string,int>")),
+        "file", F.posexplode(F.from_json(checked, "map<string,int>", {"mode": "FAILFAST"}))
     )
     return entries.groupBy(F.col("key").alias("dataset_name")).agg(
         F.max_by("value", F.struct("file", "pos")).alias("value")
