@@ -255,7 +255,7 @@ def test_stage_label_of_wildcards_only():
 
 @pytest.mark.parametrize(
     "text",
-    ['{"/a/b/C": 3', '{"/a/b/C": 4.5}', '{"/a/b/C": "7"}', '{"/a/b/C": 3} {"/d/e/F": 4}', "", "[1]"],
+    ['{"/a/b/C": 3', '{"/a/b/C": 4.5}', '{"/a/b/C": "7"}', '{"/a/b/C": 3} {"/d/e/F": 4}', " ", "[1]"],
 )
 def test_overrides_fail_on_what_is_not_one_object(spark, tmp_path, text):
     (tmp_path / "overrides.json").write_text(text)

@@ -89,11 +89,10 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
 
     ``path`` may hold several files, each one object. A name given twice keeps its last value, as
     JSON objects do; of two files the later by name wins. A file that is not one whole object of
-    whole numbers fails the read.
+    whole numbers fails the read; a file of no bytes holds no override.
     """
-    # unlike a text read, this one has a row for an empty file, too
-    files = spark.read.format("binaryFile").load(path).select(
-        F.col("path").alias("file"), F.col("content").cast("string").alias("value")
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("file"), "value"
     )
     wrong = F.concat(F.lit("not one JSON object of whole numbers: "), "file")
     checked = F.when(F.col("value").rlike(_OVERRIDES), F.col("value")).otherwise(
