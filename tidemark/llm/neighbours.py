@@ -184,7 +184,7 @@ def _places(vectors: DataFrame, size: int) -> DataFrame:
     return staged(placed.select("row", "curve", (F.col("before") + F.col("at") - F.col("first")).alias("place")), "places")
 
 
-def _window(vectors: DataFrame, size: int, places: DataFrame, is_query) -> int:
+def _window(vectors: DataFrame, size: int, places: DataFrame, is_query: str) -> int:
     """How far to look along every curve, to find ``RECALL`` of the true neighbours of some queries.
 
     At most ``FIT_QUERIES`` queries, those with the least hash, are searched by brute force. All rows are
@@ -205,11 +205,11 @@ def _window(vectors: DataFrame, size: int, places: DataFrame, is_query) -> int:
     return int(np.quantile([r["far"] for r in far], RECALL, method="higher")) + 1
 
 
-def nearest(vectors: DataFrame, is_query=F.col("vec_id") % 20 == 0, k: int = NEAREST) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = NEAREST) -> DataFrame:
     """query_id, rank, vec_id and score of the nearest found of each query, by inner product in doubles.
 
-    ``vectors`` has vec_id and embedding; queries are the rows where ``is_query`` holds, candidates all
-    other rows. Every curve is cut into blocks of consecutive vectors; a query visits the blocks within the
+    ``vectors`` has vec_id and embedding; queries are the rows where the condition ``is_query`` holds,
+    candidates all other rows. Every curve is cut into blocks of consecutive vectors; a query visits the blocks within the
     window around its own place, ranks their vectors exactly, and merges what all blocks of all curves gave.
 
     Vectors that are null, zero, or hold a null or a non-finite component take no part, nor do those
