@@ -8,6 +8,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from conftest import as_set
 
+from tidemark.operators.replicas import catalog_replicas_daily
 from tidemark.plans import jobs
 from tidemark.plans.jobs import Stages
 from tidemark.sources.layouts import layout
@@ -103,15 +104,13 @@ def world(tmp_path_factory):
 
 
 def test_every_job(spark, world):
-    stages = Stages(f"{world}/out")
+    stages = Stages(f"{world}/out", file_buckets=4)
     catalog = str(world / "datasets")
     bounds = {"start": "2020-01-01", "end": "2020-01-10"}
 
     jobs.tally_totals(spark, str(world / "files"), catalog, stages)
     for source in jobs.SOURCES:
-        path = jobs.tally_access(
-            spark, source, str(world / source), "2020/01/*", str(world / "files"), stages
-        )
+        path = jobs.tally_access(spark, source, str(world / source), "2020/01/*", stages)
         assert path == stages.path(source, "2020/01")
     tally = read_parquet(spark, stages.path("cmssw", "2020/01"))
     assert as_set(tally.select("d_dataset_id", "day", "site_name", "nfiles_read", "fract_read")) == [
@@ -168,6 +167,8 @@ def test_every_job(spark, world):
 
     campaigns = jobs.report_unused_campaigns(spark, stages)
     ((campaign, terabytes),) = map(tuple, campaigns.collect())
+    assert spark.read.csv(stages.path("unused_by_campaign"), header=True).count() == 1
+    assert read_parquet(spark, stages.path("popularity")).count() == 3
     assert (campaign, terabytes) == ("big-z_ext1", pytest.approx(1000 * 9 / 365 / 1e12))
 
     jobs.report_rolling(spark, stages, (2, 30), **bounds)
@@ -184,12 +185,10 @@ def test_every_job(spark, world):
 
 
 def test_unknown_source(spark, world):
-    stages = Stages(f"{world}/none")
+    stages = Stages(f"{world}/none", file_buckets=4)
     jobs.tally_totals(spark, str(world / "files"), str(world / "datasets"), stages)
     with pytest.raises(ValueError, match="other"):
-        jobs.tally_access(
-            spark, "other", str(world / "cmssw"), "2020/01/*", str(world / "files"), stages
-        )
+        jobs.tally_access(spark, "other", str(world / "cmssw"), "2020/01/*", stages)
 
 
 def test_catalog_replicas_job(spark, rows, world):
@@ -199,15 +198,33 @@ def test_catalog_replicas_job(spark, rows, world):
         ("r", 6, "/store/a1", "cms", seconds(0) * 1000),
     )
     replicas.write.parquet(f"{world}/rucio/2020-12-11/replicas")
-    stages = Stages(f"{world}/out2")
+    stages = Stages(f"{world}/out2", file_buckets=4)
+    jobs.tally_totals(spark, str(world / "files"), str(world / "datasets"), stages)
     path = jobs.tally_catalog_replicas(
         spark,
         f"{world}/rucio",
         "2020-12-11",
-        str(world / "files"),
         stages,
         "replicas/*.parquet",
         "parquet",
     )
     assert path.endswith("catalog_replicas/2020/12/11")
     assert as_set(read_parquet(spark, path)) == [("r", 1, "cms", "20201211", "20200101", 11)]
+
+
+def test_staged_files_are_not_shuffled(spark, rows, world):
+    stages = Stages(f"{world}/out3", file_buckets=4)
+    jobs.tally_totals(spark, str(world / "files"), str(world / "datasets"), stages)
+    schema = "RSE_ID string, BYTES bigint, NAME string, SCOPE string, CREATED_AT bigint, filename string"
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        tally = catalog_replicas_daily(rows(schema), jobs.load_files(spark, stages))
+        plan = tally._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert "hashpartitioning(f_logical_file_name" not in plan

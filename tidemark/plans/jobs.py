@@ -6,6 +6,7 @@ nothing but files, so each can be rerun alone and a lost executor costs only its
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
@@ -44,6 +45,7 @@ from tidemark.operators.replicas import (
 from tidemark.operators.rolling import rolling_popularity
 from tidemark.sinks.writers import (
     stage_label,
+    write_bucketed,
     write_csv,
     write_json,
     write_parquet,
@@ -51,6 +53,7 @@ from tidemark.sinks.writers import (
     write_sorted_parquet,
 )
 from tidemark.sources.readers import (
+    read_bucketed,
     read_catalog_replicas,
     read_csv,
     read_json,
@@ -64,11 +67,21 @@ from tidemark.sources.spine import SPINE_END, SPINE_START
 SOURCES = ("cmssw", "xrootd", "classads")
 
 
+FILE_COLUMNS = (
+    "f_logical_file_name STRING, f_dataset_id INT, f_event_count INT, f_file_size DOUBLE"
+)
+
+
 @dataclass(frozen=True)
 class Stages:
-    """Directories of the stages and reports under ``root``."""
+    """Directories of the stages and reports under ``root``.
+
+    ``file_buckets`` is the number of buckets of the file catalogue, by file name. It has to be the
+    same for all jobs over one ``root``.
+    """
 
     root: str
+    file_buckets: int = 512
 
     def path(self, *parts: str) -> str:
         return "/".join([self.root.rstrip("/"), *[p for p in parts if p]])
@@ -81,19 +94,31 @@ def load_catalog(spark: SparkSession, path: str, header: bool = False) -> DataFr
 
 
 def tally_totals(spark: SparkSession, files_path: str, catalog_path: str, stages: Stages) -> None:
-    """Dataset totals, once for all sources and months: they need the whole file catalogue."""
-    totals = dataset_totals(
-        read_csv(spark, files_path, "files"), load_catalog(spark, catalog_path)
-    )
+    """The file catalogue by file name, and dataset totals, once for all sources and months.
+
+    The dump is parsed and shuffled here only; joins on the file name then take it as it lies.
+    """
+    types = dict(column.split(" ") for column in FILE_COLUMNS.split(", "))
+    columns = [f"CAST({name} AS {kind}) AS {name}" for name, kind in types.items()]
+    files = read_csv(spark, files_path, "files").selectExpr(*columns)
+    path = stages.path("files")
+    key = "f_logical_file_name"
+    write_bucketed(files, f"written_{zlib.crc32(path.encode()):08x}", stages.file_buckets, key, path)
+    totals = dataset_totals(load_files(spark, stages), load_catalog(spark, catalog_path))
     write_parquet(totals, stages.path("dataset_totals"))
 
 
+def load_files(spark: SparkSession, stages: Stages) -> DataFrame:
+    """The file catalogue, bucketed and sorted by file name."""
+    path = stages.path("files")
+    return read_bucketed(spark, path, FILE_COLUMNS, stages.file_buckets, "f_logical_file_name")
+
+
 def tally_access(
     spark: SparkSession,
     source: str,
     log_root: str,
     dates: str,
-    files_path: str,
     stages: Stages,
     log_glob: str = "*.json.gz",
 ) -> str:
@@ -101,7 +126,7 @@ def tally_access(
     if source not in SOURCES:
         raise ValueError(f"unknown access source {source!r}, not one of {SOURCES}")
     totals = read_parquet(spark, stages.path("dataset_totals"))
-    files = read_csv(spark, files_path, "files")
+    files = load_files(spark, stages)
     log = read_log(spark, source, f"{log_root}/{dates}/{log_glob}")
     if source == "cmssw":
         tally = file_read_tally(log, files, totals)
@@ -259,14 +284,16 @@ def tally_catalog_replicas(
     spark: SparkSession,
     replicas_root: str,
     dates: str,
-    files_path: str,
     stages: Stages,
     pattern: str = "replicas/part*.avro",
     format: str = "avro",
 ) -> str:
-    """Daily bytes per RSE from the newer replica catalogue under ``replicas_root/<date>``."""
+    """Daily bytes per RSE from the newer replica catalogue under ``replicas_root/<date>``.
+
+    Needs the file catalogue that ``tally_totals`` stages.
+    """
     replicas = read_catalog_replicas(spark, f"{replicas_root}/{dates}/{pattern}", format)
-    tally = catalog_replicas_daily(replicas, read_csv(spark, files_path, "files"))
+    tally = catalog_replicas_daily(replicas, load_files(spark, stages))
     path = stages.path("catalog_replicas", stage_label(dates, "-"))
     write_parquet(tally, path)
     return path

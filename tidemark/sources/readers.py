@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +43,21 @@ def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
+def read_bucketed(
+    spark: SparkSession, path: str, schema: str, buckets: int, key: str
+) -> DataFrame:
+    """Parquet that ``write_bucketed`` left at ``path``, with its buckets known again.
+
+    A session that did not write it has no table for it, and without one would shuffle it anew.
+    """
+    table = f"bucketed_{zlib.crc32(path.encode()):08x}"
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({schema}) USING parquet "
+        f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(table)
+
+
 def read_json(
     spark: SparkSession, path: str, schema: str | T.StructType | None = None
 ) -> DataFrame:
