@@ -252,5 +252,5 @@ def quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
 def good_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The documents that the classifier does not reject, with their columns as they are."""
     model = learn_quality(docs, labels, train_rows)
-    kept = scored(docs, model, "_quality").filter(F.col("_quality") >= THRESHOLD)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row"), F.col("text"))
+    return scored(rows, model).filter(F.col("score") >= THRESHOLD).select("row.*")
