@@ -149,10 +149,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     out, so a source may miss its target by half a document. Documents without words stay once: they
     have no weight in any mixture.
     """
-    size, taken = F.col("mix.size"), F.col("mix.taken")
+    into = "mix"
+    while into in docs.columns:
+        into += "_"
+    size, taken = F.col(f"{into}.size"), F.col(f"{into}.taken")
     times = F.when(size > 0, F.floor(taken / size + 0.5)).otherwise(1).cast("int")
-    mixture = mix(docs, **options).withColumn("_times", times).filter("_times > 0")
-    repeated = mixture.withColumn("_times", F.explode(F.sequence(F.lit(1), "_times")))
+    mixture = mix(docs, into=into, **options).withColumn(into, times).filter(F.col(into) > 0)
+    repeated = mixture.withColumn(into, F.explode(F.sequence(F.lit(1), into)))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
