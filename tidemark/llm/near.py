@@ -168,7 +168,9 @@ def _overlap(pairs: DataFrame) -> DataFrame:
 def _agreeing(members: DataFrame, leaders: DataFrame) -> DataFrame:
     """(a, b, label_a, label_b) of members and leaders of a bucket whose signatures agree well enough.
 
-    Both have bucket, row, n, label, size and sketch. A bucket's members are compared in chunks.
+    Both have band, bucket, row, n, label, size and sketch. A bucket's members are compared in chunks. A
+    pair that shares several buckets is given by that of its first band only: of two documents of
+    different classes one is outside the largest class of that bucket, too, and leads there in some turn.
     """
     chunks = F.ceil(F.col("size") / CHUNK)
     width = BANDS * BAND_ROWS
@@ -179,11 +181,14 @@ def _agreeing(members: DataFrame, leaders: DataFrame) -> DataFrame:
             return [*(table[c].to_numpy() for c in ("row", "n", "label")), np.frombuffer(sketches, np.uint8).reshape(-1, width)]
 
         row, n, label, sketch = columns(members)
+        band = members["band"][0].as_py() if members.num_rows else 0
         found = [np.empty((0, 4), np.int64)]
         for one, size, name, own in zip(*columns(leaders), strict=True):
             near = (label != name) & (np.minimum(n, size) >= SIMILARITY * np.maximum(n, size))
             rows = np.flatnonzero(near)
-            rows = rows[(sketch[rows] == own).sum(axis=1) >= LEAST_AGREEMENT * width]
+            same = sketch[rows] == own
+            first_band = same.reshape(-1, BANDS, BAND_ROWS).all(axis=2).argmax(axis=1)
+            rows = rows[(same.sum(axis=1) >= LEAST_AGREEMENT * width) & (first_band == band)]
             less = row[rows] < one
             columns_ = [
                 np.where(less, row[rows], one), np.where(less, one, row[rows]),
@@ -194,7 +199,7 @@ def _agreeing(members: DataFrame, leaders: DataFrame) -> DataFrame:
 
     dealt = members.withColumn("chunk", F.pmod(F.xxhash64("row"), chunks))
     copied = leaders.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
-    columns = ["bucket", "chunk", "row", "n", "label", "sketch"]
+    columns = ["band", "bucket", "chunk", "row", "n", "label", "sketch"]
     return (
         dealt.select(columns).toDF(*columns).groupBy("bucket", "chunk")
         .cogroup(copied.select(columns).toDF(*columns).groupBy("bucket", "chunk"))
@@ -250,12 +255,12 @@ def near_classes(docs: DataFrame) -> DataFrame:
         "copies",
     )
     reps = signed.join(copies.select("rep"), F.col("row") == F.col("rep"), "left_semi")
-    banded = reps.select("row", "n", F.explode("bands").alias("bucket"))
+    banded = reps.select("row", "n", F.posexplode("bands").alias("band", "bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = staged(banded.join(sizes, "bucket"), "buckets")
     degree = members.groupBy("row").agg(F.sum("size").alias("degree"))
     members = staged(
-        members.join(degree, "row").select("bucket", "row", "n", "size", "degree", F.col("row").alias("label")),
+        members.join(degree, "row").select("band", "bucket", "row", "n", "size", "degree", F.col("row").alias("label")),
         "members",
     )
     texts = docs.select(F.col("doc_id"), _text_key(), "text")
@@ -280,7 +285,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
         free = free.join(led, ["bucket", "row"], "left_anti")
         best = Window.partitionBy("bucket").orderBy(F.desc("degree"), "row")
         leaders = free.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= at_once)
-        leaders = staged(leaders.select("bucket", "row", "n", "label", "size"), "leaders")
+        leaders = staged(leaders.select("band", "bucket", "row", "n", "label", "size"), "leaders")
         if leaders.isEmpty():
             break
         if at_once == 1:
@@ -314,7 +319,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
         members = members.join(renamed, "label", "left").withColumn(
             "label", F.coalesce("renamed", "label")
         )
-        members = staged(members.select("bucket", "row", "n", "size", "degree", "label"), "members")
+        members = staged(members.select("band", "bucket", "row", "n", "size", "degree", "label"), "members")
     labels = members.select(F.col("row").alias("rep"), "label").distinct()
     classed = staged(
         member.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "classes"
