@@ -304,6 +304,15 @@ def test_private_adds_forms_that_look_alike(spark):
     assert "PythonUDF" not in private.private_digest(df)._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("text, kind", [("+33 1 23 45 67 89", "phone"), ("378 282 246 310 005", "card")])
+def test_private_finds_base_forms_without_long_runs_of_digits(spark, text, kind):
+    df = spark.createDataFrame([(1, f"at {text}.")], "doc_id bigint, text string")
+    got, span = private.private_digest(df).first(), f"{kind}:3:{3 + len(text)}"
+    assert [f"{k}:{a}:{e}" for a, _, e, k in base_spans(f"at {text}.")] == [span]
+    assert got[f"n_{kind}"] == 1 and span in got.spans.split(",")
+    assert got.base_sha256 == hashlib.sha256(span.encode()).hexdigest()
+
+
 # ---- near-duplicates --------------------------------------------------------------------------
 
 

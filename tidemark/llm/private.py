@@ -26,8 +26,17 @@ WIDE = {
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20._-]?[0-9]{4}){2}[\x20._-]?[0-9]{1,4}(?![0-9])",
     "phone": r"(?<![0-9+])\+?(?:[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])",
 }
-#: What a text must have somewhere for a pattern to be tried.
-NEEDS = {"email": r"@|\(at\)|\[at\]", "ip": r"[0-9]", "card": r"[0-9]{4}", "phone": r"[0-9]{3}"}
+#: What any match of a pattern holds, so that a text must have it somewhere for the pattern to be tried.
+NEEDS = {
+    "base_email": r"@",
+    "base_ip": r"[0-9]",
+    "base_card": r"[0-9][\x20-]?[0-9]",
+    "base_phone": r"\+[0-9]",
+    "wide_email": r"@|\(at\)|\[at\]",
+    "wide_ip": r"[0-9]",
+    "wide_card": r"[0-9]{4}",
+    "wide_phone": r"[0-9]{3}",
+}
 FEATURES = ("kind", "digits", "marks", "left", "right", "word", "check")
 #: Share of right spans that a threshold must reach on the documents set apart for calibration.
 PRECISION = 0.95
@@ -97,14 +106,12 @@ def _spans(docs: DataFrame) -> DataFrame:
 
     The text between the matches gives their places, so that only one pass over it is needed.
     """
-    patterns = {f"base_{k}": (k, p) for k, p in BASE.items()} | {
-        f"wide_{k}": (k, p) for k, p in WIDE.items()
-    }
+    patterns = {f"base_{k}": p for k, p in BASE.items()} | {f"wide_{k}": p for k, p in WIDE.items()}
     none = F.array().cast("array<string>")
 
-    def found(kind: str, pattern: str) -> Column:
+    def found(name: str, pattern: str) -> Column:
         matches = F.regexp_extract_all("_text", F.lit(pattern), 0)
-        return F.when(F.col("_text").rlike(NEEDS[kind]), matches).otherwise(none)
+        return F.when(F.col("_text").rlike(NEEDS[name]), matches).otherwise(none)
 
     def between(name: str, pattern: str) -> Column:
         parts = F.transform(
@@ -131,8 +138,8 @@ def _spans(docs: DataFrame) -> DataFrame:
 
         return F.transform(name, build)
 
-    rows = docs.withColumns({n: found(k, p) for n, (k, p) in patterns.items()})
-    rows = rows.withColumns({f"{n}_b": between(n, p) for n, (_, p) in patterns.items()})
+    rows = docs.withColumns({n: found(n, p) for n, p in patterns.items()})
+    rows = rows.withColumns({f"{n}_b": between(n, p) for n, p in patterns.items()})
     rows = rows.withColumns({f"{n}_s": steps(n) for n in patterns})
     rows = rows.withColumns({f"{n}_h": _heads(f"{n}_s") for n in patterns})
     rows = rows.withColumns({f"{n}_e": _running_sum(f"{n}_s", f"{n}_h") for n in patterns})
