@@ -370,6 +370,20 @@ def test_near_duplicates_along_a_chain(spark):
     assert {r.doc_id: r.class_id for r in near.near_duplicates(df).collect()} == expected
 
 
+def test_a_pair_comes_from_the_first_band_that_it_really_shares(spark):
+    """The sketches agree in all bands, by chance in the first one, whose buckets differ."""
+    rows = [(x, [x, *range(100, 99 + near.BANDS)]) for x in (1, 2)]
+    schema = "band int, bucket bigint, row bigint, n bigint, label bigint, size bigint, sketch binary, bands array<bigint>"
+
+    def given(band):
+        sketch = bytes(near.BANDS * near.BAND_ROWS)
+        made = [(band, bands[band], row, 50, row, 2, sketch, bands) for row, bands in rows]
+        return near._agreeing(spark.createDataFrame(made, schema), spark.createDataFrame(made[1:], schema)).collect()
+
+    assert [tuple(r) for r in given(1)] == [(1, 2, 1, 2)]
+    assert given(2) == []
+
+
 def test_signatures_estimate_weighted_jaccard():
     pick = np.random.default_rng(0)
     element = pick.integers(0, 1 << 48, 200).astype(np.uint64)

@@ -168,9 +168,10 @@ def _overlap(pairs: DataFrame) -> DataFrame:
 def _agreeing(members: DataFrame, leaders: DataFrame) -> DataFrame:
     """(a, b, label_a, label_b) of members and leaders of a bucket whose signatures agree well enough.
 
-    Both have band, bucket, row, n, label, size and sketch. A bucket's members are compared in chunks. A
-    pair that shares several buckets is given by that of its first band only: of two documents of
+    Both have band, bucket, row, n, label, size, sketch and bands. A bucket's members are compared in chunks.
+    A pair that shares several buckets is given by that of its first band only: of two documents of
     different classes one is outside the largest class of that bucket, too, and leads there in some turn.
+    The first band is that of ``bands``, by which buckets are made; sketches may agree in more of them.
     """
     chunks = F.ceil(F.col("size") / CHUNK)
     width = BANDS * BAND_ROWS
@@ -178,17 +179,20 @@ def _agreeing(members: DataFrame, leaders: DataFrame) -> DataFrame:
     def compare(members: pa.Table, leaders: pa.Table) -> pa.Table:
         def columns(table: pa.Table) -> list[np.ndarray]:
             sketches = b"".join(table["sketch"].to_pylist())
-            return [*(table[c].to_numpy() for c in ("row", "n", "label")), np.frombuffer(sketches, np.uint8).reshape(-1, width)]
+            bands = np.concatenate([np.empty(0, np.int64), *(c.flatten().to_numpy() for c in table["bands"].chunks)])
+            return [
+                *(table[c].to_numpy() for c in ("row", "n", "label")),
+                np.frombuffer(sketches, np.uint8).reshape(-1, width), bands.reshape(-1, BANDS),
+            ]
 
-        row, n, label, sketch = columns(members)
+        row, n, label, sketch, bands = columns(members)
         band = members["band"][0].as_py() if members.num_rows else 0
         found = [np.empty((0, 4), np.int64)]
-        for one, size, name, own in zip(*columns(leaders), strict=True):
+        for one, size, name, own, own_bands in zip(*columns(leaders), strict=True):
             near = (label != name) & (np.minimum(n, size) >= SIMILARITY * np.maximum(n, size))
             rows = np.flatnonzero(near)
-            same = sketch[rows] == own
-            first_band = same.reshape(-1, BANDS, BAND_ROWS).all(axis=2).argmax(axis=1)
-            rows = rows[(same.sum(axis=1) >= LEAST_AGREEMENT * width) & (first_band == band)]
+            rows = rows[(sketch[rows] == own).sum(axis=1) >= LEAST_AGREEMENT * width]
+            rows = rows[(bands[rows] == own_bands).argmax(axis=1) == band]
             less = row[rows] < one
             columns_ = [
                 np.where(less, row[rows], one), np.where(less, one, row[rows]),
@@ -199,7 +203,7 @@ def _agreeing(members: DataFrame, leaders: DataFrame) -> DataFrame:
 
     dealt = members.withColumn("chunk", F.pmod(F.xxhash64("row"), chunks))
     copied = leaders.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
-    columns = ["band", "bucket", "chunk", "row", "n", "label", "sketch"]
+    columns = ["band", "bucket", "chunk", "row", "n", "label", "sketch", "bands"]
     return (
         dealt.select(columns).toDF(*columns).groupBy("bucket", "chunk")
         .cogroup(copied.select(columns).toDF(*columns).groupBy("bucket", "chunk"))
@@ -268,7 +272,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.text_key") == F.col("w.text_key"))
     texts = texts.alias("t").join(wanted.alias("w"), same).select("w.row", "t.text")
 
-    sketches = signed.join(members.select("row").distinct(), "row", "left_semi").select("row", "sketch")
+    sketches = signed.join(members.select("row").distinct(), "row", "left_semi").select("row", "sketch", "bands")
     tested = members.sparkSession.createDataFrame([], "a bigint, b bigint")
     led = members.sparkSession.createDataFrame([], "bucket bigint, row bigint")
     at_once = 1
@@ -303,7 +307,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
             led_buckets = leaders.select("bucket").distinct()
             pairs = _agreeing(
                 members.join(led_buckets, "bucket", "left_semi").join(sketches, "row"),
-                leaders.join(sketches.toDF("row", "sketch"), "row"),
+                leaders.join(sketches.toDF("row", "sketch", "bands"), "row"),
             )
         pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
