@@ -199,6 +199,24 @@ def test_scores(docs, plain, empty):
     assert scoring.score(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_scores_of_the_query_lower_only_ascii_capitals(spark, tmp_path):
+    own = ["The the THE \u00c4 \u00e4 Zoo"] * 5 + ["the zoo \u00c4B \u00c4b", "\u00c4 Unseen", None] * 5
+    spark.createDataFrame(list(enumerate(own)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op2_scores"](spark, str(tmp_path)).toPandas()
+    capitals = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    own = [words((t or "").translate(capitals)) for t in own]
+    train = [w for i, w in enumerate(own) if zlib.crc32(str(i).encode()) % 10]
+    assert 0 < len(train) < len(own)
+    counts = Counter(w for t in train for w in t)
+    n = sum(counts.values()) + len(train)
+    scale = n + 0.1 * (len(counts) + 2)
+    assert len(got) == len(own) and (got["train_tokens"] == n).all()
+    for r in got.itertuples():
+        base = sum(np.log10((counts[w] + 0.1) / scale) for w in own[r.doc_id]) + np.log10((len(train) + 0.1) / scale)
+        assert (r.n_tokens, r.n_known) == (len(own[r.doc_id]) + 1, sum(w in counts for w in own[r.doc_id]) + 1)
+        assert r.base_score == pytest.approx(base)
+
+
 def test_each_id_is_scored_once():
     begin, first, last = attention.windows(np.array([0, 1, 1, 17, 50]))
     ids = np.arange(50)

@@ -23,7 +23,7 @@ def op2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
     ranks = str(tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return scoring.score(_documents(spark, sf_dir), ranks, tokenizers.PATTERN)
+    return scoring.score(_documents(spark, sf_dir), ranks, tokenizers.PATTERN, lower=True)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
