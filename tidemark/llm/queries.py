@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import blocks, languages, mixture, near, neighbours, packing, private, repeats, rules, scoring
+from tidemark.llm import (
+    blocks,
+    languages,
+    mixture,
+    near,
+    neighbours,
+    packing,
+    periods,
+    private,
+    repeats,
+    rules,
+    scoring,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +73,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.languages(_documents(spark, sf_dir))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.runs_digest(periods.with_planted_periods(_documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixture": op1_mixture,
     "op2_scores": op2_scores,
@@ -72,4 +88,5 @@ QUERIES: dict[str, Query] = {
     "op8_repeats": op8_repeats,
     "op9_quality": op9_quality,
     "op10_language": op10_language,
+    "op13_periodic_runs": op13_periodic_runs,
 }
