@@ -18,6 +18,7 @@ from tidemark.llm import (
     repeats,
     rules,
     scoring,
+    simhash,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +74,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.languages(_documents(spark, sf_dir))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_fingerprints(_documents(spark, sf_dir))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.runs_digest(periods.with_planted_periods(_documents(spark, sf_dir)))
 
@@ -88,5 +93,6 @@ QUERIES: dict[str, Query] = {
     "op8_repeats": op8_repeats,
     "op9_quality": op9_quality,
     "op10_language": op10_language,
+    "op11_simhash": op11_simhash,
     "op13_periodic_runs": op13_periodic_runs,
 }
