@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import (
     blocks,
+    dialogue,
     languages,
     mixture,
     near,
@@ -78,6 +79,11 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_fingerprints(_documents(spark, sf_dir))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return dialogue.repaired(conversations, dialogue.damaged(conversations))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.runs_digest(periods.with_planted_periods(_documents(spark, sf_dir)))
 
@@ -94,5 +100,6 @@ QUERIES: dict[str, Query] = {
     "op9_quality": op9_quality,
     "op10_language": op10_language,
     "op11_simhash": op11_simhash,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_periodic_runs": op13_periodic_runs,
 }
