@@ -98,6 +98,31 @@ class Fixtures:
             _site().alias("site_name"),
         )
 
+    def hot_file_log(self) -> DataFrame:
+        """The file reads, about a ninth of them of one file: that of the least name."""
+        hot = self.files().agg(F.min("f_logical_file_name")).first()[0]
+        return self._records("R").select(
+            F.when(F.col("l_discount") == 0.07, F.lit(hot)).otherwise(_logged_name()).alias("file_lfn"),
+            (_ship_day() * 86400 + F.col("l_linenumber") * 3600).alias("end_time"),
+            F.lit("job").alias("app_info"),
+            _site().alias("site_name"),
+        )
+
+    def spoilt_lines(self) -> DataFrame:
+        """The file-read log as lines of JSON, some cut short, some without data, some with a word for a time."""
+        time = (_ship_day() * 86400 + F.col("l_linenumber") * 3600).alias("end_time")
+        rest = [_logged_name().alias("file_lfn"), F.lit("job").alias("app_info"), _site().alias("site_name")]
+        whole = F.to_json(F.struct(F.struct(time, *rest).alias("data")))
+        worded = F.to_json(F.struct(F.struct(F.lit("soon").alias("end_time"), *rest).alias("data")))
+        tax = F.round(F.col("l_tax") * 100)
+        line = (
+            F.when(tax == 3, F.expr("'{\"data\": {\"file_lfn\": \"' || l_orderkey"))
+            .when(tax == 4, F.lit('{"data": null}'))
+            .when(tax == 5, worded)
+            .otherwise(whole)
+        )
+        return self._records("R").select(line.alias("line"))
+
     def transfer_log(self) -> DataFrame:
         domain = (
             F.when(F.col("l_discount") == 0.05, F.lit("[::1]"))

@@ -302,6 +302,37 @@ _DOMAINS = _FILE_TALLY.format(
     where="l_returnflag = 'A' AND l_tax <> 0",
 )
 
+_HOT_FILE = _FILE_TALLY.format(
+    name=(
+        "CASE WHEN l_discount = CAST(0.07 AS DOUBLE) "
+        f"THEN (SELECT MIN(f_logical_file_name) FROM files) ELSE {LOGGED_NAME} END"
+    ),
+    dim="site_name",
+    keys=f"{SITE} AS site_name",
+    where="l_returnflag = 'R'",
+)
+
+_UNSPOILT = _FILE_TALLY.format(
+    name=LOGGED_NAME,
+    dim="site_name",
+    keys=f"{SITE} AS site_name",
+    where="l_returnflag = 'R' AND round(l_tax * 100) NOT IN (3, 4, 5)",
+)
+
+_BROKEN = """
+    SELECT CASE round(l_tax * 100) WHEN 4 THEN 'no data' ELSE 'malformed' END AS reason, COUNT(*) AS n,
+           COUNT(DISTINCT CASE round(l_tax * 100) WHEN 4 THEN 'null' WHEN 3 THEN CAST(l_orderkey AS VARCHAR)
+                 ELSE {name} || {site} END) AS texts
+    FROM lineitem WHERE l_returnflag = 'R' AND round(l_tax * 100) IN (3, 4, 5) GROUP BY 1""".format(
+    name=LOGGED_NAME, site=SITE
+)
+
+_LINE_TOTALS = """
+    SELECT COUNT(*) AS lines, CAST(SUM(CASE WHEN round(l_tax * 100) IN (3, 4, 5) THEN 1 ELSE 0 END) AS BIGINT) AS broken,
+           CAST(SUM(CASE WHEN round(l_tax * 100) NOT IN (3, 4, 5) AND l_discount <> CAST(0.1 AS DOUBLE) THEN 1 ELSE 0 END)
+                AS BIGINT) AS counted
+    FROM lineitem WHERE l_returnflag = 'R'"""
+
 _EVENTS = f"""
     SELECT j.d_dataset_id, strftime(day, '%Y%m%d') AS day, sum_evts, nrecs, site_name,
            1000 * sum_evts / CAST(1 + devts AS DOUBLE) AS fract_read
@@ -407,7 +438,15 @@ _CASES = {
     "daily_access_domains": _DOMAINS,
     "daily_access_events": _EVENTS,
     "daily_access_from_json": _DAILY_ACCESS,
+    "daily_access_hot_file": _HOT_FILE,
+    "daily_access_quarantined": _UNSPOILT,
+    "quarantined_lines": _BROKEN,
+    "log_line_totals": _LINE_TOTALS,
+    "dataset_totals_bucketed": _TOTALS,
+    "bucket_layout": """
+        SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS misplaced, CAST(0 AS BIGINT) AS unsorted FROM files""",
     "dataset_totals_from_csv": _TOTALS,
+    "replica_spans_folded": _SPANS,
     "replica_spans": _SPANS,
     "replica_spans_from_csv": _SPANS,
     "disk_replicas": _DISK,

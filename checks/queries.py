@@ -30,6 +30,12 @@ from tidemark.operators import (
     rolling,
 )
 from tidemark.plans.session import shared_dir
+from tidemark.sinks.bucketed import (
+    bucket_report,
+    check_buckets,
+    read_bucketed_table,
+    write_bucketed_table,
+)
 from tidemark.sinks.writers import (
     write_by_month,
     write_csv,
@@ -44,6 +50,7 @@ from tidemark.sources.readers import (
     read_csv,
     read_json,
     read_log,
+    read_log_lines,
     read_overrides,
     read_parquet,
     read_snapshots,
@@ -158,6 +165,83 @@ def daily_access_events_from_json(fx: Fixtures) -> DataFrame:
     )
 
 
+@query
+def daily_access_hot_file(fx: Fixtures) -> DataFrame:
+    """The tally of a log with one hot file, looked up apart from the others."""
+    path = shared_dir(fx.spark, "counts")
+    dims = ("site_name", "is_crab")
+    reads = access.clean_file_reads(fx.hot_file_log()).groupBy("file_lfn", "day", *dims)
+    write_parquet(reads.agg(F.count("*").alias("n")), path)
+    counted = read_parquet(fx.spark, path)
+    return _file_tally(access.located_access(counted, fx.files(), _totals(fx), dims, True), "site_name")
+
+
+def _spoilt_counts(fx: Fixtures) -> DataFrame:
+    """A log with broken lines, stored, and counted line by line into a stage."""
+    root = shared_dir(fx.spark, "spoilt")
+    fx.spoilt_lines().write.text(f"{root}/log", compression="gzip")
+    lines = read_log_lines(fx.spark, "cmssw", f"{root}/log/*.gz")
+    write_parquet(access.count_lines(lines, "cmssw"), f"{root}/counts")
+    return read_parquet(fx.spark, f"{root}/counts")
+
+
+@query
+def daily_access_quarantined(fx: Fixtures) -> DataFrame:
+    """The tally of the good lines of a log that has broken ones."""
+    tally = access.counted_tally(_spoilt_counts(fx), "cmssw", fx.files(), _totals(fx), True)
+    return _file_tally(tally, "site_name")
+
+
+@query
+def quarantined_lines(fx: Fixtures) -> DataFrame:
+    """The broken lines by what is wrong with them."""
+    broken = access.broken_lines(_spoilt_counts(fx))
+    return typed(
+        broken.groupBy("reason").agg(F.sum("n").alias("n"), F.count_distinct("line").alias("texts")),
+        reason="string",
+        n="bigint",
+        texts="bigint",
+    )
+
+
+@query
+def log_line_totals(fx: Fixtures) -> DataFrame:
+    """How many lines of a log with broken ones were seen, found broken, and counted."""
+    totals = access.line_totals(_spoilt_counts(fx))
+    return typed(totals, lines="bigint", broken="bigint", counted="bigint")
+
+
+def _bucketed_files(fx: Fixtures) -> str:
+    """The file catalogue bucketed twice at one path, with another number of buckets each time."""
+    path = shared_dir(fx.spark, "bucketed")
+    for buckets in (3, 8):
+        write_bucketed_table(fx.files(), path, "f_logical_file_name", buckets)
+    check_buckets(fx.spark, path)
+    return path
+
+
+@query
+def dataset_totals_bucketed(fx: Fixtures) -> DataFrame:
+    """Dataset totals from the catalogue as it was written last."""
+    files = read_bucketed_table(fx.spark, _bucketed_files(fx), "f_logical_file_name", 8)
+    return typed(
+        access.dataset_totals(files, fx.catalog()),
+        d_dataset="string",
+        d_dataset_id="bigint",
+        dsize="double",
+        nfiles="bigint",
+        devts="bigint",
+    )
+
+
+@query
+def bucket_layout(fx: Fixtures) -> DataFrame:
+    """Rows of the bucketed catalogue, those outside their bucket, and files beyond one a bucket."""
+    report = bucket_report(fx.spark, _bucketed_files(fx))
+    sums = report.agg(*[F.sum(name).alias(name) for name in ("n", "misplaced", "unsorted")])
+    return typed(sums, n="bigint", misplaced="bigint", unsorted="bigint")
+
+
 @query
 def dataset_totals_from_csv(fx: Fixtures) -> DataFrame:
     """Dataset totals from headerless catalogue dumps on disk."""
@@ -202,6 +286,21 @@ def replica_spans(fx: Fixtures) -> DataFrame:
     return _spans(replicas.replica_spans(fx.snapshots()))
 
 
+@query
+def replica_spans_folded(fx: Fixtures) -> DataFrame:
+    """Replica spans from a state into which one month of snapshots after another is merged."""
+    root = shared_dir(fx.spark, "state")
+    month = F.month(F.timestamp_seconds("now_sec")).alias("month")
+    fx.snapshots().select("*", month).write.partitionBy("month").parquet(f"{root}/snapshots")
+    snapshots = read_parquet(fx.spark, f"{root}/snapshots")
+    state = replicas.span_state(snapshots.where("month = 1"))
+    for later in range(2, 13):
+        new = replicas.span_state(snapshots.where(F.col("month") == later))
+        write_parquet(replicas.merged_span_states(state, new), f"{root}/state-{later}")
+        state = read_parquet(fx.spark, f"{root}/state-{later}")
+    return _spans(replicas.spans_of_state(state))
+
+
 @query
 def replica_spans_from_csv(fx: Fixtures) -> DataFrame:
     """Replica spans from one directory of headerless CSV per snapshot day."""

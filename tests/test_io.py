@@ -11,7 +11,6 @@ from tidemark.operators.quality import dataset_sizes_check, null_counts, window_
 from tidemark.plans.session import shared_dir
 from tidemark.sinks.writers import (
     stage_label,
-    write_bucketed,
     write_by_month,
     write_csv,
     write_json,
@@ -158,18 +157,6 @@ def test_write_sorted_parquet(spark, tmp_path):
         assert rows == sorted(rows)
 
 
-def test_write_bucketed(spark, tmp_path):
-    df = spark.range(100).selectExpr("id % 5 AS date", "id AS v")
-    write_bucketed(df, "bucketed_daily", 4, "date", f"{tmp_path}/b")
-    try:
-        table = spark.table("bucketed_daily")
-        assert as_set(table) == as_set(df)
-        plan = table.groupBy("date").count()._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange" not in plan
-    finally:
-        spark.sql("DROP TABLE bucketed_daily")
-
-
 def test_write_by_month_replaces_only_its_months(spark, rows, tmp_path):
     path = f"{tmp_path}/months"
     ddl = "day date, v int"

@@ -11,6 +11,7 @@ from conftest import as_set
 from tidemark.operators.replicas import catalog_replicas_daily
 from tidemark.plans import jobs
 from tidemark.plans.jobs import Stages
+from tidemark.sinks.bucketed import LayoutError
 from tidemark.sources.layouts import layout
 from tidemark.sources.readers import read_parquet
 
@@ -191,6 +192,58 @@ def test_unknown_source(spark, world):
         jobs.tally_access(spark, "other", str(world / "cmssw"), "2020/01/*", stages)
 
 
+def test_totals_again_in_one_session(spark, world):
+    """Each run replaces the staged catalogue; readers get the new one, whatever its buckets."""
+    root, catalog = f"{world}/again", str(world / "datasets")
+    for buckets in (4, 4, None):
+        stages = Stages(root, file_buckets=buckets)
+        jobs.tally_totals(spark, str(world / "files"), catalog, stages)
+        assert jobs.load_files(spark, stages).count() == 6
+        path = jobs.tally_access(spark, "cmssw", str(world / "cmssw"), "2020/01/*", stages)
+        assert read_parquet(spark, path).count() == 1
+    with pytest.raises(LayoutError, match="buckets"):
+        jobs.load_files(spark, Stages(root, file_buckets=64))
+    assert len(list((world / "again" / "files").glob("data-*"))) == 2
+
+
+def test_broken_lines_are_kept_and_counted(spark, world, tmp_path):
+    stages = Stages(f"{world}/broken", file_buckets=4)
+    jobs.tally_totals(spark, str(world / "files"), str(world / "datasets"), stages)
+    read = {"file_lfn": "/store/a0", "site_name": "S", "end_time": seconds(2)}
+    folder = tmp_path / "cmssw" / "2020" / "01" / "03"
+    folder.mkdir(parents=True)
+    good = [json.dumps({"data": {**read, "end_time": seconds(2) + i}}) for i in range(8)]
+    bad = ['{"data": {"file_lfn": "/store/a0", "end', "[1", '{"data": null}', "{}", '{"data": {"end_time": "x"}}']
+    with gzip.open(folder / "part.json.gz", "wt") as out:
+        out.writelines(line + "\n" for line in [*good, *bad, bad[0], "", "   "])
+    log_root = str(tmp_path / "cmssw")
+    with pytest.raises(ValueError, match="6 of 14 lines"):
+        jobs.tally_access(spark, "cmssw", log_root, "2020/01/*", stages, tolerated=0.4)
+    assert not (world / "broken" / "cmssw").exists()
+    path = jobs.tally_access(spark, "cmssw", log_root, "2020/01/*", stages, tolerated=0.5)
+    assert [r.nfiles_read for r in read_parquet(spark, path).collect()] == [8]
+    kept = read_parquet(spark, stages.path("quarantine", "cmssw", "2020/01"))
+    assert as_set(kept.select("line", "reason", "n")) == sorted(
+        (line, "no data" if line in ('{"data": null}', "{}") else "malformed", 1 + (line == bad[0])) for line in bad
+    )
+    assert all(r.file.endswith("part.json.gz") for r in kept.collect())
+
+
+def test_days_folded_into_spans(spark, world):
+    """Folding day by day, with a day folded again, equals one pass."""
+    whole, folded = Stages(f"{world}/whole"), Stages(f"{world}/folded")
+    snapshots = str(world / "snapshots")
+    jobs.tally_replicas(spark, snapshots, whole, "2020-01-01", "2020-01-10")
+    with pytest.raises(ValueError, match="no state"):
+        jobs.fold_replicas(spark, snapshots, folded, "2020-01-05")
+    jobs.tally_replicas(spark, snapshots, folded, "2020-01-01", "2020-01-04")
+    for day in ("2020-01-05", "2020-01-06", "2020-01-06", "2020-01-08", "2020-01-07", "2020-01-08", "2020-01-10"):
+        jobs.fold_replicas(spark, snapshots, folded, day)
+    for stage in ("replica_spans", "disk_replicas"):
+        ours, theirs = (as_set(read_parquet(spark, s.path(stage))) for s in (folded, whole))
+        assert ours == theirs and len(ours) > 0
+
+
 def test_catalog_replicas_job(spark, rows, world):
     replicas = rows(
         "RSE_ID string, BYTES bigint, NAME string, SCOPE string, CREATED_AT bigint",

@@ -7,35 +7,82 @@ side, so a hot key reaches the join as one row per day and site instead of one p
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.days import day_key, epoch_day
 from tidemark.functions.metrics import ratio
+from tidemark.operators.skew import join_spread
+
+
+@dataclass(frozen=True)
+class Log:
+    """Which records of a log count, their columns, and what is summed of those with equal ``keys``."""
+
+    wanted: Callable[[], Column]
+    columns: Callable[[], dict[str, Column]]
+    keys: tuple[str, ...]
+    sums: tuple[str, ...] = ()
+
+    def clean(self, log: DataFrame) -> DataFrame:
+        return log.where(self.wanted()).select(*[c.alias(name) for name, c in self.columns().items()])
+
+
+def _file_read_columns() -> dict[str, Column]:
+    crab = F.when(F.col("app_info").contains(":crab:"), F.lit("1")).otherwise(F.lit("0"))
+    day = epoch_day(F.col("end_time"), "s")
+    return {"file_lfn": F.col("file_lfn"), "day": day, "site_name": F.col("site_name"), "is_crab": crab}
+
+
+def _transfer_columns() -> dict[str, Column]:
+    domain = F.col("client_domain")
+    day = epoch_day(F.col("end_time"), "ms")
+    return {"file_lfn": F.col("file_lfn"), "day": day, "client_domain": F.when(~domain.endswith("]"), domain)}
+
+
+def _job_columns() -> dict[str, Column]:
+    onsite = F.when(F.col("InputData") == "Onsite", F.col("Site")).otherwise(F.lit("Remote"))
+    return {
+        "dataset_name": F.col("DESIRED_CMSDataset"),
+        "day": epoch_day(F.col("RecordTime"), "ms"),
+        "site_name": onsite,
+        **{name: F.col(name) for name in ("KEvents", "CMS_SubmissionTool", "InputData")},
+    }
+
+
+LOGS: dict[str, Log] = {
+    "cmssw": Log(
+        lambda: F.col("file_lfn").startswith("/store/"),
+        _file_read_columns,
+        ("file_lfn", "day", "site_name", "is_crab"),
+    ),
+    "xrootd": Log(
+        lambda: (F.col("vo") == "cms") & F.col("file_lfn").startswith("/store/"),
+        _transfer_columns,
+        ("file_lfn", "day", "client_domain"),
+    ),
+    "classads": Log(
+        lambda: F.col("DESIRED_CMSDataset").isNotNull() & (F.col("Status") == "Completed"),
+        _job_columns,
+        ("dataset_name", "day", "site_name"),
+        ("KEvents",),
+    ),
+}
 
 
 def clean_file_reads(log: DataFrame) -> DataFrame:
     """File reads: (file_lfn, day, site_name, is_crab) of files under ``/store/``; seconds."""
-    return log.where(F.col("file_lfn").startswith("/store/")).select(
-        "file_lfn",
-        epoch_day(F.col("end_time"), "s").alias("day"),
-        "site_name",
-        F.when(F.col("app_info").contains(":crab:"), F.lit("1"))
-        .otherwise(F.lit("0"))
-        .alias("is_crab"),
-    )
+    return LOGS["cmssw"].clean(log)
 
 
 def clean_transfers(log: DataFrame) -> DataFrame:
     """Transfers: (file_lfn, day, client_domain) of files under ``/store/`` read by ``vo`` cms;
     milliseconds. A bare address (``...]``) is no domain: NULL.
     """
-    domain = F.col("client_domain")
-    return log.where((F.col("vo") == "cms") & F.col("file_lfn").startswith("/store/")).select(
-        "file_lfn",
-        epoch_day(F.col("end_time"), "ms").alias("day"),
-        F.when(~domain.endswith("]"), domain).alias("client_domain"),
-    )
+    return LOGS["xrootd"].clean(log)
 
 
 def clean_jobs(log: DataFrame) -> DataFrame:
@@ -43,16 +90,48 @@ def clean_jobs(log: DataFrame) -> DataFrame:
     CMS_SubmissionTool, InputData); milliseconds. Input that is not known to be on site is
     ``Remote``.
     """
-    completed = F.col("DESIRED_CMSDataset").isNotNull() & (F.col("Status") == "Completed")
-    return log.where(completed).select(
-        F.col("DESIRED_CMSDataset").alias("dataset_name"),
-        epoch_day(F.col("RecordTime"), "ms").alias("day"),
-        F.when(F.col("InputData") == "Onsite", F.col("Site"))
-        .otherwise(F.lit("Remote"))
-        .alias("site_name"),
-        "KEvents",
-        "CMS_SubmissionTool",
-        "InputData",
+    return LOGS["classads"].clean(log)
+
+
+def count_lines(lines: DataFrame, source: str) -> DataFrame:
+    """Every line of a log of ``source``, counted in one grouping: what is read, and what is broken.
+
+    ``lines`` come from ``read_log_lines``. Rows are (wanted, reason, file, line, the log's keys, n and
+    sum_<name> of what it sums). Wanted records are counted by the keys, as ``clean_...`` gives them;
+    broken lines by file, line and reason; all others are one row. As each line is in one row,
+    ``line_totals`` are exact however often a task is repeated, and the log is parsed once.
+    """
+    log = LOGS[source]
+    broken = F.col("reason").isNotNull()
+    wanted = ~broken & F.coalesce(log.wanted(), F.lit(False))
+    columns = {name: c for name, c in log.columns().items() if name in log.keys + log.sums}
+    rows = lines.select("reason", "file", "line", "data.*").select(
+        wanted.alias("wanted"),
+        "reason",
+        *[F.when(broken, F.col(name)).alias(name) for name in ("file", "line")],
+        *[F.when(wanted, c).alias(name) for name, c in columns.items()],
+    )
+    sums = [F.sum(F.col(name).cast("double")).alias(f"sum_{name}") for name in log.sums]
+    return rows.groupBy("wanted", "reason", "file", "line", *log.keys).agg(F.count("*").alias("n"), *sums)
+
+
+def read_counts(counted: DataFrame, source: str) -> DataFrame:
+    """The wanted records of ``count_lines``: the log's keys, n and its sums."""
+    log = LOGS[source]
+    return counted.where("wanted").select(*log.keys, "n", *[f"sum_{name}" for name in log.sums])
+
+
+def broken_lines(counted: DataFrame) -> DataFrame:
+    """(file, line, reason, n): the broken lines of ``count_lines`` and how often each came."""
+    return counted.where(F.col("reason").isNotNull()).select("file", "line", "reason", "n")
+
+
+def line_totals(counted: DataFrame) -> DataFrame:
+    """(lines, broken, counted): how many lines ``count_lines`` saw, found broken, and counted."""
+    return counted.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("lines"),
+        F.coalesce(F.sum(F.when(F.col("reason").isNotNull(), F.col("n"))), F.lit(0)).alias("broken"),
+        F.coalesce(F.sum(F.when(F.col("wanted"), F.col("n"))), F.lit(0)).alias("counted"),
     )
 
 
@@ -78,10 +157,29 @@ def daily_file_access(
     result to catalogued datasets. A record counts its whole file, however much of it was read.
     """
     reads = log.groupBy("file_lfn", "day", *dims).agg(F.count("*").alias("n"))
-    located = reads.join(
-        files.select("f_logical_file_name", "f_dataset_id", "f_file_size"),
-        F.col("file_lfn") == F.col("f_logical_file_name"),
+    return located_access(reads, files, totals, dims)
+
+
+def located_access(
+    reads: DataFrame,
+    files: DataFrame,
+    totals: DataFrame,
+    dims: tuple[str, ...] = ("site_name",),
+    spread: bool = False,
+) -> DataFrame:
+    """``daily_file_access`` of records that are counted already: (file_lfn, day, ``dims``, n).
+
+    With ``spread``, files that have more than a thousandth of the counts are looked up apart, so
+    that a hot file does not fill one bucket of the catalogue; the counts are read three times then
+    and should be a stage.
+    """
+    owners = files.select(
+        F.col("f_logical_file_name").alias("file_lfn"), "f_dataset_id", "f_file_size"
     )
+    if spread:
+        located = join_spread(reads, owners, ["file_lfn"])
+    else:
+        located = reads.join(owners, "file_lfn")
     per_day = located.groupBy("day", "f_dataset_id", *dims).agg(
         F.sum(F.col("f_file_size") * F.col("n")).alias("size_read"),
         F.sum("n").alias("nfiles_read"),
@@ -123,6 +221,13 @@ def daily_event_access(jobs: DataFrame, totals: DataFrame) -> DataFrame:
     per_day = jobs.groupBy("dataset_name", "day", "site_name").agg(
         F.sum(F.col("KEvents").cast("double")).alias("sum_evts"), F.count("*").alias("nrecs")
     )
+    return named_events(per_day, totals)
+
+
+def named_events(per_day: DataFrame, totals: DataFrame) -> DataFrame:
+    """``daily_event_access`` of records that are counted already: (dataset_name, day, site_name,
+    sum_evts, nrecs).
+    """
     named = totals.select("d_dataset", "d_dataset_id", "devts")
     return per_day.join(named, F.col("dataset_name") == F.col("d_dataset")).select(
         "d_dataset_id",
@@ -137,3 +242,15 @@ def daily_event_access(jobs: DataFrame, totals: DataFrame) -> DataFrame:
 def job_tally(log: DataFrame, totals: DataFrame) -> DataFrame:
     """Stage output of the job log, per site."""
     return daily_event_access(clean_jobs(log), totals)
+
+
+def counted_tally(
+    counted: DataFrame, source: str, files: DataFrame, totals: DataFrame, spread: bool = False
+) -> DataFrame:
+    """Stage output of one source from its ``count_lines``; ``files`` matter to the file logs only."""
+    reads = read_counts(counted, source)
+    if source == "classads":
+        named = {"sum_KEvents": "sum_evts", "n": "nrecs"}
+        return named_events(reads.withColumnsRenamed(named), totals)
+    tally = located_access(reads, files, totals, LOGS[source].keys[2:], spread)
+    return tally.drop("is_crab")

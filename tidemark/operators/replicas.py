@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,35 +13,57 @@ from tidemark.functions.days import as_date, date_literal, day_key, epoch_day
 from tidemark.functions.names import tally_day_of_path, tape_campaign, tier
 
 
-def replica_spans(snapshots: DataFrame) -> DataFrame:
-    """First and last snapshot day and mean size of every block replica, summed per dataset.
+#: What makes a block replica; a state has one row for each.
+SPAN_KEYS = (
+    "block_id",
+    "replica_time_create",
+    "node_name",
+    "br_user_group_id",
+    "dataset_name",
+    "dataset_id",
+)
+
 
-    Days on which a replica was missing between its first and last snapshot are ignored. Snapshots
-    collapse per block, on the map side as far as a task reads several days.
+def span_state(snapshots: DataFrame) -> DataFrame:
+    """First and last second, and sum and number of sizes, of every block replica in ``snapshots``.
+
+    States of different days are put together by ``merged_span_states``, without reading the
+    snapshots again. Snapshots collapse on the map side as far as a task reads several days.
     """
-    blocks = snapshots.groupBy(
-        "block_id",
-        "replica_time_create",
-        "node_name",
-        "br_user_group_id",
-        "dataset_name",
-        "dataset_id",
-    ).agg(
-        epoch_day(F.min("now_sec")).alias("first_day"),
-        epoch_day(F.max("now_sec")).alias("last_day"),
-        F.avg("block_bytes").alias("block_size"),
+    return snapshots.groupBy(*SPAN_KEYS).agg(
+        F.min("now_sec").alias("first_sec"),
+        F.max("now_sec").alias("last_sec"),
+        F.sum(F.col("block_bytes").cast("double")).alias("bytes_sum"),
+        F.count("block_bytes").alias("bytes_count"),
+    )
+
+
+def merged_span_states(*states: DataFrame) -> DataFrame:
+    """One state of several, which must not share a snapshot."""
+    union = reduce(DataFrame.unionByName, states)
+    return union.groupBy(*SPAN_KEYS).agg(
+        F.min("first_sec").alias("first_sec"),
+        F.max("last_sec").alias("last_sec"),
+        F.sum("bytes_sum").alias("bytes_sum"),
+        F.sum("bytes_count").alias("bytes_count"),
     )
-    keys = [
+
+
+def spans_of_state(state: DataFrame) -> DataFrame:
+    """First and last snapshot day and mean size of every block replica, summed per dataset."""
+    mean = F.when(F.col("bytes_count") > 0, F.col("bytes_sum") / F.col("bytes_count"))
+    blocks = state.select(
         "dataset_name",
         "dataset_id",
         epoch_day(F.col("replica_time_create")).alias("create_day"),
         "node_name",
-        "first_day",
-        "last_day",
+        epoch_day(F.col("first_sec")).alias("first_day"),
+        epoch_day(F.col("last_sec")).alias("last_day"),
         "br_user_group_id",
-    ]
+        mean.alias("block_size"),
+    )
     return (
-        blocks.groupBy(*keys)
+        blocks.groupBy(*[name for name in blocks.columns if name != "block_size"])
         .agg(F.sum("block_size").alias("rep_size"))
         .select(
             "dataset_name",
@@ -55,6 +78,14 @@ def replica_spans(snapshots: DataFrame) -> DataFrame:
     )
 
 
+def replica_spans(snapshots: DataFrame) -> DataFrame:
+    """First and last snapshot day and mean size of every block replica, summed per dataset.
+
+    Days on which a replica was missing between its first and last snapshot are ignored.
+    """
+    return spans_of_state(span_state(snapshots))
+
+
 def is_disk_node(node: Column) -> Column:
     """Disk at a tier 0 to 2 site; NULL for a NULL node, which a filter drops."""
     elsewhere = node.startswith("T3") | node.startswith("X")

@@ -6,20 +6,20 @@ nothing but files, so each can be rerun alone and a lost executor costs only its
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.functions.metrics import ROLLING_WINDOWS, WINDOWS
 from tidemark.functions.names import input_campaign
 from tidemark.operators.access import (
+    broken_lines,
+    count_lines,
+    counted_tally,
     dataset_totals,
-    file_read_tally,
-    job_tally,
-    transfer_tally,
+    line_totals,
 )
 from tidemark.operators.histogram import (
     histogram_arrays,
@@ -39,13 +39,22 @@ from tidemark.operators.reads import merge_reads, read_windows
 from tidemark.operators.replicas import (
     catalog_replicas_daily,
     disk_replicas,
-    replica_spans,
+    merged_span_states,
+    span_state,
+    spans_of_state,
     tape_usage,
 )
 from tidemark.operators.rolling import rolling_popularity
+from tidemark.sinks.bucketed import (
+    buckets_for,
+    check_buckets,
+    expire,
+    input_bytes,
+    read_bucketed_table,
+    write_bucketed_table,
+)
 from tidemark.sinks.writers import (
     stage_label,
-    write_bucketed,
     write_csv,
     write_json,
     write_parquet,
@@ -53,11 +62,10 @@ from tidemark.sinks.writers import (
     write_sorted_parquet,
 )
 from tidemark.sources.readers import (
-    read_bucketed,
     read_catalog_replicas,
     read_csv,
     read_json,
-    read_log,
+    read_log_lines,
     read_overrides,
     read_parquet,
     read_snapshots,
@@ -72,16 +80,19 @@ FILE_COLUMNS = (
 )
 
 
+FILE_KEY = "f_logical_file_name"
+
+
 @dataclass(frozen=True)
 class Stages:
     """Directories of the stages and reports under ``root``.
 
-    ``file_buckets`` is the number of buckets of the file catalogue, by file name. It has to be the
-    same for all jobs over one ``root``.
+    ``file_buckets`` is the number of buckets of the file catalogue, by file name; by default it
+    follows the size of the dump. Jobs take it from the stage, and raise where another is asked for.
     """
 
     root: str
-    file_buckets: int = 512
+    file_buckets: int | None = None
 
     def path(self, *parts: str) -> str:
         return "/".join([self.root.rstrip("/"), *[p for p in parts if p]])
@@ -96,22 +107,25 @@ def load_catalog(spark: SparkSession, path: str, header: bool = False) -> DataFr
 def tally_totals(spark: SparkSession, files_path: str, catalog_path: str, stages: Stages) -> None:
     """The file catalogue by file name, and dataset totals, once for all sources and months.
 
-    The dump is parsed and shuffled here only; joins on the file name then take it as it lies.
+    The dump is parsed and shuffled here only; joins on the file name then take it as it lies. Each
+    run is a new write: jobs that still read the one before go on, older ones are removed.
     """
     types = dict(column.split(" ") for column in FILE_COLUMNS.split(", "))
     columns = [f"CAST({name} AS {kind}) AS {name}" for name, kind in types.items()]
     files = read_csv(spark, files_path, "files").selectExpr(*columns)
-    path = stages.path("files")
-    key = "f_logical_file_name"
-    write_bucketed(files, f"written_{zlib.crc32(path.encode()):08x}", stages.file_buckets, key, path)
+    buckets = stages.file_buckets or buckets_for(input_bytes(spark, files_path))
+    write_bucketed_table(files, stages.path("files"), FILE_KEY, buckets)
+    check_buckets(spark, stages.path("files"))
     totals = dataset_totals(load_files(spark, stages), load_catalog(spark, catalog_path))
     write_parquet(totals, stages.path("dataset_totals"))
+    expire(spark, stages.path("files"))
 
 
 def load_files(spark: SparkSession, stages: Stages) -> DataFrame:
     """The file catalogue, bucketed and sorted by file name."""
-    path = stages.path("files")
-    return read_bucketed(spark, path, FILE_COLUMNS, stages.file_buckets, "f_logical_file_name")
+    return read_bucketed_table(
+        spark, stages.path("files"), FILE_KEY, stages.file_buckets, FILE_COLUMNS
+    )
 
 
 def tally_access(
@@ -121,21 +135,30 @@ def tally_access(
     dates: str,
     stages: Stages,
     log_glob: str = "*.json.gz",
+    tolerated: float = 0.01,
 ) -> str:
-    """Daily access of one source for the log directories ``log_root/dates``."""
+    """Daily access of one source for the log directories ``log_root/dates``.
+
+    The log is parsed once, into counts. Broken lines are kept under ``quarantine``; where they are
+    more than the share ``tolerated`` of all lines, the job fails before it replaces the tally.
+    """
     if source not in SOURCES:
         raise ValueError(f"unknown access source {source!r}, not one of {SOURCES}")
+    label = stage_label(dates)
+    lines = read_log_lines(spark, source, f"{log_root}/{dates}/{log_glob}")
+    counts = stages.path("counts", source, label)
+    write_parquet(count_lines(lines, source), counts)
+    counted = read_parquet(spark, counts)
+    write_parquet(broken_lines(counted), stages.path("quarantine", source, label))
+    total, broken, _ = line_totals(counted).first()
+    if broken > tolerated * total:
+        raise ValueError(
+            f"{broken} of {total} lines of {source} {label} are broken, kept in "
+            f"{stages.path('quarantine', source, label)}; {tolerated:.2%} are tolerated"
+        )
     totals = read_parquet(spark, stages.path("dataset_totals"))
-    files = load_files(spark, stages)
-    log = read_log(spark, source, f"{log_root}/{dates}/{log_glob}")
-    if source == "cmssw":
-        tally = file_read_tally(log, files, totals)
-    elif source == "xrootd":
-        tally = transfer_tally(log, files, totals)
-    else:
-        tally = job_tally(log, totals)
-    path = stages.path(source, stage_label(dates))
-    write_parquet(tally, path)
+    path = stages.path(source, label)
+    write_parquet(counted_tally(counted, source, load_files(spark, stages), totals, True), path)
     return path
 
 
@@ -146,13 +169,56 @@ def tally_replicas(
     start: str = "2019-01-01",
     end: str = "2020-12-31",
 ) -> None:
-    """Replica spans from the daily snapshots, and their disk subset."""
-    write_parquet(
-        replica_spans(read_snapshots(spark, snapshot_root, start, end)),
-        stages.path("replica_spans"),
-    )
-    spans = read_parquet(spark, stages.path("replica_spans"))
-    write_parquet(disk_replicas(spans), stages.path("disk_replicas"))
+    """Replica spans from the daily snapshots, and their disk subset.
+
+    The state of the spans is kept, so that ``fold_replicas`` adds later days without reading these.
+    """
+    state = span_state(read_snapshots(spark, snapshot_root, start, end))
+    _write_state(spark, state, stages, date.fromisoformat(end))
+
+
+def fold_replicas(spark: SparkSession, snapshot_root: str, stages: Stages, day: str | date) -> None:
+    """Snapshots of the days after the newest state up to ``day``, added to the spans and their disk subset.
+
+    A rerun for the same day starts from the state before it and gives the same. Snapshots that
+    come late, for days that a state already has, need ``tally_replicas``.
+    """
+    last = date.fromisoformat(day) if isinstance(day, str) else day
+    known = [d for d in _state_days(spark, stages) if d < last]
+    if not known:
+        raise ValueError(f"no state of spans before {last}; run tally_replicas first")
+    old = read_parquet(spark, _state_path(stages, max(known)))
+    since = (max(known) + timedelta(days=1)).isoformat()
+    new = span_state(read_snapshots(spark, snapshot_root, since, last.isoformat()))
+    _write_state(spark, merged_span_states(old, new), stages, last)
+
+
+def _state_path(stages: Stages, through: date) -> str:
+    return stages.path("span_state", f"through={through.isoformat()}")
+
+
+def _state_days(spark: SparkSession, stages: Stages) -> list[date]:
+    """Days up to which a state is complete, as the names of its directories tell."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(stages.path("span_state"))
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    folders = [status.getPath() for status in files.listStatus(root)]
+    done = "_SUCCESS"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return [
+        date.fromisoformat(folder.getName().removeprefix("through="))
+        for folder in folders
+        if folder.getName().startswith("through=") and files.exists(path(folder, done))
+    ]
+
+
+def _write_state(spark: SparkSession, state: DataFrame, stages: Stages, through: date) -> None:
+    path = _state_path(stages, through)
+    write_parquet(state, path)
+    spans = stages.path("replica_spans")
+    write_parquet(spans_of_state(read_parquet(spark, path)), spans)
+    write_parquet(disk_replicas(read_parquet(spark, spans)), stages.path("disk_replicas"))
 
 
 def tally_occupancy(

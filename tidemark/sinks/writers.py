@@ -38,22 +38,6 @@ def write_sorted_parquet(df: DataFrame, path: str, *keys: str) -> None:
     write_parquet(ordered, path)
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int, key: str, path: str) -> None:
-    """Catalog table bucketed and sorted by ``key``: later joins and groupings on it do not shuffle.
-
-    Rows are brought to their bucket first, so that each bucket is one file.
-    """
-    (
-        df.repartition(buckets, key)
-        .write.mode("overwrite")
-        .option("path", path)
-        .option("compression", "snappy")
-        .bucketBy(buckets, key)
-        .sortBy(key)
-        .saveAsTable(table)
-    )
-
-
 def stage_label(dates: str, separator: str = "/") -> str:
     """Directory for a date pattern: its parts without wildcards (``2020/01/*`` -> ``2020/01``).
 

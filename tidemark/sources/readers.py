@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +19,23 @@ def read_log(spark: SparkSession, source: str, path: str) -> DataFrame:
     return spark.read.schema(log_layout(source)).json(path).select("data.*")
 
 
+def read_log_lines(spark: SparkSession, source: str, path: str) -> DataFrame:
+    """(file, line, data, reason) of every line of a log that is not blank.
+
+    ``reason`` says what is wrong with a line, and is null for a record: ``malformed`` where it is no
+    JSON object or a field has another type than the source's, ``no data`` where the wrapper is empty.
+    """
+    schema = T.StructType([*log_layout(source).fields, T.StructField("_malformed", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"}
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")
+    )
+    parsed = lines.where("line rlike '[^ \\t\\r]'").withColumn("record", F.from_json("line", schema, options))
+    malformed = F.col("record").isNull() | F.col("record._malformed").isNotNull()
+    reason = F.when(malformed, "malformed").when(F.col("record.data").isNull(), "no data")
+    return parsed.select("file", "line", F.col("record.data").alias("data"), reason.alias("reason"))
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -43,21 +58,6 @@ def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
-def read_bucketed(
-    spark: SparkSession, path: str, schema: str, buckets: int, key: str
-) -> DataFrame:
-    """Parquet that ``write_bucketed`` left at ``path``, with its buckets known again.
-
-    A session that did not write it has no table for it, and without one would shuffle it anew.
-    """
-    table = f"bucketed_{zlib.crc32(path.encode()):08x}"
-    spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {table} ({schema}) USING parquet "
-        f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'"
-    )
-    return spark.table(table)
-
-
 def read_json(
     spark: SparkSession, path: str, schema: str | T.StructType | None = None
 ) -> DataFrame:
