@@ -244,7 +244,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     and go on as one. In a band, documents with equal signature rows form a bucket. A bucket compares
     its best connected document with all others. As long as its documents are not all connected, some
     of those outside its largest class then lead in turn, each compared with all that are not in its
-    own class; eight times as many in each turn. So no two documents of a bucket stay apart that were
+    own class; LEADERS_GROW times as many in each turn. So no two documents of a bucket stay apart that were
     neither compared nor connected, and a large group of copies is done after its first turn.
 
     Documents without words are one class; a null doc_id counts as less than any other; repeated rows
@@ -270,7 +270,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id"), _text_key(), "text")
     wanted = member.join(members.select("row").distinct(), "row", "left_semi")
     same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.text_key") == F.col("w.text_key"))
-    texts = texts.alias("t").join(wanted.alias("w"), same).select("w.row", "t.text")
+    # repeated rows have one representative and so one text, however often it comes
+    texts = texts.alias("t").join(wanted.alias("w"), same).groupBy("w.row").agg(F.first("t.text").alias("text"))
 
     sketches = signed.join(members.select("row").distinct(), "row", "left_semi").select("row", "sketch", "bands")
     tested = members.sparkSession.createDataFrame([], "a bigint, b bigint")
@@ -349,6 +350,5 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     same = F.col("r.row.doc_id").eqNullSafe(F.col("s.doc_id")) & (
         F.col("r.text_key") == F.col("s.text_key")
     )
-    nth = F.row_number().over(Window.partitionBy("r.row.doc_id", "r.text_key").orderBy(F.lit(0)))
-    kept = rows.join(stay.select("doc_id", "text_key"), same).withColumn("nth", nth)
-    return kept.filter("nth = 1").select("r.row.*")
+    kept = rows.join(stay.select("doc_id", "text_key"), same)
+    return kept.groupBy("r.row.doc_id", "r.text_key").agg(F.first("r.row").alias("one")).select("one.*")
