@@ -7,9 +7,9 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.llm.shared import staged
+from tidemark.operators.skew import join_spread
 
 BLOCK = 4096
 
@@ -114,18 +114,20 @@ def exact_copies(docs: DataFrame, **options) -> DataFrame:
     of one doc_id and text one stays. An empty table gives an empty one.
     """
     rows, found = identities(docs, **options)
-    rows, found = rows.alias("d"), found.alias("i")
+    rows, found = rows.groupBy("row_id", "sha").agg(F.count("*").alias("times")).alias("d"), found.alias("i")
     same = F.col("d.row_id").eqNullSafe(F.col("i.row_id")) & (F.col("d.sha") == F.col("i.sha"))
-    nth = F.row_number().over(Window.partitionBy("row_id", "sha").orderBy(F.lit(0)))
-    rows = staged(
-        rows.join(found, same).select("d.row_id", "d.sha", "n", "name").withColumn("nth", nth),
-        "identities",
-    )
+    rows = staged(rows.join(found, same).select("d.row_id", "d.sha", "times", "n", "name"), "identities")
     groups = rows.groupBy("n", "name").agg(
-        F.max("row_id").alias("keep_id"), F.count("*").alias("group_size")
+        F.max("row_id").alias("keep_id"), F.sum("times").alias("group_size")
     )
-    kept = F.col("row_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
-    return rows.join(groups, ["n", "name"]).select(
+    # a document that came several times is given so often, a thousand rows at a time
+    some, last = F.lit(1000).cast("long"), F.col("times") - 1
+    every = join_spread(rows, groups, ["n", "name"])
+    every = every.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / some))))
+    nth = F.sequence(F.col("lot") * some, F.least(last, F.col("lot") * some + some - 1))
+    every = every.withColumn("nth", F.explode(nth))
+    kept = F.col("row_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 0)
+    return every.select(
         F.col("row_id").alias("doc_id"),
         "keep_id",
         "group_size",
@@ -140,7 +142,5 @@ def without_copies(docs: DataFrame, **options) -> DataFrame:
     stay = stay.select(F.col("doc_id").alias("row_id"), F.col("text_sha256").alias("sha")).alias("s")
     rows = docs.select(F.struct("*").alias("row"), F.sha2(normalised(F.col("text")), 256).alias("sha"))
     same = F.col("row.doc_id").eqNullSafe(F.col("s.row_id")) & (F.col("r.sha") == F.col("s.sha"))
-    nth = F.row_number().over(Window.partitionBy(F.col("row.doc_id"), "r.sha").orderBy(F.lit(0)))
-    return (
-        rows.alias("r").join(stay, same).withColumn("nth", nth).filter("nth = 1").select("row.*")
-    )
+    kept = rows.alias("r").join(stay, same).groupBy("r.row.doc_id", "r.sha").agg(F.first("r.row").alias("one"))
+    return kept.select("one.*")
