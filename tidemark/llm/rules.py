@@ -207,7 +207,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     """An ensemble learned from labelled documents that are not held out.
 
     At most ``train_rows`` labels are used, those whose doc_id has the least hash. Null labels are
-    left out; a doc_id labelled more than once counts as its lowest label.
+    left out; a doc_id labelled more than once counts as its lowest label, and one with several rows
+    as that of the least statistics, so that no more rows than labels are fetched.
     """
     some = (
         labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL")
@@ -218,9 +219,9 @@ def learn_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
         .limit(train_rows)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("label_id"))
-    sample = rows.select(
-        "label_id", "label", *[c.alias(n) for n, c in text_statistics(F.col("text")).items()]
-    ).toPandas()
+    statistics = F.struct(*[c.alias(n) for n, c in text_statistics(F.col("text")).items()])
+    one = rows.groupBy("label_id", "label").agg(F.min(statistics).alias("least"))
+    sample = one.select("label_id", "label", "least.*").toPandas()
     sample = sample.sort_values("label_id", ignore_index=True)
     return fit_rules(sample[list(STATISTICS)].to_numpy(np.float64), sample["label"].to_numpy(np.float64))
 
