@@ -191,16 +191,17 @@ def _slot_counts(docs: DataFrame) -> DataFrame:
 def learn_languages(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> CodeModel | None:
     """A model from documents that are not held out and have a text and a language; None without any.
 
-    Of each language about ``train_docs`` documents are drawn by a hash of their id.
+    Of each language about ``train_docs`` documents are drawn by a hash of their id. Rows of one id and
+    language count once, with the least text of theirs, so that no more rows are fetched.
     """
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").filter(~held_out(F.col("doc_id"), 5))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("size"))
+    different = staged(known.select("doc_id", "lang").distinct(), "known")
+    sizes = different.groupBy("lang").agg(F.count("*").alias("size"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    ids = known.select("doc_id", "lang").join(sizes, "lang")
-    ids = staged(
-        ids.filter(draw < F.lit(float(train_docs)) / F.col("size")).select("doc_id").distinct(), "drawn"
-    )
-    some = known.join(ids, "doc_id", "left_semi").select("lang", "text")
+    ids = different.join(sizes, "lang").filter(draw < F.lit(float(train_docs)) / F.col("size"))
+    ids = staged(ids.select("doc_id", "lang"), "drawn")
+    some = known.join(ids, ["doc_id", "lang"], "left_semi")
+    some = some.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
     rows = _slot_counts(some).toArrow().to_pydict()
     order = sorted(range(len(rows["lang"])), key=lambda i: (rows["lang"][i], rows["slots"][i], rows["counts"][i]))
     order = [i for i in order if rows["slots"][i]]
