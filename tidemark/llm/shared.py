@@ -2,37 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.session import shared_dir
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch(spark: SparkSession, purpose: str) -> str:
-    """A new path in the folder that the driver and all executors share.
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the folder that all executors share and read back: its lineage ends there.
 
-    That folder is ``spark.checkpoint.dir``. Where it is unset, a session that runs in one process
-    on this machine gets a temporary folder; any other raises, as its executors share none.
+    That folder is ``spark.checkpoint.dir``; without it this raises. What is written stays, as the result is
+    read from it: whoever owns the folder empties it after the job.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.gettempdir()
-    return f"{root.rstrip('/')}/tidemark-{purpose}-{uuid4().hex}"
-
-
-def staged(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage ends there."""
-    path = scratch(df.sparkSession, purpose)
+    path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
