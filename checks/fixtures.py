@@ -263,6 +263,25 @@ class Fixtures:
     def window_sizes(self, end_date: str = END_DATE) -> DataFrame:
         return replica_window_sizes(self.disk(), self.catalog(), end_date)
 
+    def periods(self) -> DataFrame:
+        """A period of up to ten weeks for each supplier; some end before they begin."""
+        first = F.date_add(F.lit(SPINE[0]).cast("date"), (F.col("s_suppkey") * 17 % 2400).cast("int"))
+        length = (F.col("s_nationkey") * 3 - 3).cast("int")
+        return self.table("supplier").select(
+            F.col("s_suppkey").alias("period_id"),
+            first.alias("first_day"),
+            F.date_add(first, length).alias("last_day"),
+        )
+
+    def faulty_catalog(self) -> DataFrame:
+        """The catalogue, the names of one brand twice and the ids of some small parts NULL."""
+        part = self.table("part")
+        named = self.catalog().join(part, F.col("d_dataset_id") == F.col("p_partkey"))
+        unnumbered = F.when(F.col("p_size") != 7, F.col("d_dataset_id"))
+        rows = named.select(unnumbered.alias("d_dataset_id"), "d_dataset")
+        again = named.where(F.col("p_brand") == OVERRIDDEN_BRAND)
+        return rows.unionByName(again.select((-F.col("d_dataset_id")).alias("d_dataset_id"), "d_dataset"))
+
     # overrides, popularity
 
     def override_list(self) -> DataFrame:

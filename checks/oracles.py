@@ -432,6 +432,47 @@ STEPS |= {
 
 _TOTALS = "SELECT d_dataset, d_dataset_id, dsize, nfiles, devts FROM totals"
 
+_PERIODS = """
+    (SELECT s_suppkey AS period_id, first_day, first_day + CAST(s_nationkey * 3 - 3 AS INT) AS last_day
+     FROM (SELECT *, DATE '1995-01-01' + CAST(s_suppkey * 17 % 2400 AS INT) AS first_day FROM supplier))"""
+
+_ALIVE = f"""
+    SELECT period_id, COUNT(*) AS replicas, COUNT(DISTINCT dataset_name) AS datasets,
+           CAST(SUM(rep_size) AS DOUBLE) AS rep_size,
+           CAST(SUM(rep_size * (LEAST(max_time, last_day) - GREATEST(min_time, first_day) + 1)) AS DOUBLE) AS byte_days
+    FROM {_PERIODS} JOIN disk ON min_time <= last_day AND max_time >= first_day
+    WHERE first_day <= last_day AND min_time <= max_time GROUP BY period_id"""
+
+_OVERLAPPING = """
+    SELECT d.node_name, r.node_name AS other_node_name, COUNT(*) AS n
+    FROM disk d JOIN replicas r ON d.dataset_name = r.dataset_name
+     AND d.min_time <= r.max_time AND r.min_time <= d.max_time
+    WHERE r.node_name LIKE 'T3%' OR r.node_name LIKE 'X%' OR r.node_name LIKE '%Buffer'
+       OR r.node_name LIKE '%MSS' OR r.node_name LIKE '%Export'
+    GROUP BY 1, 2"""
+
+_FAULTY = """
+    (SELECT CASE WHEN p_size <> 7 THEN d_dataset_id END AS d_dataset_id, d_dataset
+     FROM catalog JOIN part ON d_dataset_id = p_partkey
+     UNION ALL
+     SELECT -d_dataset_id, d_dataset FROM catalog JOIN part ON d_dataset_id = p_partkey
+     WHERE p_brand = 'Brand#11')"""
+
+_VIOLATIONS = f"""
+    SELECT 'dataset names' AS name, 'doubled' AS kind, d_dataset AS key, COUNT(*) AS n
+    FROM {_FAULTY} GROUP BY d_dataset HAVING COUNT(*) > 1
+    UNION ALL
+    SELECT 'dataset ids', 'null', 'NULL', COUNT(*) FROM {_FAULTY} WHERE d_dataset_id IS NULL HAVING COUNT(*) > 0
+    UNION ALL
+    SELECT 'owners of files', 'missing', CAST(f_dataset_id AS VARCHAR), COUNT(*) FROM files
+    WHERE f_dataset_id NOT IN (SELECT d_dataset_id FROM {_FAULTY} WHERE d_dataset_id IS NOT NULL)
+    GROUP BY f_dataset_id"""
+
+_SKETCHED = """
+    SELECT CAST(month(ts) AS BIGINT) AS month, COUNT(*) AS n, COUNT(DISTINCT user_id) AS users,
+           TRUE AS users_close, TRUE AS low_close, TRUE AS high_close
+    FROM events GROUP BY 1"""
+
 _CASES = {
     "dataset_totals": _TOTALS,
     "daily_access": _DAILY_ACCESS,
@@ -447,6 +488,14 @@ _CASES = {
         SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS misplaced, CAST(0 AS BIGINT) AS unsorted FROM files""",
     "dataset_totals_from_csv": _TOTALS,
     "replica_spans_folded": _SPANS,
+    "alive_during": _ALIVE,
+    "overlapping_lifetimes": _OVERLAPPING,
+    "key_violations": _VIOLATIONS,
+    "key_violation_totals": f"""
+        SELECT name, kind, COUNT(*) AS keys, CAST(SUM(n) AS BIGINT) AS n FROM ({_VIOLATIONS}) GROUP BY name, kind""",
+    "sketched_months": _SKETCHED,
+    "compaction_by_size": _DISK,
+    "merged_months_refreshed": f"{_MERGED} WHERE year(day) BETWEEN 1997 AND 1999",
     "replica_spans": _SPANS,
     "replica_spans_from_csv": _SPANS,
     "disk_replicas": _DISK,

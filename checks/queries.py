@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.fixtures import (
@@ -21,14 +21,19 @@ from tidemark.functions.metrics import READ_METRICS, SIZE_METRICS, read_bin, win
 from tidemark.operators import (
     access,
     compaction,
+    constraints,
     histogram,
+    intervals,
     occupancy,
     popularity,
+    profile,
     quality,
     reads,
     replicas,
     rolling,
 )
+from tidemark.plans.jobs import SOURCES, Stages
+from tidemark.plans.refresh import refresh_merged
 from tidemark.plans.session import shared_dir
 from tidemark.sinks.bucketed import (
     bucket_report,
@@ -549,11 +554,15 @@ def overrides_resolved(fx: Fixtures) -> DataFrame:
 
 @query
 def overrides_from_json(fx: Fixtures) -> DataFrame:
-    """Overrides kept by hand as one JSON object, resolved by name."""
+    """Overrides kept by hand as JSON objects, about a hundred names in each file, resolved by name."""
     path = shared_dir(fx.spark, "overrides")
+    listed = fx.override_list()
+    files = max(1, -(-listed.count() // 100))
+    dealt = F.pmod(F.xxhash64("dataset_name"), F.lit(files))
     entries = F.map_from_entries(F.collect_list(F.struct("dataset_name", "value")))
-    fx.override_list().agg(F.to_json(entries).alias("value")).write.text(path)
-    listed = read_overrides(fx.spark, path)
+    objects = listed.groupBy(dealt.alias("file")).agg(F.to_json(entries).alias("value"))
+    objects.write.partitionBy("file").text(path)
+    listed = read_overrides(fx.spark, f"{path}/*")
     return typed(
         popularity.resolve_overrides(listed, fx.catalog()), d_dataset_id="bigint", value="int"
     )
@@ -781,12 +790,134 @@ def null_counts(fx: Fixtures) -> DataFrame:
     return typed(quality.null_counts(merged), **{name: "bigint" for name in merged.columns})
 
 
+@query
+def alive_during(fx: Fixtures) -> DataFrame:
+    """Replicas, datasets and bytes alive in each supplier's period."""
+    return typed(
+        intervals.alive_during(fx.disk(), fx.periods()),
+        period_id="bigint",
+        replicas="bigint",
+        datasets="bigint",
+        rep_size="double",
+        byte_days="double",
+    )
+
+
+@query
+def overlapping_lifetimes(fx: Fixtures) -> DataFrame:
+    """Replicas of one dataset whose lifetimes overlap, on disk and elsewhere, counted by node."""
+    days = ("min_time", "max_time")
+    kept = ["dataset_name", "node_name", *days]
+    other = fx.replicas().where(~replicas.is_disk_node(F.col("node_name"))).select(kept)
+    other = other.withColumnsRenamed({name: f"other_{name}" for name in kept[1:]})
+    pairs = intervals.overlapping(
+        fx.disk().select(kept), other, days, ("other_min_time", "other_max_time"), ["dataset_name"], 10
+    )
+    return typed(
+        pairs.groupBy("node_name", "other_node_name").agg(F.count("*").alias("n")),
+        node_name="string",
+        other_node_name="string",
+        n="bigint",
+    )
+
+
+def _catalog_checks(fx: Fixtures) -> list:
+    catalog = fx.faulty_catalog()
+    return [
+        constraints.Unique("dataset names", catalog, ("d_dataset",)),
+        constraints.Unique("dataset ids", catalog, ("d_dataset_id",)),
+        constraints.Unique("file names", fx.files(), ("f_logical_file_name",)),
+        constraints.Reference("owners of files", fx.files(), ("f_dataset_id",), catalog, ("d_dataset_id",)),
+    ]
+
+
+@query
+def key_violations(fx: Fixtures) -> DataFrame:
+    """Names that come twice, ids that are missing, files without a dataset."""
+    found = constraints.violations(*_catalog_checks(fx))
+    return typed(found, name="string", kind="string", key="string", n="bigint")
+
+
+@query
+def key_violation_totals(fx: Fixtures) -> DataFrame:
+    found = constraints.violation_totals(*_catalog_checks(fx))
+    return typed(found, name="string", kind="string", keys="bigint", n="bigint")
+
+
+@query
+def sketched_months(fx: Fixtures) -> DataFrame:
+    """Days of events sketched and stored, merged by month, and held against exact figures."""
+    events = fx.table("events").select(F.col("ts").cast("date").alias("day"), "user_id", "value")
+    path = shared_dir(fx.spark, "sketches")
+    write_parquet(profile.sketched(events, ["day"], ["user_id"], ["value"]), path)
+    month = F.month("day").cast("bigint").alias("month")
+    merged = profile.merged_sketches(read_parquet(fx.spark, path), [month])
+    told = profile.estimates(merged, (0.25, 0.75)).alias("t")
+    # the share of values that are not above each estimated quantile
+    exact = events.select(month, "user_id", "value").join(told.select("month", "quantiles_value"), "month")
+    ranks = [
+        F.avg(F.when(F.col("value") <= F.get("quantiles_value", F.lit(i)), 1.0).otherwise(0.0)).alias(f"rank_{i}")
+        for i in range(2)
+    ]
+    exact = exact.groupBy("month").agg(F.count_distinct("user_id").alias("users"), *ranks)
+    held = told.join(exact, "month")
+    close = F.abs(F.col("distinct_user_id") - F.col("users")) <= 0.08 * F.col("users")
+    near = [F.abs(F.col(f"rank_{i}") - rank) <= 0.05 for i, rank in enumerate((0.25, 0.75))]
+    return held.select("month", F.col("n").cast("bigint").alias("n"), "users", close.alias("users_close"), near[0].alias("low_close"), near[1].alias("high_close"))
+
+
+@query
+def compaction_by_size(fx: Fixtures) -> DataFrame:
+    """Many small files of replicas put together to a few, twice: the second time nothing is left to do."""
+    path = f"{shared_dir(fx.spark, 'many')}/disk"
+    write_parquet(fx.disk().repartition(24), path)
+    listed = fx.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    target = 4 * (listed.agg(F.max("length")).first()[0] + 1)
+    before, after = compaction.compact_by_size(fx.spark, path, target)
+    again = compaction.compact_by_size(fx.spark, path, target)
+    if not (after < before == 24 and again[0] == after):
+        raise ValueError(f"{before} files became {after}, then {again}")
+    return _disk(read_parquet(fx.spark, path))
+
+
+def _stored_tallies(fx: Fixtures, stages: Stages, keep: Column) -> None:
+    """The three sources' daily reads, where ``keep`` holds, added to directories of years and months."""
+    for source, flag in zip(SOURCES, "RAN", strict=True):
+        daily = fx.daily_reads(flag).where(keep).withColumns({"year": F.year("day"), "month": F.month("day")})
+        stored = daily.withColumn("day", F.date_format("day", "yyyyMMdd")).repartition(1)
+        stored.write.mode("append").partitionBy("year", "month").parquet(stages.path(source))
+
+
+@query
+def merged_months_refreshed(fx: Fixtures) -> DataFrame:
+    """Merged reads by month after logs of one year came late: only that year's months are made anew."""
+    stages = Stages(shared_dir(fx.spark, "refreshed"))
+    late = F.year("day") == 1998
+    early = F.year("day").isin(1997, 1999)
+    _stored_tallies(fx, stages, early)
+    refresh_merged(fx.spark, stages)
+    _stored_tallies(fx, stages, late)
+    months = refresh_merged(fx.spark, stages)
+    if {month[:4] for month in months} != {"1998"} or refresh_merged(fx.spark, stages):
+        raise ValueError(f"made anew: {months}")
+    return typed(
+        read_parquet(fx.spark, stages.path("merged_months")),
+        d_dataset_id="bigint",
+        day="date",
+        **{name: "double" for name in READ_METRICS},
+    )
+
+
 @query
 def compaction_roundtrip(fx: Fixtures) -> DataFrame:
     path = f"{shared_dir(fx.spark, 'compact')}/disk"
     write_parquet(fx.disk(), path)
+    return _disk(read_parquet(fx.spark, compaction.compact(fx.spark, path, files=2)))
+
+
+def _disk(df: DataFrame) -> DataFrame:
     return typed(
-        read_parquet(fx.spark, compaction.compact(fx.spark, path, files=2)),
+        df,
         dataset_name="string",
         node_name="string",
         br_user_group_id="int",

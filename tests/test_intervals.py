@@ -1,0 +1,94 @@
+"""Overlapping intervals against brute force, and their plan."""
+
+import random
+from datetime import date, timedelta
+
+import pytest
+from conftest import as_set
+
+from tidemark.operators import intervals
+
+START = date(2020, 1, 1)
+
+
+def rows_of(seed, n):
+    pick = random.Random(seed)
+    out = []
+    for i in range(n):
+        first = START + timedelta(days=pick.randint(-40, 400))
+        last = first + timedelta(days=pick.choice([-3, 0, 0, 1, 5, 29, 30, 31, 200]))
+        out.append((i, pick.choice("ab"), pick.choice([first, first, first, None]), pick.choice([last, last, last, None])))
+    return out
+
+
+def brute(left, right, keyed):
+    return sorted(
+        (a, b) for a, k, f, l in left for b, j, g, m in right
+        if None not in (f, l, g, m) and f <= l and g <= m and f <= m and g <= l and (not keyed or k == j)
+    )
+
+
+@pytest.fixture(scope="module")
+def sides(spark):
+    left, right = rows_of(1, 120), rows_of(2, 120)
+    one = spark.createDataFrame(left, "a int, key string, f date, l date")
+    two = spark.createDataFrame(right, "b int, key string, g date, m date")
+    return left, right, one, two
+
+
+@pytest.mark.parametrize("bin_days", [1, 7, 30, 1000])
+def test_with_keys(sides, bin_days):
+    left, right, one, two = sides
+    got = intervals.overlapping(one, two, ("f", "l"), ("g", "m"), ["key"], bin_days)
+    assert set(got.columns) == {"key", "a", "f", "l", "b", "g", "m"}
+    assert as_set(got.select("a", "b")) == brute(left, right, True)
+
+
+@pytest.mark.parametrize("bin_days", [3, 30])
+def test_without_keys(sides, bin_days):
+    left, right, one, two = sides
+    two = two.drop("key")
+    got = intervals.overlapping(one, two, ("f", "l"), ("g", "m"), bin_days=bin_days)
+    assert as_set(got.select("a", "b")) == brute(left, right, False)
+
+
+def test_day_strings_and_days_before_1970(rows):
+    one = rows("a int, f string, l string", (1, "19691230", "19700102"), (2, "no day", "19700102"))
+    two = rows("b int, g date, m date", (7, date(1970, 1, 2), date(1970, 1, 2)), (8, date(1969, 12, 1), date(1969, 12, 29)))
+    got = intervals.overlapping(one, two, ("f", "l"), ("g", "m"), bin_days=10)
+    assert as_set(got.select("a", "b")) == [(1, 7)]
+
+
+def test_empty_sides(sides):
+    _, _, one, two = sides
+    assert intervals.overlapping(one.limit(0), two.drop("key"), ("f", "l"), ("g", "m")).count() == 0
+    with pytest.raises(ValueError):
+        intervals.overlapping(one, two, ("f", "l"), ("g", "m"), ["key"], 0)
+
+
+def test_no_nested_loop(spark, sides):
+    _, _, one, two = sides
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = intervals.overlapping(one, two.drop("key"), ("f", "l"), ("g", "m"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert "SortMergeJoin" in plan
+
+
+def test_alive_during(rows):
+    replicas = rows(
+        "dataset_name string, rep_size double, min_time date, max_time date",
+        ("x", 10.0, date(2020, 1, 1), date(2020, 1, 10)),
+        ("x", 1.0, date(2020, 1, 5), date(2020, 3, 1)),
+        ("y", 5.0, date(2020, 2, 1), date(2020, 2, 1)),
+    )
+    periods = rows(
+        "period_id int, first_day date, last_day date",
+        (1, date(2020, 1, 9), date(2020, 2, 1)),
+        (2, date(2019, 1, 1), date(2019, 2, 1)),
+    )
+    assert as_set(intervals.alive_during(replicas, periods)) == [(1, 3, 2, 16.0, 10.0 * 2 + 24 + 5)]

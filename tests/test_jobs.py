@@ -206,6 +206,17 @@ def test_totals_again_in_one_session(spark, world):
     assert len(list((world / "again" / "files").glob("data-*"))) == 2
 
 
+def test_catalogue_is_checked(spark, world, tmp_path):
+    stages = Stages(f"{world}/checked", file_buckets=4)
+    jobs.tally_totals(spark, str(world / "files"), str(world / "datasets"), stages)
+    assert jobs.check_catalog(spark, str(world / "datasets"), stages).count() == 0
+    dump(tmp_path / "datasets", "datasets", *[{"d_dataset_id": i, "d_dataset": n} for i, n in ((1, A), (2, A), (4, C))])
+    with pytest.raises(ValueError, match="1 keys"):
+        jobs.check_catalog(spark, str(tmp_path / "datasets"), stages)
+    report = jobs.check_catalog(spark, str(tmp_path / "datasets"), stages, tolerated=1)
+    assert as_set(report) == [("dataset names", "doubled", A, 2), ("owners of files", "missing", "3", 2)]
+
+
 def test_broken_lines_are_kept_and_counted(spark, world, tmp_path):
     stages = Stages(f"{world}/broken", file_buckets=4)
     jobs.tally_totals(spark, str(world / "files"), str(world / "datasets"), stages)

@@ -21,6 +21,7 @@ from tidemark.operators.access import (
     dataset_totals,
     line_totals,
 )
+from tidemark.operators.constraints import Reference, Unique, violations
 from tidemark.operators.histogram import (
     histogram_arrays,
     histogram_from_arrays,
@@ -121,6 +122,30 @@ def tally_totals(spark: SparkSession, files_path: str, catalog_path: str, stages
     expire(spark, stages.path("files"))
 
 
+def check_catalog(
+    spark: SparkSession, catalog_path: str, stages: Stages, tolerated: int = 0, header: bool = False
+) -> DataFrame:
+    """Names and ids of the catalogue that are not unique, and files of unknown datasets; also written.
+
+    The joins of all jobs take them to be unique. More than ``tolerated`` violating keys raise. Files
+    without a dataset are reported only, as totals leave them out anyway.
+    """
+    catalog, files = load_catalog(spark, catalog_path, header), load_files(spark, stages)
+    path = stages.path("key_violations")
+    found = violations(
+        Unique("dataset names", catalog, ("d_dataset",)),
+        Unique("dataset ids", catalog, ("d_dataset_id",)),
+        Unique("file names", files, (FILE_KEY,)),
+        Reference("owners of files", files, ("f_dataset_id",), catalog, ("d_dataset_id",)),
+    )
+    write_parquet(found, path)
+    report = read_parquet(spark, path)
+    keys = report.where("kind != 'missing'").count()
+    if keys > tolerated:
+        raise ValueError(f"{keys} keys of the catalogue are doubled or null, listed in {path}")
+    return report
+
+
 def load_files(spark: SparkSession, stages: Stages) -> DataFrame:
     """The file catalogue, bucketed and sorted by file name."""
     return read_bucketed_table(
