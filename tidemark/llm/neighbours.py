@@ -6,17 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.shared import staged
+from tidemark.llm.shared import mixed, staged
 
 NEAREST = 20
 CURVES, AXES, BITS = 6, 4, 8
 #: Share of the true neighbours of the fitting queries that the windows must hold, and their number.
 RECALL, FIT_QUERIES = 0.96, 64
-#: Vectors of a block of a curve, and queries that are compared with a block at once.
+#: Vectors of a block of a curve, and queries of a span of it that a block meets, about.
 BLOCK, QUERY_CHUNK = 4096, 2048
 
 
@@ -184,15 +184,17 @@ def _places(vectors: DataFrame, size: int) -> DataFrame:
     return staged(placed.select("row", "curve", (F.col("before") + F.col("at") - F.col("first")).alias("place")), "places")
 
 
-def _window(vectors: DataFrame, size: int, places: DataFrame, is_query: str) -> int:
+def _window(vectors: DataFrame, size: int, places: DataFrame, is_query: str, k: int) -> int:
     """How far to look along every curve, to find ``RECALL`` of the true neighbours of some queries.
 
+    It is ``k`` at least, so that a query finds ``k`` vectors, or all there are, on any one curve.
+
     At most ``FIT_QUERIES`` queries, those with the least hash, are searched by brute force. All rows are
     on the curves; this sets the width of the windows only.
     """
     some = vectors.filter(is_query).orderBy(F.xxhash64("vec_id"), "row").limit(FIT_QUERIES)
     queries = some.select("row", "vec").collect()
-    pairs = exact_neighbours(vectors, size, queries).select("query", "near")
+    pairs = exact_neighbours(vectors, size, queries, k).select("query", "near")
     far = (
         pairs.join(places.withColumnRenamed("row", "query"), "query")
         .join(places.selectExpr("row AS near", "curve", "place AS near_place"), ["near", "curve"])
@@ -201,8 +203,37 @@ def _window(vectors: DataFrame, size: int, places: DataFrame, is_query: str) ->
         .collect()
     )
     if not far:
-        return 1
-    return int(np.quantile([r["far"] for r in far], RECALL, method="higher")) + 1
+        return k
+    return max(k, int(np.quantile([r["far"] for r in far], RECALL, method="higher")) + 1)
+
+
+def _met(
+    places: DataFrame, usable: DataFrame, is_query: str, window: int, count: int
+) -> tuple[DataFrame, DataFrame]:
+    """Vectors by (curve, block, span), and queries by those that their window meets.
+
+    A block is BLOCK consecutive vectors of a curve, a span as many as hold QUERY_CHUNK queries on
+    average. A vector is copied for the spans within the window of its block only, a query for the blocks
+    within its own window; both numbers follow the window, not the number of vectors.
+    """
+    queries = usable.filter(is_query).select("row", "vec_id", "vec")
+    span = BLOCK * max(1, QUERY_CHUNK * count // max(1, queries.count()) // BLOCK)
+    last = count - 1
+
+    def over(first: Column, end: Column, size: int) -> Column:
+        first, end = F.greatest(first, F.lit(0)), F.least(end, F.lit(last))
+        return F.explode(F.sequence(F.floor(first / size), F.floor(end / size)))
+
+    place, block = F.col("place"), F.floor(F.col("place") / BLOCK)
+    names = ["curve", "block", "span", "row", "place", "vec_id", "vec"]
+    spans = over(block * BLOCK - window, block * BLOCK + (BLOCK - 1 + window), span)
+    members = places.join(usable.select("row", "vec_id", "vec"), "row")
+    members = members.select("curve", block.alias("block"), spans.alias("span"), "row", "place", "vec_id", "vec")
+    blocks = over(place - window, place + window, BLOCK)
+    visits = queries.join(places, "row").select(
+        "curve", blocks.alias("block"), F.floor(place / span).alias("span"), "row", "place", "vec_id", "vec"
+    )
+    return members.toDF(*names), visits.toDF(*names)
 
 
 def nearest(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = NEAREST) -> DataFrame:
@@ -214,7 +245,8 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = NEAR
 
     Vectors that are null, zero, or hold a null or a non-finite component take no part, nor do those
     of another length than most. Of equal scores the smaller vec_id comes first; repeated rows are found
-    each. An empty table gives an empty one.
+    each, and each is a query where one is. Every query finds ``k`` vectors, or all others if they are
+    fewer. Other columns are not read, and an empty table gives an empty one.
     """
     spark = vectors.sparkSession
     schema = "query_id bigint, rank int, vec_id bigint, score double"
@@ -223,39 +255,30 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = NEAR
         return spark.createDataFrame([], schema)
     places = _places(usable, size)
     count = usable.count()
-    window = _window(usable, size, places, is_query)
+    window = _window(usable, size, places, is_query, k)
+    members, visits = _met(places, usable, is_query, window, count)
     chunks = -(-usable.filter(is_query).count() // QUERY_CHUNK) or 1
-    block = F.floor(F.col("place") / BLOCK)
-    last = (count - 1) // BLOCK
-    chunk = F.pmod(F.xxhash64("row"), F.lit(chunks))
-    every = F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))
-    members = (
-        places.join(usable.select("row", "vec_id", "vec"), "row")
-        .select("curve", block.alias("block"), F.explode(every).alias("chunk"), "row", "place", "vec_id", "vec")
-    )
-    near_blocks = F.sequence(
-        F.greatest(F.floor((F.col("place") - window) / BLOCK), F.lit(0)),
-        F.least(F.floor((F.col("place") + window) / BLOCK), F.lit(last)),
-    )
-    names = ["curve", "block", "chunk", "row", "place", "vec_id", "vec"]
-    visits = (
-        usable.filter(is_query).select("row", "vec_id", "vec").join(places, "row")
-        .select("curve", F.explode(near_blocks).alias("block"), chunk.alias("chunk"), "row", "place", "vec_id", "vec")
-        .toDF(*names)
-    )
 
     def visit(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         packed = {"chunk": [], "found": []}
         if vectors.num_rows and queries.num_rows:
             row, place, vec_id = (vectors[c].to_numpy() for c in ("row", "place", "vec_id"))
-            mine, here, query = (queries[c].to_numpy() for c in ("row", "place", "vec_id"))
-            allowed = (np.abs(here[:, None] - place[None]) <= window) & (mine[:, None] != row[None])
-            q, v, score = _scores(_matrix(queries["vec"], size), _matrix(vectors["vec"], size), allowed, k)
-            best = _best(mine[q], vec_id[v], score, k)
-            q, v, score = q[best], v[best], score[best]
-            columns = (mine[q], query[q], row[v], vec_id[v], score)
-            packed["chunk"].append(queries["chunk"][0].as_py())
-            packed["found"].append(b"".join(c.astype("<i8" if c.dtype != float else "<f8").tobytes() for c in columns))
+            near = _matrix(vectors["vec"], size)
+            for start in range(0, queries.num_rows, QUERY_CHUNK):
+                some = queries.slice(start, QUERY_CHUNK)
+                mine, here, query = (some[c].to_numpy() for c in ("row", "place", "vec_id"))
+                allowed = (np.abs(here[:, None] - place[None]) <= window) & (mine[:, None] != row[None])
+                q, v, score = _scores(_matrix(some["vec"], size), near, allowed, k)
+                best = _best(mine[q], vec_id[v], score, k)
+                q, v, score = q[best], v[best], score[best]
+                chunk = (mixed(mine[q]) % np.uint64(chunks)).astype(np.int64)
+                columns = (mine[q], query[q], row[v], vec_id[v], score)
+                for one in np.unique(chunk):
+                    own = chunk == one
+                    packed["chunk"].append(one)
+                    packed["found"].append(
+                        b"".join(c[own].astype("<i8" if c.dtype != float else "<f8").tobytes() for c in columns)
+                    )
         return pa.table(
             {"chunk": pa.array(packed["chunk"], pa.int64()), "found": pa.array(packed["found"], pa.binary())}
         )
@@ -278,6 +301,6 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = NEAR
             {"query_id": query, "rank": pa.array(rank, pa.int32()), "vec_id": vec_id, "score": score}
         )
 
-    keys = ["curve", "block", "chunk"]
+    keys = ["curve", "block", "span"]
     found = members.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInArrow(visit, "chunk bigint, found binary")
     return found.groupBy("chunk").applyInArrow(merge, schema)
