@@ -24,8 +24,16 @@ WIDE = {
     r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,3}){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20._-]?[0-9]{4}){2}[\x20._-]?[0-9]{1,4}(?![0-9])",
-    "phone": r"(?<![0-9+])\+?(?:[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])",
+    "phone": r"(?<![0-9+.])(?![0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]))\+?(?:[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])",
 }
+#: Words before a span that speak for each kind, and those that speak for none.
+WORDS = {
+    "email": r"mail|contact|write\s+to|reach",
+    "ip": r"host|server|\bip\b|address|node",
+    "card": r"card|visa|credit|charge|paid",
+    "phone": r"phone|\btel|call|fax|mobile",
+}
+OTHER_WORDS = r"order|invoice|serial|\bref|\bid\b|number|version|item"
 #: What any match of a pattern holds, so that a text must have it somewhere for the pattern to be tried.
 NEEDS = {
     "base_email": r"@",
@@ -37,13 +45,12 @@ NEEDS = {
     "wide_card": r"[0-9]{4}",
     "wide_phone": r"[0-9]{3}",
 }
-FEATURES = ("kind", "digits", "marks", "left", "right", "word", "check")
+FEATURES = ("kind", "digits", "marks", "spaces", "left", "right", "word")
 #: Share of right spans that a threshold must reach on the documents set apart for calibration.
 PRECISION = 0.95
 ROUNDS, RATE = 30, 0.3
 
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_CONTEXT = r"(?i)mail|contact|phone|tel|call|fax|card|visa|credit|account|host|server|\bip\b"
 
 
 def _digits(span: Column) -> Column:
@@ -161,7 +168,10 @@ def _known(kind: str, span: Column) -> Column:
 def _features(kind: str, candidate: Column) -> list[Column]:
     """Format and context of a candidate as small numbers, in the order of ``FEATURES``.
 
-    They leave out what sets the wide forms apart from the base ones, so that these are judged alike.
+    They leave out what sets the wide forms apart from the base ones, and what the base ones are checked by, so
+    that the trees have to tell right candidates by how they look and by the words before them. ``word`` is 2 after
+    a word that speaks for the kind, 0 after one for another kind or for none, and 1 otherwise; the
+    last such word counts.
     """
     span, digits = candidate["span"], _digits(candidate["span"])
 
@@ -173,21 +183,19 @@ def _features(kind: str, candidate: Column) -> list[Column]:
             .otherwise(3)
         )
 
-    check = {
-        "email": span.rlike(r"\.[A-Za-z]{2,}$"),
-        "ip": F.regexp_replace(span, r"[^0-9.]", "").rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"),
-        "card": _luhn(digits),
-        "phone": F.length(digits).between(9, 15),
-    }[kind]
-    marks = F.length(F.regexp_replace(span, r"[A-Za-z0-9+@]|\(at\)|\[at\]|\[\.\]", ""))
+    others = "|".join([*(words for k, words in WORDS.items() if k != kind), OTHER_WORDS])
+    # what follows the last word for the kind holds no other word
+    own = candidate["left"].rlike(rf"(?is)(?:{WORDS[kind]})(?!.*(?:{others}))")
+    word = F.when(own, 2).when(candidate["left"].rlike(rf"(?i){others}"), 0).otherwise(1)
+    marks = F.length(F.regexp_replace(span, r"[A-Za-z0-9+@\s]|\(at\)|\[at\]|\[\.\]", ""))
     return [
         F.lit(KINDS.index(kind)),
         F.least(F.length(digits), F.lit(20)),
         F.least(marks, F.lit(5)),
+        F.least(F.length(F.regexp_replace(span, r"\S", "")), F.lit(5)),
         side(F.right(candidate["left"], F.lit(1))),
         side(candidate["right"]),
-        candidate["left"].rlike(_CONTEXT).cast("int"),
-        check.cast("int"),
+        word,
     ]
 
 
@@ -249,8 +257,10 @@ def _margin(start: float, leaves: list[Leaf], features: tuple[int, ...]) -> floa
 def learn(docs: DataFrame) -> tuple[float, list[Leaf], dict[str, float]]:
     """Trees and a threshold for each kind, from all candidates of all documents.
 
-    A candidate is right if the base finds something in it. Candidates are counted by their features, of
-    which there are at most 4 * 21 * 6 * 4 * 4 * 2 * 2; so many rows the driver gets at most. Half of the
+    A candidate is right if the base finds something in it; no feature tells that. Candidates that the base
+    does not know count as wrong, so spans are added only where nearly all that look and stand like them are
+    known. Candidates are counted by their features, of
+    which there are at most 4 * 21 * 6 * 6 * 4 * 4 * 3; so many rows the driver gets at most. Half of the
     documents, by a hash, teach the trees, the others set the thresholds: the least margin from which on
     ``PRECISION`` of the candidates are right, or none.
     """
@@ -350,7 +360,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with every span in ``text`` replaced by its kind in brackets.
 
-    Of spans that overlap, the one that begins first counts.
+    Of spans that overlap, the one that begins first counts. A null text stays null, as does an empty one.
     """
     found = personal_data(docs)
     names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
@@ -364,7 +374,8 @@ def redacted(docs: DataFrame) -> DataFrame:
     def finish(acc: Column) -> Column:
         return F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
 
-    return found.withColumn("text", F.aggregate("private.spans", empty, replace, finish)).drop("private")
+    replaced = F.when(F.col("text").isNotNull(), F.aggregate("private.spans", empty, replace, finish))
+    return found.withColumn("text", replaced).drop("private")
 
 
 def private_digest(docs: DataFrame) -> DataFrame:
