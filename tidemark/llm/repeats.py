@@ -8,19 +8,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.shared import coded_words, slices, split_words, staged, window_hashes, word_hashes
 
 WINDOW = 13
 #: Suffixes that one group should hold, about; a task sorts a group in memory.
 GROUP_SUFFIXES = 3_000_000
-#: Documents of one bucket, about; a task holds the texts of a bucket.
-BUCKET_DOCS = 4096
+#: Characters of one bucket of documents, about; a task holds the texts of a bucket. One that has twice as many, as
+#: of rows without an id, is split.
+BUCKET_CHARS = 12_000_000
 #: Lengths of a prefix, in words, before it is the whole window.
 PREFIXES = (1, 2, 3)
 _LAST = np.int64(2**63 - 1)
 
 
+def integer_ids(docs: DataFrame) -> None:
+    """Raises where doc_id is no whole number: the least id keeps what repeats, so ids are compared as numbers."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise ValueError(f"doc_id is {kind.simpleString()}; repeats are kept by the least number")
+
+
 def _doc_ids(ids: pa.Array) -> np.ndarray:
     return ids.cast(pa.int64()).fill_null(int(_LAST)).to_numpy(zero_copy_only=False)
 
@@ -212,12 +221,34 @@ def _kept_words(docs: DataFrame, repeated: DataFrame, buckets: int) -> DataFrame
     kind = docs.schema["doc_id"].dataType.simpleString()
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(_LAST)))
     rows = docs.select("doc_id", "text", F.pmod(doc, F.lit(buckets)).alias("bucket"))
+    rows, repeated = _split(rows, repeated)
     return (
-        rows.groupBy("bucket").cogroup(repeated.groupBy("bucket"))
+        rows.groupBy("bucket", "part").cogroup(repeated.groupBy("bucket", "part"))
         .applyInArrow(strip, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string")
     )
 
 
+def _split(rows: DataFrame, repeated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with the part of their bucket: the rows of a heavy bucket are dealt out, its marks go to all parts.
+
+    Rows are judged one by one, so that it does not matter which part a row is in; equal rows are dealt by where
+    they are read.
+    """
+    sizes = rows.groupBy("bucket").agg(F.sum(F.length("text")).alias("size"))
+    parts = F.ceil(F.col("size") / BUCKET_CHARS).alias("parts")
+    heavy = staged(sizes.filter(F.col("size") > 2 * BUCKET_CHARS).select("bucket", parts), "heavy")
+    if heavy.isEmpty():
+        whole = F.lit(0).cast("long").alias("part")
+        return rows.select("*", whole), repeated.select("*", whole)
+    parts = F.coalesce("parts", F.lit(1))
+    part = F.pmod(F.xxhash64("doc_id", "text") + F.spark_partition_id(), parts).alias("part")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")
+    return (
+        rows.join(heavy, "bucket", "left").select(*rows.columns, part),
+        repeated.join(heavy, "bucket", "left").select(*repeated.columns, every),
+    )
+
+
 def _prime_from(least: int) -> int:
     while any(least % k == 0 for k in range(2, int(least**0.5) + 1)):
         least += 1
@@ -233,16 +264,18 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     The suffixes of all documents are dealt to groups by a prefix: their first word, or the first two
     or three or all 13 where that prefix alone would fill a good part of a group. A group fits one task's
-    memory. Beyond depth 13 the tree does not matter, so a suffix is kept as a 64-bit code of its 13 words: equal
-    codes are taken for equal windows. Equal windows of one batch are one suffix, so that a passage of a third
+    memory. What goes is told by the nodes at depth 13, so the tree is cut there and a suffix is kept as a 64-bit
+    code of its 13 words: equal codes are taken for equal windows; ``suffixes.maximal_repeats`` grows the trees
+    below. Equal windows of one batch are one suffix, so that a passage of a third
     of all documents does not fill its group.
 
     Null and empty texts have no words; rows with the same doc_id count as one document and keep what they share;
-    a null doc_id comes after all others. An empty table gives an empty one.
+    a null doc_id comes after all others. doc_id must be a whole number. An empty table gives an empty one.
     """
-    chars, count = docs.agg(F.sum(F.length("text")), F.count("*")).first()
+    integer_ids(docs)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0]
     groups = int(max(6, (chars or 0) // (6 * GROUP_SUFFIXES)))
-    buckets = _prime_from(max(7, count // BUCKET_DOCS))  # a prime deals out ids in steps, too
+    buckets = _prime_from(max(7, (chars or 0) // BUCKET_CHARS))  # a prime deals out ids in steps, too
     frequent = _frequent_prefixes(docs, groups)
     suffixes = _suffixes(docs, groups, buckets, frequent)
     repeated = staged(_deep_nodes(suffixes, buckets), "repeated")
