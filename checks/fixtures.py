@@ -257,6 +257,11 @@ class Fixtures:
             path.alias("filename"),
         )
 
+    def hot_catalog_replicas(self) -> DataFrame:
+        hot = self.files().agg(F.min("f_logical_file_name")).first()[0]
+        name = F.when(F.col("BYTES") % 9 == 4, F.lit(hot)).otherwise(F.col("NAME"))
+        return self.catalog_replicas().withColumn("NAME", name)
+
     def daily(self, method: str = "sweep") -> DataFrame:
         return daily_size(self.disk(), self.catalog(), *SPINE, method=method)
 

@@ -536,6 +536,14 @@ _CASES = {
     "catalog_replicas_daily": _CATALOG_REPLICAS.format(
         site=SITE, name=LOGGED_NAME, tally="CAST(l_shipdate AS DATE)"
     ),
+    "catalog_replicas_hot_file": _CATALOG_REPLICAS.format(
+        site=SITE,
+        name=(
+            "CASE WHEN CAST(round(l_extendedprice * 100) AS BIGINT) % 9 = 4 "
+            f"THEN (SELECT MIN(f_logical_file_name) FROM files) ELSE {LOGGED_NAME} END"
+        ),
+        tally="CAST(l_shipdate AS DATE)",
+    ),
     "catalog_replicas_from_files": _CATALOG_REPLICAS.format(
         site=SITE, name=LOGGED_NAME, tally="CAST(l_shipdate AS DATE)"
     ),

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.days import as_date, date_literal, day_key, epoch_day
 from tidemark.functions.names import tally_day_of_path, tape_campaign, tier
+from tidemark.operators.skew import join_spread
 
 
 #: What makes a block replica; a state has one row for each.
@@ -128,12 +129,15 @@ def tape_usage(spans: DataFrame, active_since: str | date | None = None) -> Data
     ).agg(F.sum(_number(spans, "rep_size")).alias("size"))
 
 
-def catalog_replicas_daily(replicas: DataFrame, files: DataFrame) -> DataFrame:
+def catalog_replicas_daily(
+    replicas: DataFrame, files: DataFrame, spread: bool = False
+) -> DataFrame:
     """Bytes per (RSE, dataset, scope, tally day, create day) of the newer replica catalogue.
 
     ``filename`` names the tally day; ``CREATED_AT`` is in milliseconds. Replicas go straight into
     the join on the file name: a file has one row per RSE, scope and day, so that grouping them
-    first would shuffle the largest input once more and merge nothing.
+    first would shuffle the largest input once more and merge nothing. Where a name may have many
+    more rows than that, ``spread`` looks hot names up apart, for one more grouping of the names.
     """
     named = replicas.select(
         "NAME",
@@ -143,10 +147,10 @@ def catalog_replicas_daily(replicas: DataFrame, files: DataFrame) -> DataFrame:
         epoch_day(F.col("CREATED_AT"), "ms").alias("created"),
         "BYTES",
     )
-    owners = files.select("f_logical_file_name", "f_dataset_id")
+    owners = files.select(F.col("f_logical_file_name").alias("NAME"), "f_dataset_id")
+    located = join_spread(named, owners, ["NAME"]) if spread else named.join(owners, "NAME")
     return (
-        named.join(owners, F.col("NAME") == F.col("f_logical_file_name"))
-        .groupBy("RSE_ID", "f_dataset_id", "SCOPE", "tally", "created")
+        located.groupBy("RSE_ID", "f_dataset_id", "SCOPE", "tally", "created")
         .agg(F.sum("BYTES").alias("rep_size"))
         .select(
             "RSE_ID",
