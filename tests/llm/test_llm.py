@@ -165,6 +165,23 @@ def test_attention_gradients():
         x[at] = old
 
 
+def test_reader_gives_what_the_forward_pass_gives():
+    pick = np.random.default_rng(3)
+    w = {k: v * 2 for k, v in attention.initial(30, np.arange(30) % attention.MIXTURES).items()}
+    starts = np.array([0, 5, 5, 40, 41])
+    ids = pick.integers(0, 30, 41)
+    shares = pick.dirichlet(np.ones(30), attention.MIXTURES).T.astype(np.float32)
+    inputs, there, place, wanted = attention.gather(ids, *attention.windows(starts), 2)
+    share = attention.forward(w, inputs, there)["share"]
+    together = shares[:7].sum(axis=0)
+    here = ids[place].ravel()
+    more = shares[here][:, -2:], np.tile(together[-2:], (len(here), 1))
+    own, some = attention.Reader(w, shares[:, :-2], together[:-2])(inputs, there, here, *more)
+    wanted = wanted.ravel()
+    np.testing.assert_allclose(own[wanted], (share * shares[ids[place]]).sum(-1).ravel()[wanted], rtol=1e-4)
+    np.testing.assert_allclose(some[wanted], (share @ shares[:7].sum(axis=0)).ravel()[wanted], rtol=1e-4)
+
+
 def test_attention_is_causal():
     w = attention.initial(9, np.arange(9) % attention.MIXTURES)
     ids = np.random.default_rng(2).integers(0, 9, 40)
