@@ -2,6 +2,7 @@
 
 import random
 from datetime import date, timedelta
+from decimal import Decimal
 
 import pytest
 from conftest import as_set
@@ -92,3 +93,55 @@ def test_alive_during(rows):
         (2, date(2019, 1, 1), date(2019, 2, 1)),
     )
     assert as_set(intervals.alive_during(replicas, periods)) == [(1, 3, 2, 16.0, 10.0 * 2 + 24 + 5)]
+
+
+def _alive_by_pairs(replicas, periods):
+    """(replicas, datasets, rep_size, byte_days) of each period_id, pair by pair."""
+    found = {}
+    for period, a, b in periods:
+        for name, size, lo, hi in replicas:
+            if None in (a, b, lo, hi) or lo > hi or max(lo, a) > min(hi, b):
+                continue
+            n, names, sizes, weights = found.setdefault(period, (0, set(), [], []))
+            if size is not None:
+                sizes.append(size)
+                weights.append(size * ((min(hi, b) - max(lo, a)).days + 1))
+            found[period] = (n + 1, names | {name} - {None}, sizes, weights)
+    rows = [(p, n, len(names), *(sum(x) if x else None for x in (sizes, weights))) for p, (n, names, sizes, weights) in found.items()]
+    return sorted(rows, key=lambda row: [(v is not None, v) for v in row])
+
+
+@pytest.mark.parametrize("kind", ["double", "bigint", "decimal(18,2)"])
+def test_alive_during_is_that_of_all_pairs(rows, kind):
+    """With gaps, repeated and null keys, null sizes, and ids of several periods, together and apart."""
+    draw = random.Random(7)
+    make = {"double": float, "bigint": int, "decimal(18,2)": Decimal}[kind]
+
+    def stay(longest):
+        first = date(1969, 12, 1) + timedelta(draw.randrange(150))
+        return first, first + timedelta(draw.randrange(-2, longest))
+
+    replicas = [
+        (draw.choice("abcdefgh") if draw.random() > 0.1 else None, make(draw.randrange(50)) if draw.random() > 0.2 else None, *stay(12))
+        for _ in range(120)
+    ]
+    replicas += replicas[:9] + [("a", make(1), None, date(1970, 1, 1)), ("only null", None, date(1970, 9, 1), date(1970, 9, 2))]
+    periods = [(draw.randrange(40) if draw.random() > 0.1 else None, *stay(25)) for _ in range(60)]
+    periods += periods[:7] + [(99, date(1970, 8, 1), date(1970, 9, 1)), (100, None, date(1970, 1, 1)), (101, date(1960, 1, 1), date(1980, 1, 1))]
+    got = intervals.alive_during(
+        rows(f"dataset_name string, rep_size {kind}, min_time date, max_time date", *replicas),
+        rows("period_id int, first_day date, last_day date", *periods),
+    )
+    assert as_set(got) == _alive_by_pairs(replicas, periods)
+
+
+def test_alive_during_makes_no_pairs(rows):
+    """A join of replicas with periods would make 40 million pairs here."""
+    day = date(2020, 1, 1)
+    replicas = rows("dataset_name string, rep_size bigint, min_time date, max_time date", ("x", 2, day, day))
+    replicas = replicas.crossJoin(replicas.sparkSession.range(200_000)).drop("id")
+    periods = replicas.sparkSession.range(200).selectExpr("id period_id", "DATE '2019-12-31' first_day", "DATE '2020-01-02' last_day")
+    found = intervals.alive_during(replicas, periods)
+    assert set(map(tuple, found.drop("period_id").collect())) == {(200_000, 1, 400_000, 400_000)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bin" not in plan
