@@ -37,7 +37,9 @@ from tidemark.plans.refresh import refresh_merged
 from tidemark.plans.session import shared_dir
 from tidemark.sinks.bucketed import (
     bucket_report,
+    buckets_for,
     check_buckets,
+    input_bytes,
     read_bucketed_table,
     write_bucketed_table,
 )
@@ -65,6 +67,9 @@ from tidemark.sources.spine import spine_over
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+#: Bytes of the line items for which the file catalogue is written in 3 and in 8 buckets, as one task sorts a bucket.
+BUCKET_INPUT = 64 << 20
+
 _BIN_COLUMNS = [str(i) for i in range(16)]
 
 
@@ -216,19 +221,23 @@ def log_line_totals(fx: Fixtures) -> DataFrame:
     return typed(totals, lines="bigint", broken="bigint", counted="bigint")
 
 
-def _bucketed_files(fx: Fixtures) -> str:
-    """The file catalogue bucketed twice at one path, with another number of buckets each time."""
+def _bucketed_files(fx: Fixtures) -> tuple[str, int]:
+    """The file catalogue bucketed twice at one path, with another number of buckets each time: 3, then 8,
+    and as many times more as the table is larger than BUCKET_INPUT. Gives the path and the last number.
+    """
     path = shared_dir(fx.spark, "bucketed")
-    for buckets in (3, 8):
+    more = buckets_for(input_bytes(fx.spark, f"{fx.sf_dir}/lineitem.parquet"), BUCKET_INPUT)
+    for buckets in (3 * more, 8 * more):
         write_bucketed_table(fx.files(), path, "f_logical_file_name", buckets)
     check_buckets(fx.spark, path)
-    return path
+    return path, buckets
 
 
 @query
 def dataset_totals_bucketed(fx: Fixtures) -> DataFrame:
     """Dataset totals from the catalogue as it was written last."""
-    files = read_bucketed_table(fx.spark, _bucketed_files(fx), "f_logical_file_name", 8)
+    path, buckets = _bucketed_files(fx)
+    files = read_bucketed_table(fx.spark, path, "f_logical_file_name", buckets)
     return typed(
         access.dataset_totals(files, fx.catalog()),
         d_dataset="string",
@@ -242,7 +251,7 @@ def dataset_totals_bucketed(fx: Fixtures) -> DataFrame:
 @query
 def bucket_layout(fx: Fixtures) -> DataFrame:
     """Rows of the bucketed catalogue, those outside their bucket, and files beyond one a bucket."""
-    report = bucket_report(fx.spark, _bucketed_files(fx))
+    report = bucket_report(fx.spark, _bucketed_files(fx)[0])
     sums = report.agg(*[F.sum(name).alias(name) for name in ("n", "misplaced", "unsorted")])
     return typed(sums, n="bigint", misplaced="bigint", unsorted="bigint")
 

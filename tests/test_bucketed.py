@@ -3,6 +3,7 @@
 import pytest
 from conftest import as_set
 
+from checks import queries
 from tidemark.sinks import bucketed
 from tidemark.sinks.bucketed import LayoutError
 
@@ -101,3 +102,15 @@ def test_empty_table(spark, tmp_path):
     bucketed.write_bucketed_table(table(spark, 0), path, "name", 4)
     assert bucketed.read_bucketed_table(spark, path).count() == 0
     bucketed.check_buckets(spark, path)
+
+
+def test_query_takes_more_buckets_of_larger_tables(spark, monkeypatch):
+    tables = "/root/testdata/sf0.001"
+    size = bucketed.input_bytes(spark, f"{tables}/lineitem.parquet")
+    wanted = as_set(queries.QUERIES["dataset_totals"](spark, tables))
+    for most, buckets in ((size, 8), (size // 3, 32)):
+        monkeypatch.setattr(queries, "BUCKET_INPUT", most)
+        path, last = queries._bucketed_files(queries.Fixtures(spark, tables))
+        assert [w.buckets for w in bucketed.layouts(spark, path)] == [buckets, buckets * 3 // 8] and last == buckets
+        assert as_set(queries.QUERIES["dataset_totals_bucketed"](spark, tables)) == wanted
+        assert queries.QUERIES["bucket_layout"](spark, tables).first()[1:] == (0, 0)
