@@ -192,6 +192,15 @@ def test_compact(spark, tmp_path):
     assert read_parquet(spark, path).count() == 150
 
 
+def test_compact_gives_a_task_no_more_than_told(spark, tmp_path):
+    path = f"{tmp_path}/many"
+    write_parquet(spark.range(40_000).repartition(10), path)
+    size = sum(f.stat().st_size for f in (tmp_path / "many").glob("*.parquet"))
+    target = compact(spark, path, files=2, most_bytes=size // 6)
+    assert len(list((tmp_path / "many_group").glob("*.parquet"))) in (6, 7)
+    assert as_set(read_parquet(spark, target)) == [(i,) for i in range(40_000)]
+
+
 def test_compact_refuses_small_input(spark, tmp_path):
     path = f"{tmp_path}/few"
     write_parquet(spark.range(99), path)

@@ -10,25 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.session import shared_dir
+from tidemark.sinks.bucketed import input_bytes
 from tidemark.sinks.writers import write_parquet
 
 #: Files that are fitted together in one task.
 FILES_AT_ONCE = 10_000
 #: Files whose places are sent to all tasks; with more of them their rows are shuffled by file first.
 MOST_BROADCAST = 100_000
+#: Bytes of the input, as they are stored, that ``compact`` gives one task to write.
+MOST_BYTES = 64 << 20
 
 
-def compact(spark: SparkSession, path: str, files: int, min_rows: int = 100) -> str:
+def compact(spark: SparkSession, path: str, files: int, min_rows: int = 100, most_bytes: int = MOST_BYTES) -> str:
     """Rewrite the Parquet directory ``path`` as ``files`` files at ``<path>_group``.
 
-    Fewer than ``min_rows`` rows look like a failed read and are refused. The input stays as it is;
+    A file is written by one task, so there are more of them where ``files`` would take more than ``most_bytes``
+    of the input each. Fewer than ``min_rows`` rows look like a failed read and are refused. The input stays as it is;
     its replacement is the caller's decision.
     """
     df = spark.read.parquet(path)
     if df.limit(min_rows).count() < min_rows:
         raise ValueError(f"{path}: fewer than {min_rows} rows, not compacted")
     target = path.rstrip("/") + "_group"
-    write_parquet(df.repartition(files), target)
+    write_parquet(df.repartition(max(files, -(-input_bytes(spark, path) // most_bytes))), target)
     return target
 
 
