@@ -198,6 +198,27 @@ def test_attention_is_causal():
     assert same[:26].all() and not same[26]
 
 
+def test_every_training_document_teaches_the_scores(spark, monkeypatch):
+    """However large the corpus: topics in every round, attention in one of them where there are many shards."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120)
+    wanted = sorted(r["doc_id"] for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 10)
+    for chars in (1000, 10**9):
+        got = scoring._training(docs, chars).collect()
+        assert sorted(r["doc_id"] for r in got) == wanted and all(r["text"] is not None for r in got)
+    seen, summed = [], scoring._summed
+
+    def spy(training, step):
+        seen.append(sorted(r["shard"] for r in training.select("shard").collect()))
+        return summed(training, step)
+
+    monkeypatch.setattr(scoring, "_summed", spy)
+    monkeypatch.setattr(scoring, "SHARD_CHARS", 5000)
+    assert scoring.score(docs, RANKS, public_tokenizers.PATTERN).count() == docs.count()
+    topics, attention = seen[: scoring.TOPIC_ROUNDS], seen[scoring.TOPIC_ROUNDS :]
+    assert all(len(x) == len(wanted) for x in topics)
+    assert sorted(sum(attention, [])) == topics[0] and len(attention) == scoring.ROUNDS and len(set(topics[0])) > 8
+
+
 def test_scores(docs, plain, empty):
     got = scoring.score(docs, RANKS, public_tokenizers.PATTERN).toPandas()
     train = [t for i, t, _ in plain if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
