@@ -10,6 +10,7 @@ from tidemark.operators.compaction import compact
 from tidemark.operators.quality import dataset_sizes_check, null_counts, window_totals
 from tidemark.plans.session import shared_dir
 from tidemark.sinks.writers import (
+    packed,
     stage_label,
     write_by_month,
     write_csv,
@@ -157,6 +158,21 @@ def test_write_sorted_parquet(spark, tmp_path):
         assert rows == sorted(rows)
 
 
+def test_packed_keys_ascend_with_the_keys(spark, rows, tmp_path):
+    days = [None, date(1, 1, 1), date(1969, 12, 31), date(2020, 1, 5), date(9999, 12, 31)]
+    ids = [None, -(1 << 63), -(1 << 39) - 1, -1, 0, 7, (1 << 39) - 1, 1 << 39, (1 << 63) - 1]
+    df = rows("date date, id bigint", *[(d, i) for d in days for i in ids])
+    far = df.selectExpr("CASE WHEN id % 2 = 0 THEN 2147483647 WHEN id < 0 THEN -2147483648 ELSE 8388607 END AS date", "id")
+    for some in (df, far):
+        both = some.select(packed(some, "date", "id")[0].alias("p"), "date", "id").distinct().collect()
+        lines = sorted(([(v is not None, v) for v in (r.date, r.id)], (r.p is not None, r.p)) for r in both)
+        assert [p for _, p in lines] == sorted(p for _, p in lines) and len(lines) >= 9
+    assert packed(df.selectExpr("date", "CAST(id AS string) AS id"), "date", "id") == packed(df, "date") == []
+    path = f"{tmp_path}/sorted"
+    write_sorted_parquet(df.repartition(3), path, "date", "id")
+    assert as_set(read_parquet(spark, path)) == as_set(df)
+
+
 def test_write_by_month_replaces_only_its_months(spark, rows, tmp_path):
     path = f"{tmp_path}/months"
     ddl = "day date, v int"
