@@ -173,6 +173,13 @@ def test_packed_keys_ascend_with_the_keys(spark, rows, tmp_path):
     assert as_set(read_parquet(spark, path)) == as_set(df)
 
 
+def test_write_by_month_brings_a_month_together(spark, tmp_path):
+    df = spark.range(1200).selectExpr("date_add(DATE'2020-01-01', CAST(id % 366 AS int)) AS day", "id")
+    write_by_month(df.repartition(4), f"{tmp_path}/together", "day")
+    stored = read_parquet(spark, f"{tmp_path}/together")
+    assert len(stored.inputFiles()) == 12 and as_set(stored.select("day", "id")) == as_set(df)
+
+
 def test_write_by_month_replaces_only_its_months(spark, rows, tmp_path):
     path = f"{tmp_path}/months"
     ddl = "day date, v int"

@@ -75,9 +75,13 @@ def stage_label(dates: str, separator: str = "/") -> str:
 def write_by_month(df: DataFrame, path: str, day: str) -> None:
     """Parquet under ``year=/month=`` of the date column ``day``; only the months in ``df`` are
     replaced. Readers that filter on year and month then touch no other directory.
+
+    Rows are brought together by month first, in tasks of bounded size: a task that made the rows does not sort
+    them as well, and does not write a file for every month.
     """
+    dated = df.withColumns({"year": F.year(day), "month": F.month(day)})
     (
-        df.withColumns({"year": F.year(day), "month": F.month(day)})
+        dated.hint("rebalance", "year", "month")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "snappy")
