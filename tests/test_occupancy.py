@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 from datetime import date, timedelta
 from decimal import Decimal
@@ -213,3 +214,21 @@ def test_window_sizes_of_huge_whole_bytes(rows):
     df = rows(REPLICAS.format(size="bigint"), *[replica("a", 10**17, day(0), END)] * 4)
     row = replica_window_sizes(df, rows(CATALOG, (1, "a")), "2020-03-31").first()
     assert (row["allSize90"], row["allOpsSize180"]) == (4e17, 2e17)
+
+
+def test_explode_shuffles_pieces_and_no_days(rows):
+    made = [
+        replica("a", Decimal("1.50"), date(2020, 1, 30), date(2020, 3, 2)),
+        replica("a", Decimal("1.50"), date(2020, 1, 30), date(2020, 3, 2)),
+        replica("a", Decimal("0.25"), date(2020, 1, 31), date(2020, 1, 31)),
+        replica("a", None, date(2020, 3, 2), date(2020, 3, 4)),
+    ]
+    replicas = rows(REPLICAS.format(size="decimal(18,2)"), *made)
+    found = daily_size(replicas, rows(CATALOG, (1, "a")), START, END, method="explode")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(dataset_name" in plan
+    assert not re.search(r"hashpartitioning\(dataset_name#\d+, day#", plan)
+    sizes = {r.date: r.allOpsSize for r in found.collect()}
+    assert len(sizes) == found.count() == 35
+    assert sizes[date(2020, 1, 31)] == Decimal("3.25") and sizes[date(2020, 3, 2)] == Decimal("3.00")
+    assert sizes[date(2020, 2, 29)] == Decimal("3.00") and sizes[date(2020, 3, 3)] is None

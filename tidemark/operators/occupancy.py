@@ -31,8 +31,8 @@ def daily_size(
 
     ``sweep`` (default) adds each replica on its first day and takes it away after its last; it
     shuffles two rows per replica at most and expands only finished per-dataset intervals.
-    ``explode`` writes every replica out per day first; it suits lifetimes of a day or two.
-    Both work per dataset name and look up the catalogue id once the dataset's rows are few.
+    ``explode`` cuts replicas into months and writes each month out per day; what it shuffles are
+    pieces, not days. Both work per dataset name and look up the catalogue id once the dataset's rows are few.
     """
     first, last = date_literal(start), date_literal(end)
     size_type = replicas.schema["rep_size"].dataType
@@ -108,13 +108,35 @@ def _sweep(lifetimes: DataFrame, last: Column) -> DataFrame:
 
 
 def _explode_days(lifetimes: DataFrame, last: Column) -> DataFrame:
-    days = lifetimes.select(
-        "dataset_name", F.explode(days_between(F.col("lo"), F.col("hi"))).alias("day"), "size"
-    )
-    return (
-        days.groupBy("dataset_name", "day")
+    """(dataset_name, days, size): days on which the same pieces lie, added up within their month.
+
+    Equal pieces are added up first, so that a month has 496 of them at most, however many replicas.
+    """
+    kind = lifetimes.groupBy().agg(F.sum("size").alias("size")).schema["size"].dataType.simpleString()
+    months = F.sequence(F.trunc("lo", "month"), F.col("hi"), F.expr("interval 1 month"))
+    # no lifetime is empty; plain explode would build every array twice, to test its size
+    pieces = lifetimes.select("dataset_name", "lo", "hi", "size", F.explode_outer(months).alias("month"))
+    alike = (
+        pieces.select(
+            "dataset_name",
+            "month",
+            F.greatest("lo", "month").alias("lo"),
+            F.least("hi", F.last_day("month")).alias("hi"),
+            "size",
+        )
+        .groupBy("dataset_name", "month", "lo", "hi")
         .agg(F.sum("size").alias("size"))
-        .select("dataset_name", F.array("day").alias("days"), "size")
+    )
+    held = alike.groupBy("dataset_name", "month").agg(F.collect_list(F.struct("lo", "hi", "size")).alias("pieces"))
+    bounds = "array_sort(array_distinct(concat(pieces.lo, transform(pieces.hi, d -> date_add(d, 1)))))"
+    between = "transform(slice(bounds, 1, size(bounds) - 1), (d, i) -> struct(d AS lo, date_sub(bounds[i + 1], 1) AS hi))"
+    runs = held.select("dataset_name", "pieces", F.expr(bounds).alias("bounds"))
+    runs = runs.select("dataset_name", "pieces", F.inline(F.expr(between)))
+    on_days = F.expr("filter(pieces, p -> p.lo <= lo AND p.hi >= hi)")
+    total = f"aggregate(there, CAST(NULL AS {kind}), (sum, p) -> CAST(coalesce(sum + p.size, sum, p.size) AS {kind}))"
+    there = runs.select("dataset_name", "lo", "hi", on_days.alias("there")).where(F.size("there") > 0)
+    return there.select(
+        "dataset_name", days_between(F.col("lo"), F.col("hi")).alias("days"), F.expr(total).alias("size")
     )
 
 
