@@ -219,6 +219,13 @@ def test_every_training_document_teaches_the_scores(spark, monkeypatch):
     assert sorted(sum(attention, [])) == topics[0] and len(attention) == scoring.ROUNDS and len(set(topics[0])) > 8
 
 
+def test_row_wise_sums_need_no_shards(spark):
+    rows = spark.range(1000).repartition(7)
+    step = scoring.RowWise(lambda t: np.bincount(t["id"].to_numpy() % 100, minlength=100).astype(float))
+    assert (scoring._summed(rows, step) == 10).all()
+    assert len(scoring._summed(rows.filter("id < 0"), step)) == 0
+
+
 def test_scores(docs, plain, empty):
     got = scoring.score(docs, RANKS, public_tokenizers.PATTERN).toPandas()
     train = [t for i, t, _ in plain if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
