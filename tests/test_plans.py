@@ -6,7 +6,7 @@ import pytest
 
 from checks.fixtures import Fixtures
 from checks.queries import QUERIES
-from tidemark.operators.access import file_read_tally
+from tidemark.operators.access import file_read_tally, job_tally
 from tidemark.operators.histogram import popularity_histogram
 from tidemark.operators.occupancy import daily_size, replica_window_sizes
 from tidemark.operators.popularity import top_unused
@@ -63,6 +63,18 @@ def test_access_counts_records_before_the_join(stage):
     assert "f_md5" not in text and "extra" not in text
 
 
+def test_tallies_are_not_sorted_to_meet_their_totals(stage, rows):
+    """Totals are one row for each dataset; the daily rows, of which there are many more, pass them by."""
+    text = plan(file_read_tally(stage["log"], stage["files"], stage["totals"]))
+    assert "ShuffledHashJoin [f_dataset_id" in text and "SortMergeJoin [f_dataset_id" not in text
+    jobs = rows(
+        "DESIRED_CMSDataset string, Status string, RecordTime bigint, KEvents double, Site string, "
+        "InputData string, CMS_SubmissionTool string"
+    )
+    text = plan(job_tally(jobs, stage["totals"]))
+    assert "ShuffledHashJoin [dataset_name" in text and "SortMergeJoin" not in text
+
+
 def test_daily_size_has_no_range_join(stage):
     text = plan(daily_size(stage["disk"], stage["catalog"]))
     assert "NestedLoop" not in text and "Cartesian" not in text

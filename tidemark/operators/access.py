@@ -180,12 +180,14 @@ def located_access(
         located = join_spread(reads, owners, ["file_lfn"])
     else:
         located = reads.join(owners, "file_lfn")
+    # totals are one row for each dataset: hashed, they spare the daily rows a sort in the task that goes on with them
     per_day = located.groupBy("day", "f_dataset_id", *dims).agg(
         F.sum(F.col("f_file_size") * F.col("n")).alias("size_read"),
         F.sum("n").alias("nfiles_read"),
     )
     return per_day.join(
-        totals.select("d_dataset_id", "dsize"), F.col("f_dataset_id") == F.col("d_dataset_id")
+        totals.select("d_dataset_id", "dsize").hint("shuffle_hash"),
+        F.col("f_dataset_id") == F.col("d_dataset_id"),
     ).select(
         "d_dataset_id",
         day_key(F.col("day")).alias("day"),
@@ -228,7 +230,7 @@ def named_events(per_day: DataFrame, totals: DataFrame) -> DataFrame:
     """``daily_event_access`` of records that are counted already: (dataset_name, day, site_name,
     sum_evts, nrecs).
     """
-    named = totals.select("d_dataset", "d_dataset_id", "devts")
+    named = totals.select("d_dataset", "d_dataset_id", "devts").hint("shuffle_hash")
     return per_day.join(named, F.col("dataset_name") == F.col("d_dataset")).select(
         "d_dataset_id",
         day_key(F.col("day")).alias("day"),
