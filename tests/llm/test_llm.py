@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -219,6 +221,38 @@ def test_every_training_document_teaches_the_scores(spark, monkeypatch):
     assert sorted(sum(attention, [])) == topics[0] and len(attention) == scoring.ROUNDS and len(set(topics[0])) > 8
 
 
+def test_scores_leave_only_their_result_on_disk(spark):
+    """Not the files of shuffles, which stayed until the driver collected garbage, nor what was staged on the way."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    shared, setting = Path(spark.conf.get("spark.checkpoint.dir")), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {x for x in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+
+    had, there, before = shuffled(), set(shared.iterdir()), spark.conf.get(setting, None)
+    got = scoring.score(docs, RANKS, public_tokenizers.PATTERN)
+    for _ in range(40):  # they go in the background
+        if not (left := shuffled() - had):
+            break
+        time.sleep(0.25)
+    assert not left
+    assert [x.name.split("-")[1] for x in set(shared.iterdir()) - there if x.name.startswith("tidemark-")] == ["weighed"]
+    assert spark.conf.get(setting, None) == before
+    assert got.count() == docs.count()
+
+
+def test_the_first_round_gives_each_id_to_the_distribution_of_the_one_before():
+    pick = np.random.default_rng(4)
+    lists = [[*pick.integers(3, 9, n).tolist(), 2] for n in (0, 1, 30, 5, 0, 17)]
+    own, want = pick.integers(0, scoring.LEARNED, 9), np.zeros((9, scoring.LEARNED))
+    for x in lists:
+        for before, i in zip([2, *x], x, strict=False):
+            want[i, own[before]] += 1
+    starts = np.cumsum([0, *map(len, lists)])
+    assert (scoring.first_given(np.concatenate(lists).astype(np.int32), starts, own, 9) == want).all()
+
+
 def test_row_wise_sums_need_no_shards(spark):
     rows = spark.range(1000).repartition(7)
     step = scoring.RowWise(lambda t: np.bincount(t["id"].to_numpy() % 100, minlength=100).astype(float))
