@@ -65,3 +65,44 @@ def test_copies_follow_the_window(spark, count, monkeypatch):
     met = met.filter("abs(m.place - q.place) <= 1000").groupBy("q.row").agg(F.count("*").alias("n"), F.count_distinct("m.row").alias("d"))
     edge = F.least("row", F.lit(window)) + F.least(F.lit(count - 1) - F.col("row"), F.lit(window)) + 1
     assert met.filter((F.col("n") != edge) | (F.col("d") != edge)).isEmpty() and met.count() == count // 20
+
+
+def test_a_task_holds_few_scores_at_once(spark, monkeypatch):
+    """However many queries meet a block: their scores, and what is made of them, filled the task."""
+    scores = neighbours._scores
+
+    def spy(queries, vectors, allowed, k):
+        if len(queries) * len(vectors) > 1 << 20:
+            raise ValueError(f"{len(queries)} x {len(vectors)} scores at once")
+        return scores(queries, vectors, allowed, k)
+
+    monkeypatch.setattr(neighbours, "_scores", spy)
+    vectors = np.random.default_rng(2).standard_normal((2500, 8))
+    got = neighbours.nearest(table(spark, vectors), "true").groupBy("query_id").count()
+    assert got.count() == 2500 and got.filter("count <> 20").isEmpty()
+
+
+def test_what_is_merged_together_does_not_grow_with_the_window(spark, monkeypatch):
+    """A query that meets more blocks brings more to merge, so that fewer queries are merged together."""
+    grouped, apply = type(spark.range(1).groupBy("id")), type(spark.range(1).groupBy("id")).applyInArrow
+
+    def spy(self, func, schema):
+        def bounded(found):
+            held = sum(len(x.as_py()) for x in found["found"])
+            if held > 24 << 20:
+                raise ValueError(f"{held} bytes to merge")
+            return func(found)
+
+        return apply(self, bounded if "rank" in schema else func, schema)
+
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    monkeypatch.setattr(neighbours, "_window", lambda *a: 3000)
+    monkeypatch.setattr(grouped, "applyInArrow", spy)
+    vectors = np.random.default_rng(3).standard_normal((3000, 8)).astype(np.float32).astype(float)
+    got = neighbours.nearest(table(spark, vectors), "vec_id % 10 = 0").toPandas()
+    for q in (0, 10, 2990):  # all vectors lie within the window
+        score = vectors @ vectors[q]
+        score[q] = -np.inf
+        own = got[got["query_id"] == q].sort_values("rank")
+        assert own["vec_id"].tolist() == np.lexsort((np.arange(3000), -score))[:20].tolist()
+    assert len(got) == 300 * 20

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.llm.shared import mixed, staged
@@ -18,6 +19,8 @@ CURVES, AXES, BITS = 6, 4, 8
 RECALL, FIT_QUERIES = 0.96, 64
 #: Vectors of a block of a curve, and queries of a span of it that a block meets, about.
 BLOCK, QUERY_CHUNK = 4096, 2048
+#: Scores that a task holds at once, and bytes found by all blocks for the queries that are merged together, about.
+CELLS, MERGED_BYTES = 1 << 19, 8 << 20
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -49,11 +52,14 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, size)
+    """Packed vectors as doubles; those of single precision are packed as such."""
+    packed = b"".join(column.to_pylist())
+    kind = np.float32 if len(packed) == 4 * size * len(column) else np.float64
+    return np.frombuffer(packed, kind).reshape(-1, size).astype(np.float64, copy=False)
 
 
 def _usable(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(row, vec_id, vec, norm) of the vectors that take part, vec as doubles in binary; their length."""
+    """(row, vec_id, vec, norm) of the vectors that take part, vec as floats or doubles in binary; their length."""
     numbers = F.col("embedding").cast("array<double>")
     fine = F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = vectors.filter(F.col("embedding").isNotNull() & fine & F.exists(numbers, lambda x: x != 0))
@@ -62,11 +68,12 @@ def _usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     if most is None:
         return some.select("vec_id").filter("false"), 0
     size = most["size"]
+    single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-            packed = [row.tobytes() for row in flat]
+            packed = [row.tobytes() for row in (flat.astype(np.float32) if single else flat)]
             yield pa.record_batch(
                 [batch.column(0), pa.array(packed, pa.binary()), pa.array(np.linalg.norm(flat, axis=1))],
                 names=["vec_id", "vec", "norm"],
@@ -101,7 +108,7 @@ def _scores(
 
 def exact_neighbours(vectors: DataFrame, size: int, queries: list, k: int = NEAREST) -> DataFrame:
     """(query, near, vec_id, score): the ``k`` nearest rows of a bounded list of query rows, by brute force."""
-    wanted = np.array([np.frombuffer(q["vec"], np.float64) for q in queries]).reshape(-1, size)
+    wanted = _matrix(pa.array([bytes(q["vec"]) for q in queries], pa.binary()), size)
     rows = np.array([q["row"] for q in queries], np.int64)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,28 +264,29 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = NEAR
     count = usable.count()
     window = _window(usable, size, places, is_query, k)
     members, visits = _met(places, usable, is_query, window, count)
-    chunks = -(-usable.filter(is_query).count() // QUERY_CHUNK) or 1
+    # every block that a query meets gives as many as k, of five numbers each
+    most = 40 * k * CURVES * (2 * window // BLOCK + 2)
+    chunks = -(-usable.filter(is_query).count() * most // MERGED_BYTES) or 1
 
     def visit(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         packed = {"chunk": [], "found": []}
         if vectors.num_rows and queries.num_rows:
             row, place, vec_id = (vectors[c].to_numpy() for c in ("row", "place", "vec_id"))
             near = _matrix(vectors["vec"], size)
-            for start in range(0, queries.num_rows, QUERY_CHUNK):
-                some = queries.slice(start, QUERY_CHUNK)
-                mine, here, query = (some[c].to_numpy() for c in ("row", "place", "vec_id"))
-                allowed = (np.abs(here[:, None] - place[None]) <= window) & (mine[:, None] != row[None])
-                q, v, score = _scores(_matrix(some["vec"], size), near, allowed, k)
-                best = _best(mine[q], vec_id[v], score, k)
-                q, v, score = q[best], v[best], score[best]
-                chunk = (mixed(mine[q]) % np.uint64(chunks)).astype(np.int64)
-                columns = (mine[q], query[q], row[v], vec_id[v], score)
-                for one in np.unique(chunk):
-                    own = chunk == one
-                    packed["chunk"].append(one)
-                    packed["found"].append(
-                        b"".join(c[own].astype("<i8" if c.dtype != float else "<f8").tobytes() for c in columns)
-                    )
+            mine, here, query = (queries[c].to_numpy() for c in ("row", "place", "vec_id"))
+            wanted = _matrix(queries["vec"], size)
+            chunk = (mixed(mine) % np.uint64(chunks)).astype(np.int64)
+            order, step = np.argsort(chunk, kind="stable"), max(1, CELLS // len(row))
+            for start in range(0, len(order), step):
+                some = order[start : start + step]
+                allowed = (np.abs(here[some, None] - place[None]) <= window) & (mine[some, None] != row[None])
+                q, v, score = _scores(wanted[some], near, allowed, k)
+                best = _best(q, vec_id[v], score, k)
+                q, v, score = some[q[best]], v[best], score[best]
+                columns = np.stack([mine[q], query[q], row[v], vec_id[v], score.view(np.int64)])
+                of, first = np.unique(chunk[q], return_index=True)
+                packed["chunk"].extend(of)
+                packed["found"].extend(x.tobytes() for x in np.split(columns, first[1:], axis=1)[: len(of)])
         return pa.table(
             {"chunk": pa.array(packed["chunk"], pa.int64()), "found": pa.array(packed["found"], pa.binary())}
         )
@@ -290,7 +298,9 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = NEAR
             for column, part in zip(columns, [*parts[:4], parts[4].view(np.float64)], strict=True):
                 column.append(part)
         row, query, near, vec_id, score = (np.concatenate(c) for c in columns)
-        once = np.unique(np.stack([row, near]), axis=1, return_index=True)[1]
+        once = np.lexsort((near, row))
+        same = (row[once][1:] == row[once][:-1]) & (near[once][1:] == near[once][:-1])
+        once = once[np.append(True, ~same)[: len(once)]]
         row, query, vec_id, score = (a[once] for a in (row, query, vec_id, score))
         best = _best(row, vec_id, score, k)
         row, query, vec_id, score = (a[best] for a in (row, query, vec_id, score))
