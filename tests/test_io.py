@@ -1,5 +1,6 @@
 import gzip
 import json
+import time
 from datetime import date
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.compaction import compact
 from tidemark.operators.quality import dataset_sizes_check, null_counts, window_totals
 from tidemark.plans.session import shared_dir
+from tidemark.sinks import writers
 from tidemark.sinks.writers import (
     packed,
     stage_label,
@@ -286,3 +288,54 @@ def test_overrides_fail_on_too_large_a_number(spark, tmp_path):
     (tmp_path / "overrides.json").write_text('{"/a/b/C": 99999999999}')
     with pytest.raises(Exception, match="MALFORMED|CANNOT_PARSE|FAILFAST|malformed"):
         read_overrides(spark, str(tmp_path)).collect()
+
+
+def test_sorted_rows_are_shuffled_a_slice_at_a_time(spark, tmp_path, monkeypatch):
+    """The shuffles that made the rows stayed on disk beside the shuffle of all rows."""
+    monkeypatch.setattr(writers, "SLICED_BYTES", 0, raising=False)
+    path, made = f"{tmp_path}/sorted", spark.range(60_000).selectExpr("id % 500 AS a", "id").groupBy("a").agg(F.max("id").alias("m"))
+    df = made.selectExpr("explode(sequence(1, 400)) AS n", "a AS dataset_id", "m * 3.5 AS size")
+    df = df.selectExpr("CASE WHEN n < 399 THEN date_add(DATE'2020-01-01', n) END AS date", "dataset_id", "size")
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {x for x in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    had, there = shuffles(), set(tmp_path.iterdir())
+    jobs, ranged = [], type(df).repartitionByRange
+
+    def spy(self, *keys):
+        for _ in range(40):  # files go in the background
+            if not (left := shuffles() - had):
+                break
+            time.sleep(0.25)
+        jobs.append((len(left), self.count()))
+        return ranged(self, *keys)
+
+    monkeypatch.setattr(type(df), "repartitionByRange", spy)
+    write_sorted_parquet(df, path, "date", "dataset_id")
+    assert [left for left, _ in jobs] == [0] * len(jobs), "files of other shuffles lie beside that of a slice"
+    assert len(jobs) == 3 and max(rows for _, rows in jobs) < 0.5 * df.count()
+    stored = read_parquet(spark, path)
+    assert as_set(stored) == as_set(df)
+    within = stored.groupBy(F.input_file_name().alias("f")).agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    spans = sorted((r.lo or date.min, r.hi or date.min) for r in within.collect())
+    assert all(hi <= lo for (_, hi), (lo, _) in zip(spans, spans[1:]))
+    assert {x for x in tmp_path.iterdir()} - there == {tmp_path / "sorted"}
+
+
+def test_sorted_slices_of_any_key(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "SLICED_BYTES", 0, raising=False)
+    path = f"{tmp_path}/sorted"
+    for ddl, some in (
+        ("k int, v int", [(None, 1), (None, None), (3, 1), (3, 1), (-5, 2)] * 40),
+        ("k int, v int", [(7, i) for i in range(90)]),
+        ("k int, v int", [(None, 1)]),
+        ("k int, v int", []),
+        ("k string, v int", [("b", 1), (None, 2), ("a", 1)]),
+        ("k double, v int", [(float("nan"), 1), (None, 2), (0.5, 1)]),
+    ):
+        df = rows(ddl, *some)
+        write_sorted_parquet(df.repartition(3), path, "k", "v")
+        stored = read_parquet(spark, path)
+        assert sorted(tuple(map(str, r)) for r in stored.collect()) == sorted(tuple(map(str, r)) for r in df.collect())
+        assert stored.dtypes == df.dtypes
+    write_sorted_parquet(read_parquet(spark, path).limit(1), path, "k", "v")
+    assert read_parquet(spark, path).count() == 1

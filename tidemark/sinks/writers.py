@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from uuid import uuid4
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.plans.session import shuffles_dropped
+from tidemark.sinks.bucketed import input_bytes
+
 # Bits of a long that the first and the second sort key get in ``packed``.
 _FIRST_BITS, _SECOND_BITS = 24, 40
+#: Rows that take as many bytes, stored, are sorted in so many slices.
+SLICED_BYTES, SLICES = 16 << 20, 3
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -38,9 +45,59 @@ def write_sorted_parquet(df: DataFrame, path: str, *keys: str) -> None:
 
     Ranging over all keys lets the rows of one heavy leading key spread over several files. Many rows
     share a leading key such as a day, so rows are compared by ``packed`` keys first where they allow it.
+
+    Rows are made once and stored beside ``path`` as they come, where neighbours are alike and take little room;
+    the shuffles that made them go then. They are sorted one slice of the leading key after another, so that the
+    shuffle of one slice is on disk at a time. What was at ``path`` is replaced when all slices are written; where
+    that fails between deleting and renaming, all rows are at ``<path>_sorted-<id>``.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    unsorted, done = (f"{path}_{kind}-{uuid4().hex}" for kind in ("unsorted", "sorted"))
+    try:
+        with shuffles_dropped(spark):
+            write_parquet(df, unsorted)
+            rows = spark.read.schema(df.schema).parquet(unsorted)
+            for wanted in _sliced(rows, keys[0], SLICES if input_bytes(spark, unsorted) >= SLICED_BYTES else 1):
+                some = rows.where(wanted)
+                ordered = some.repartitionByRange(*keys).sortWithinPartitions(*packed(some, *keys), *keys)
+                ordered.write.mode("append").option("compression", "snappy").parquet(done)
+    except BaseException:
+        _delete(spark, done)
+        raise
+    finally:
+        _delete(spark, unsorted)
+    _delete(spark, path)
+    _rename(spark, done, path)
+    spark.catalog.refreshByPath(path)
+
+
+def _sliced(rows: DataFrame, key: str, slices: int) -> list[Column]:
+    """Conditions that cut ``rows`` by ``key``, a day or whole number, in about equal slices; one if it is neither.
+
+    Each row is in one of them, wherever they are cut, which a fiftieth of the rows tells. A heavy value is in one
+    slice with all its rows, so there may be fewer.
     """
-    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*packed(df, *keys), *keys)
-    write_parquet(ordered, path)
+    kind = rows.schema[key].dataType
+    value = F.unix_date(key) if isinstance(kind, T.DateType) else F.col(key)
+    if slices == 1 or not isinstance(kind, (T.DateType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return [F.lit(True)]
+    at = F.percentile_approx(value, [i / slices for i in range(1, slices)], 1000)
+    bounds = sorted(set(rows.select(key).sample(0.02, seed=1).select(at).first()[0] or []))
+    if not bounds:
+        return [F.lit(True)]
+    between = [(value > a) & (value <= b) for a, b in zip(bounds, bounds[1:], strict=False)]
+    return [F.isnull(key) | (value <= bounds[0]), *between, value > bounds[-1]]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _rename(spark: SparkSession, source: str, target: str) -> None:
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
+    if not old.getFileSystem(spark._jsc.hadoopConfiguration()).rename(old, new):
+        raise OSError(f"could not rename {source} to {target}")
 
 
 def packed(df: DataFrame, *keys: str) -> list[Column]:
